@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, warc
 
 QUERIES = {
+    "op5_warc": warc.op5_warc,
     "op6_mix_sources": mixing.op6_mix_sources,
 }
 
 ORACLES = {
+    "op5_warc": warc.OP5_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
 }
