@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, warc
+from tidemark.llm import bpe, mixing, warc
 
 QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
