@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, mixing, warc
+from tidemark.llm import bpe, mixing, token_files, warc
 
 QUERIES = {
+    "op3_token_counts": token_files.op3_token_counts,
     "op5_warc": warc.op5_warc,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op10_bpe": bpe.op10_bpe,
