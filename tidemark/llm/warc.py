@@ -52,7 +52,7 @@ def directory(read: Callable[[int, int], bytes], size: int) -> list[Member]:
     tail_at = max(0, size - (1 << 16) - 22)
     tail = read(tail_at, size - tail_at)
     k = tail.rfind(END)
-    while k >= 0 and k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail):
+    while k >= 0 and (k + 22 > len(tail) or k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail)):
         k = tail.rfind(END, 0, k)  # the mark can stand within the comment
     if k < 0:
         raise ValueError("no end of central directory: not a ZIP file, or cut short")
