@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, files
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, width
 
 #: Bytes of one block of a scan, and of one file that the writer fills.
 BLOCK, FILE = 4 << 20, 64 << 20
@@ -89,7 +89,7 @@ def count_tokens(paths: DataFrame, end: int, *, kind: str = "<u2", block: int =
                 yield pa.RecordBatch.from_pydict({"path": [path], "block": [k], "ends": [ends], "head": [head], "inner": [inner], "tail": [tail]}, schema=schema)
 
     schema = pa.schema([("path", pa.string()), ("block", pa.int64()), ("ends", pa.int64()), ("head", pa.int64()), ("inner", pa.list_(pa.int64())), ("tail", pa.int64())])
-    blocks = starts.repartition("path", "block").mapInArrow(run, "path string, block long, ends long, head long, inner array<long>, tail long")
+    blocks = starts.repartition(width(paths.sparkSession), "path", "block").mapInArrow(run, "path string, block long, ends long, head long, inner array<long>, tail long")
     # What a block leaves open: its tail, or all of it where no document ends in it.
     blocks = blocks.withColumn("open", F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("head")))
     whole = Window.partitionBy("path").orderBy("block")
