@@ -1,0 +1,49 @@
+import re
+
+from tidemark.llm import pii
+from tidemark.llm.scratch import Scratch
+
+CARD, OTHER = "4539 1488 0343 6467", "1234567890123456"
+
+
+def passes(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+TEXT = f'Write to Ann.Lee7@mail.example.com, or 10.0.254.9; call +1 (017) 555-7713. {CARD} {OTHER}, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" for Mrs. Smith and Mr Иванов. Ann.Lee7@mail.example.com'
+
+
+def test_surrogates(spark):
+    rows = [(1, TEXT, "x"), (1, TEXT, "x"), (2, f"again Ann.Lee7@mail.example.com and {CARD}.", "y"), (3, None, "z"), (None, "", "q"), (5, f"clean, version 4.0. {OTHER} 3.14 999.1.1.1", "c"), (6, "a@b.co" + " word" * 30000, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_entities string")
+    got = pii.pseudonymize(docs, "k").collect()
+    assert len(got) == len(rows)
+    one, twin = (x for x in got if x.doc_id == 1)
+    assert one == twin and one.n_entities == 8
+    m = re.fullmatch(r'Write to ([A-Z][a-z]{2}\.[A-Z][a-z]{2}\d@[a-z]{4}\.[a-z]{7}\.com), or (\d\d\.\d\.\d{3}\.\d); call \+1 \((\d{3})\) (\d{3})-(\d{4})\. (4\d{3} \d{4} \d{4} \d{4}) 1234567890123456, token = "([0-9a-f]{40})" for Mrs\. (\w+) and Mr (\w+)\. (\S+)', one.text)
+    assert m and m[1] == m[10] and passes(m[6]) and m[6] != CARD and all(int(o) < 256 for o in m[2].split("."))
+    assert m[8][-1] == "a" and re.fullmatch("[А-Яа-я]+", m[9]) and m[8] != "Smith"
+    two = next(x.text for x in got if x.doc_id == 2)
+    assert two == f"again {m[1]} and {m[6]}."
+    rest = {x.doc_id: (x.text, x.n_entities) for x in got}
+    assert rest[3] == (None, 0) and rest[None] == ("", 0) and rest[5] == (rows[5][1], 0) and rest[6][0].endswith(" word") and rest[6][1] == 1
+    assert pii.pseudonymize(docs, "other").filter("doc_id = 2").first().text != two
+    assert pii.pseudonymize(docs.filter("doc_id = 9"), "k").count() == 0
+
+
+def test_collisions_are_drawn_apart(spark):
+    values = spark.createDataFrame([("ip", f"{a}.{b}.1.1") for a in range(10) for b in range(10)] + [("ip", f"1.1.1.{a}") for a in range(2, 9)], "kind string, value string")
+    got = pii.assign(values, "k", Scratch(spark, "t"), tries=2).collect()
+    made, given = [x.surrogate for x in got], {x.value for x in got}
+    assert len(got) == 107 and len(set(made)) == 107 and not given & set(made)
+
+
+def test_every_planted_entity_goes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = {x.doc_id: x.text for x in docs.collect()}
+    hits = lambda t: [*re.findall(r"[\w.+-]+@[\w-]+\.[\w.-]*\w", t or ""), *re.findall(r"\+1 \(\d+\) \d+-\d+", t or ""), *re.findall(r"\b[0-9a-f]{40}\b", t or ""), *(n for n in re.findall(r"\b\d{16}\b", t or "") if passes(n))]
+    for x in pii.pseudonymize(docs, "k").collect():
+        found = hits(before[x.doc_id])
+        assert not [v for v in found if v in (x.text or "")]
+        assert (x.text == before[x.doc_id]) == (x.n_entities == 0) and len(x.text) == len(before[x.doc_id])
