@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, mixing, pii, quality, token_files, warc
+from tidemark.llm import bpe, mixing, order_minhash, pii, quality, token_files, warc
 
 QUERIES = {
+    "op8_document_fingerprints": order_minhash.op8_document_fingerprints,
     "op9_pii": pii.op9_pii,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op3_token_counts": token_files.op3_token_counts,
