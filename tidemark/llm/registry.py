@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, grid_join, mixing, order_minhash, pii, quality, token_files, warc
+from tidemark.llm import bpe, grid_join, mixing, order_minhash, pii, quality, signature_tree, token_files, warc
 
 QUERIES = {
+    "op7_ngram_jaccard_join": signature_tree.op7_ngram_jaccard_join,
     "op2_embedding_near_dedup": grid_join.op2_embedding_near_dedup,
     "op8_document_fingerprints": order_minhash.op8_document_fingerprints,
     "op9_pii": pii.op9_pii,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_ngram_jaccard_join": signature_tree.OP7_SQL,
     "op2_embedding_near_dedup": grid_join.OP2_SQL,
     "op5_warc": warc.OP5_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
