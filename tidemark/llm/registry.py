@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, grid_join, mixing, order_minhash, pii, quality, signature_tree, token_files, warc
+from tidemark.llm import bpe, grid_join, mixing, order_minhash, pii, quality, signature_tree, suffix_dedup, token_files, warc
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op7_ngram_jaccard_join": signature_tree.op7_ngram_jaccard_join,
     "op2_embedding_near_dedup": grid_join.op2_embedding_near_dedup,
     "op8_document_fingerprints": order_minhash.op8_document_fingerprints,
