@@ -92,4 +92,6 @@ def _sets(held: list[bytes], words: int) -> Iterator[np.ndarray]:
 
 def set_hash(s: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
-    return int(mix(np.array([mix(s + _LENGTH).sum(dtype=np.uint64) + np.uint64(len(s)) * _SHORT], np.uint64)).view(np.int64)[0])
+    with np.errstate(over="ignore"):
+        total = mix(s + _LENGTH).sum(dtype=np.uint64) + np.uint64(len(s)) * _SHORT
+    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])

@@ -213,12 +213,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, kind)
 
 
-_MEMBERS = [("sid", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64()))]
-
-
 def _leaves():
     """Sets in order of (key, n) to leaves: members, OR of bitmaps, least and most tokens, most that a bitmap hides."""
-    schema = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("leaf", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("hidden", pa.int64()), ("signature", pa.list_(pa.int64())), ("members", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("leaf", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("hidden", pa.int64()), ("signature", pa.list_(pa.int64())), ("members", pa.binary()), ("keys", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, rows, key = TaskContext.get().partitionId(), 0, [], None
@@ -228,10 +225,10 @@ def _leaves():
             sizes = np.array([x[2] for x in rows])
             members = np.hstack([np.array([x[:3] for x in rows], "<i8"), bits])
             hidden = int((sizes - np.bitwise_count(bits.view(np.uint64)).sum(1)).max())
-            return pa.RecordBatch.from_pydict({"key": [key], "part": [part], "leaf": [number], "least": [int(sizes.min())], "most": [int(sizes.max())], "hidden": [hidden], "signature": [np.bitwise_or.reduce(bits)], "members": [members.astype("<i8").tobytes()]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"key": [key], "part": [part], "leaf": [number], "least": [int(sizes.min())], "most": [int(sizes.max())], "hidden": [hidden], "signature": [np.bitwise_or.reduce(bits)], "members": [members.astype("<i8").tobytes()], "keys": [[x[4] for x in rows]]}, schema=schema)
 
         for batch in batches:
-            for k, *x in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "component", "n", "bits"))):
+            for k, *x in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "component", "n", "bits", "keys"))):
                 if rows and (k != key or len(rows) == LEAF):
                     yield flush()
                     rows, number = [], number + 1
@@ -240,7 +237,7 @@ def _leaves():
         if rows:
             yield flush()
 
-    return run, "key long, part long, leaf long, least long, most long, hidden long, signature array<long>, members binary"
+    return run, "key long, part long, leaf long, least long, most long, hidden long, signature array<long>, members binary, keys array<array<long>>"
 
 
 def _may_link(percent: int) -> Column:
@@ -251,18 +248,24 @@ def _may_link(percent: int) -> Column:
 
 
 def _cross(percent: int):
-    """Pairs of sets of two leaves that lie in different components and that their bitmaps let pass."""
+    """Pairs of sets of two leaves that lie in different components and that their bitmaps let pass.
+    Sets that meet under many keys are paired under the smallest of them alone."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, x, y in zip(batch.column("same").to_pylist(), batch.column("a_members"), batch.column("b_members")):
+            for key, same, x, y, a_keys, b_keys in zip(*(batch.column(c) for c in ("key", "same", "a_members", "b_members", "a_keys", "b_keys"))):
+                key, same = key.as_py(), same.as_py()
                 x, y = (np.frombuffer(v.as_py(), "<i8").reshape(-1, 3 + LONGS) for v in (x, y))
                 both = np.bitwise_count(x[:, None, 3:].view(np.uint64) & y[None, :, 3:].view(np.uint64)).sum(2, dtype=np.int64)
                 hidden = [v[:, 2] - np.bitwise_count(v[:, 3:].view(np.uint64)).sum(1) for v in (x, y)]
                 bound = both + np.minimum(hidden[0][:, None], hidden[1])
                 ok = (x[:, 1][:, None] != y[:, 1]) & (bound * (100 + percent) >= percent * (x[:, 2][:, None] + y[:, 2]))
                 i, j = np.nonzero(np.triu(ok, 1) if same else ok)
+                if len(i):
+                    own, other = ([set(k) for k in v.as_py()] for v in (a_keys, b_keys))
+                    first = np.array([min(own[p] & other[q]) == key for p, q in zip(i.tolist(), j.tolist())])
+                    i, j = i[first], j[first]
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i, 0], y[j, 0])), pa.array(np.maximum(x[i, 0], y[j, 0]))], schema=schema)
 
@@ -273,7 +276,7 @@ def _traverse(members: DataFrame, percent: int, scratch: Scratch, n: int) -> Dat
     """Pairs from the signature trees of all keys, traversed against themselves: branches, then leaves."""
     order = ["key", "n", "sid"]
     run, kind = _leaves()
-    leaves = scratch.table("leaves", members.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "sid", "component", "n", "bits").mapInArrow(run, kind))
+    leaves = scratch.table("leaves", members.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "sid", "component", "n", "bits", "keys").mapInArrow(run, kind))
     merged = F.array(*(F.bit_or(F.col("signature")[k]) for k in range(LONGS))).alias("signature")
     branches = scratch.table("branches", leaves.groupBy("key", "part").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("hidden").alias("hidden"), merged))
     side = lambda df, s, columns: df.select(*(F.col(c).alias(f"{s}_{c}") for c in columns))
@@ -281,13 +284,13 @@ def _traverse(members: DataFrame, percent: int, scratch: Scratch, n: int) -> Dat
     top = side(branches, "a", ["key", "part", *node]).join(side(branches, "b", ["key", "part", *node]), F.col("a_key") == F.col("b_key"))
     top = top.filter((F.col("a_part") <= F.col("b_part")) & _may_link(percent))
     top = scratch.table("top", top.select(F.col("a_key").alias("key"), F.col("a_part").alias("up_a"), F.col("b_part").alias("up_b")))
-    low = ["key", "part", "leaf", *node, "members"]
+    low = ["key", "part", "leaf", *node, "members", "keys"]
     pairs = top.join(side(leaves, "a", low), (F.col("key") == F.col("a_key")) & (F.col("up_a") == F.col("a_part")))
     pairs = pairs.join(side(leaves, "b", low), (F.col("key") == F.col("b_key")) & (F.col("up_b") == F.col("b_part")))
     pairs = pairs.filter(((F.col("up_a") < F.col("up_b")) | (F.col("a_leaf") <= F.col("b_leaf"))) & _may_link(percent))
     pairs = pairs.withColumn("same", (F.col("up_a") == F.col("up_b")) & (F.col("a_leaf") == F.col("b_leaf")))
     run, kind = _cross(percent)
-    return pairs.select("same", "a_members", "b_members").mapInArrow(run, kind).distinct()
+    return pairs.select("key", "same", "a_members", "b_members", "a_keys", "b_keys").mapInArrow(run, kind).distinct()
 
 
 def _unpack():
@@ -313,8 +316,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     scratch, n = Scratch(spark, "jaccard"), width(spark)
     d = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     read = scratch.table("read", d.mapInArrow(_read(words, percent, 4 * n), _ROWS_SQL))
-    named = read.filter("kind = 0").select("doc_id", "n", F.col("a").alias("sid"))
     met = scratch.table("met", read.filter("kind = 2").select("deal", "n", "data").groupBy("deal").applyInArrow(_meet(), _ROWS_SQL))
+    # Keys are most of what was written and have served; the rest is small.
+    read = scratch.table("rest", read.filter("kind <> 2"))
+    scratch.drop("read")
+    named = read.filter("kind = 0").select("doc_id", "n", F.col("a").alias("sid"))
     rows = read.filter("kind IN (1, 3)").select("kind", "a", "b", "data").union(met.select("kind", "a", "b", "data"))
     pairs = scratch.table("pairs", rows.filter("kind = 1").select("a", "b").distinct())
     # One document stands for each set that has to be compared.
@@ -337,8 +343,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
         shared = shared.join(mixed, F.col("key") == F.col("of_key"))
         members = shared.select("key", F.col("a").alias("sid")).union(shared.select("key", "b")).distinct()
         members = members.join(sets.select("sid", "n", "bits"), "sid").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
-        members = members.withColumn("component", F.coalesce("component", "sid"))
-        more = scratch.table("more", _traverse(scratch.table("members", members), percent, scratch, n))
+        members = scratch.table("members", members.withColumn("component", F.coalesce("component", "sid")))
+        # The keys of one set: no more than it was listed under.
+        listed = scratch.table("listed", members.groupBy(F.col("sid").alias("of")).agg(F.collect_set("key").alias("keys")))
+        members = members.join(listed, F.col("sid") == F.col("of"))
+        more = scratch.table("more", _traverse(members, percent, scratch, n))
         more = more.join(judged.select("a", "b"), ["a", "b"], "left_anti")
         links = scratch.table("links", links.union(_verify(more, sets, percent).filter("linked").select("a", "b")))
         joined = components(links, scratch, "second")
