@@ -118,6 +118,9 @@ def fingerprints(docs: DataFrame, *, ident: str = "doc_id", text: str = "text")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     d = docs.select(F.col(ident).cast("long").alias("doc_id"), body.alias("text"))
     d = d.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("kd"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"), "text")
+    # Dealt once by key and kept so: neither of the two joins by key shuffles the texts again.
+    n = width(docs.sparkSession)
+    d = scratch.bucketed("texts", d.repartition(n, "kd", "th"), n, "kd", "th")
     keys = d.groupBy("kd", "th").agg(F.max(F.char_length("text")).alias("n_chars"))
     follow = scratch.table("follow", successors(keys, scratch))
     # From each document the part that the one before it takes over, sent to that one.
