@@ -10,7 +10,8 @@ Not every suffix needs to be sorted to its full depth. Three rounds do with few:
 
 1. The suffix at each anchor, by the SEED bytes it begins with. The anchor of a string is the leftmost of
    its seeds of least hash, which its own bytes determine: equal strings have their anchors at equal
-   offsets. Only anchors whose suffixes have an equal neighbour stay.
+   offsets. Anchors whose suffixes have no equal neighbour go; those that also agree in all bytes of the
+   strings they stand for (the inside of copies) are settled.
 2. The strings of such an anchor in blocks of STRINGS neighbouring ones: their suffixes by the bytes that all
    strings of the block share (without an equal neighbour none of them repeats), then by all bytes that
    any of them has (with one all of them do).
@@ -135,14 +136,16 @@ def _suffixes(t0, t1, t2, dk, at, low, high) -> pa.RecordBatch:
 
 
 def _round_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffix at each anchor: low and high are the offsets of the anchor in the strings it stands for."""
+    """The suffix at each anchor, by its seed and then by all bytes of the strings it stands for: low and high
+    are the offsets of the anchor in them."""
     for rows, texts in _chunks(batches):
         data, first, last = _joined(texts)
         hashes = Hashes(data)
         text, anchor, low, high = anchors(data, first, last, hashes)
         if len(text):
             dk = np.array([r["dk"] for r in rows])[text]
-            yield _suffixes(leading(data, anchor), hashes(anchor, anchor + SEED), np.zeros(len(text), np.int64), dk, anchor - first[text], anchor - high, anchor - low)
+            whole = Hashes(data, 1)(low, high + LENGTH)
+            yield _suffixes(leading(data, anchor), hashes(anchor, anchor + SEED), whole, dk, anchor - first[text], anchor - high, anchor - low)
 
 
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +256,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(order), RUN):
         k = at + np.flatnonzero(keep[at : at + RUN])
         if len(k):
-            yield given({c: v[order[k]] for c, v in rows.items()}, marks[k])
+            # Tokens have done their work but for rows at the ends.
+            out = {c: v[order[k]] for c, v in rows.items()}
+            yield given(out | {t: np.where(edge[k], out[t], 0) for t in ("t0", "t1", "t2")}, marks[k])
     yield given({c: np.array([-1, -2]) if c == "at" else v[ends] for c, v in rows.items()}, np.array([0, 0]))
 
 
@@ -263,8 +268,11 @@ _MARKED = pa.schema([*_SUFFIX, ("marks", pa.int32()), ("bucket", pa.int64())])
 def neighbours(suffixes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """suffixes that share at least two tokens with another, with shared, how many, and leads: all three
     are shared, but others share two with it, and it is the first of its equals in its bucket."""
-    dealt = suffixes.repartitionByRange(width(suffixes.sparkSession), "t0", "t1", "t2", "dk", "at")
+    # Written first, since taking the sample for the splitters would make them all a second time.
+    made = scratch.table(f"{name}_suffixes", suffixes)
+    dealt = made.repartitionByRange(width(suffixes.sparkSession), "t0", "t1", "t2", "dk", "at")
     marked = scratch.table(name, dealt.mapInArrow(_neighbours, f"{_SUFFIX_SQL}, marks int, bucket long"))
+    scratch.drop(f"{name}_suffixes")
     # Two rows a bucket.
     ends = marked.filter("at < 0").select("bucket", "at", "t0", "t1", "t2")
     line = Window.orderBy("bucket", F.desc("at"))
@@ -320,9 +328,9 @@ def remove_repeats(docs: DataFrame, *, ident: str = "doc_id", text: str = "text"
     d = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     d = d.withColumn("dk", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("doc_id").isNull()))
     one = neighbours(d.select("dk", "text").mapInArrow(_round_one, _SUFFIX_SQL), scratch, "one")
-    two = neighbours(_with_texts(d, one).mapInArrow(_round_two, _SUFFIX_SQL), scratch, "two")
+    two = neighbours(_with_texts(d, one.filter("shared = 2 OR leads")).mapInArrow(_round_two, _SUFFIX_SQL), scratch, "two")
     three = neighbours(_with_texts(d, two.filter("shared = 2 OR leads")).mapInArrow(_round_three, _SUFFIX_SQL), scratch, "three")
-    blocks = two.filter("shared = 3").select("dk", (F.col("at") - F.col("high")).alias("from"), (F.col("at") - F.col("low") + LENGTH).alias("to"))
+    blocks = one.union(two).filter("shared = 3").select("dk", (F.col("at") - F.col("high")).alias("from"), (F.col("at") - F.col("low") + LENGTH).alias("to"))
     singles = three.filter("shared = 3").select("dk", F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to"))
     gone = blocks.union(singles).groupBy(F.col("dk").alias("of")).agg(F.collect_set(F.struct("from", "to")).alias("found"))
     gone = scratch.table("gone", gone)
