@@ -1,10 +1,406 @@
-"""Every registered query with the SQL that must give the same rows."""
+"""Every registered query with the SQL that must give the same rows.
+
+Reals are rounded where sums are taken in another order or powers differ in the last bit.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions.times import within_period
+from tidemark.operators import anomaly, answers, events, exact, rollup, samples, sketch
+from tidemark.plans import scenarios as sc
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query under name, with its SQL if there is any."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
 
+    return add
 
-def entry(spark, sf_dir):
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["p99_ms"](spark, sf_dir)
+
+
+def good(spark: SparkSession, sf: str, policy=sc.LATENCY, source=sc.latency) -> DataFrame:
+    return events.prepare(source(spark, sf), policy.streams[0])[0]
+
+
+# Windows.
+
+_E = f"WITH e AS ({sc.LATENCY_SQL}) "
+
+
+def _win_sql(res: int, by: str = "endpoint, ", w: str | None = None) -> str:
+    w = w or f"ts // {res} * {res}"
+    return f"""SELECT {w} AS w, {by}count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(ms), 4) AS ms_sum, round(sum(ms * ms), 4) AS ms_sumsq,
+      min(ms) AS ms_min, max(ms) AS ms_max, arg_min(ms, (ts, seq)) AS ms_first, arg_max(ms, (ts, seq)) AS ms_last FROM e GROUP BY ALL"""
+
+
+def _win(df: DataFrame, *by: str) -> DataFrame:
+    return df.select(*by, "n", "first_ts", "last_ts", F.round("ms_sum", 4).alias("ms_sum"), F.round("ms_sumsq", 4).alias("ms_sumsq"), "ms_min", "ms_max", "ms_first", "ms_last")
+
+
+@query("rollup_all", _E + " UNION ALL ".join(f"SELECT {r}::BIGINT AS res, * FROM ({_win_sql(r)})" for r in (600, 3600, 86400)))
+def rollup_all(spark, sf):
+    return _win(rollup.windows(good(spark, sf), sc.LATENCY.streams[0]), "res", "w", "endpoint")
+
+
+@query("rollup_merge", _E + _win_sql(21600))
+def rollup_merge(spark, sf):
+    """Six-hour windows merged from hourly ones."""
+    s = sc.LATENCY.streams[0]
+    win = rollup.windows(good(spark, sf), s).filter("res = 3600")
+    return _win(rollup.coarser(win, 21600, ["endpoint"], s.numbers), "w", "endpoint")
+
+
+@query("rollup_all_keys", _E + _win_sql(86400, ""))
+def rollup_all_keys(spark, sf):
+    """Daily windows of all keys together."""
+    s = sc.LATENCY.streams[0]
+    return _win(rollup.coarser(rollup.windows(good(spark, sf), s).filter("res = 3600"), 86400, [], s.numbers), "w")
+
+
+@query("deviation", _E + """SELECT ts // 86400 * 86400 AS w, endpoint,
+  round(sqrt(greatest(0.0, sum(ms * ms) / count(*) - (sum(ms) / count(*)) * (sum(ms) / count(*)))), 6) AS sd FROM e GROUP BY ALL""")
+def deviation(spark, sf):
+    win = rollup.windows(good(spark, sf), sc.LATENCY.streams[0]).filter("res = 86400")
+    return win.select("w", "endpoint", F.round(rollup.deviation("ms"), 6).alias("sd"))
+
+
+_TRADES_SQL = """WITH t AS (
+  SELECT l_orderkey * 8 + l_linenumber AS seq, floor(epoch(l_shipdate))::BIGINT AS ts, l_returnflag || l_linestatus AS symbol,
+    l_extendedprice / l_quantity AS price, l_quantity::BIGINT AS size, l_partkey, l_suppkey FROM lineitem) """
+
+
+@query("candles", _TRADES_SQL + """SELECT ts // 604800 * 604800 AS w, symbol, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low,
+  arg_max(price, (ts, seq)) AS close, sum(size)::DOUBLE AS volume, round(sum(price * size) / sum(size), 9) AS vwap FROM t GROUP BY ALL""")
+def candles(spark, sf):
+    s = sc.TRADES.streams[0]
+    win = rollup.windows(good(spark, sf, sc.TRADES, sc.trades), s).filter("res = 604800")
+    return win.select("w", "symbol", F.col("price_first").alias("open"), F.col("price_max").alias("high"), F.col("price_min").alias("low"), F.col("price_last").alias("close"), F.col("size_sum").alias("volume"), F.round(F.col("notional_sum") / F.col("size_sum"), 9).alias("vwap"))
+
+
+@query("derived", _TRADES_SQL + "SELECT symbol, round(sum(price * size), 2) AS notional, max(price * size) AS top FROM t GROUP BY ALL")
+def derived(spark, sf):
+    """A derived value, summed: the projection is folded into the aggregate."""
+    df = good(spark, sf, sc.TRADES, sc.trades)
+    return df.groupBy("symbol").agg(F.round(F.sum("notional"), 2).alias("notional"), F.max("notional").alias("top"))
+
+
+# Answers.
+
+_PERIODS = {"hour": "strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H')", "day": "strftime(make_timestamp(ts * 1000000), '%Y-%m-%d')", "month": "strftime(make_timestamp(ts * 1000000), '%Y-%m')"}
+
+
+def _answer(name: str, policy=sc.LATENCY, source=sc.latency, digits: int | None = 4):
+    def run(spark, sf):
+        p = policy.precompute(name)
+        df = good(spark, sf, policy, source)
+        shared = answers.state(df, policy, p)
+        out = answers.answer(shared, policy, p)
+        value = F.col("value").cast("double")
+        return out.withColumn("value", value if digits is None else F.round(value, digits))
+
+    return run
+
+
+def _simple(name: str, value: str, by: str = "", per: str = "", with_sql: str = _E, rel: str = "e", policy=sc.LATENCY, source=sc.latency) -> None:
+    keys = [k for k in (by, f"{_PERIODS[per]} AS period" if per else "") if k]
+    summed = value.startswith("sum")  # other values are of single events, and exact
+    shown = f"round(({value})::DOUBLE, 4)" if summed else f"({value})::DOUBLE"
+    query(name, f"{with_sql}SELECT {''.join(k + ', ' for k in keys)}{shown} AS value FROM {rel} GROUP BY ALL")(_answer(name, policy, source, 4 if summed else None))
+
+
+_simple("requests", "count(*)", "endpoint")
+_simple("avg_ms", "sum(ms) / count(*)", "endpoint")
+_simple("requests_hour", "count(*)", "endpoint", "hour")
+_simple("sum_day", "sum(ms)", "endpoint", "day")
+_simple("max_month", "max(ms)", "", "month")
+_simple("requests_total", "count(*)")
+for _n, _v, _p in (("last_price", "arg_max(price, (ts, seq))", ""), ("day_open", "arg_min(price, (ts, seq))", "day"), ("day_high", "max(price)", "day"), ("day_low", "min(price)", "day"), ("day_volume", "sum(size)", "day"), ("day_turnover", "sum(price * size)", "day"), ("day_trades", "count(*)", "day")):
+    _simple(_n, _v, "symbol", _p, _TRADES_SQL, "t", sc.TRADES, sc.trades)
+
+_G, _LN = 1.01 / 0.99, 0.020000666706669435
+_BUCKET = f"CASE WHEN ms > 0 THEN ceil(ln(ms) / {_LN})::BIGINT ELSE -1000000 END"
+
+
+def _quantile_sql(by: str, q: float, digits: int = 4, source: str = "e") -> str:
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""{_E}, s AS (SELECT {by + ', ' if by else ''}{_BUCKET} AS b, count(*) AS n FROM {source} GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER ({part} ORDER BY b ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER ({part}) AS tot FROM s)
+SELECT {by + ', ' if by else ''}round(CASE WHEN min(b) = -1000000 THEN 0.0 ELSE 2 * pow({_G!r}, min(b)) / ({_G!r} + 1) END, {digits}) AS value
+FROM c WHERE cum >= {q} * tot {'GROUP BY ' + by if by else ''}"""
+
+
+for _n, _q in (("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)):
+    query(_n, _quantile_sql("endpoint", _q))(_answer(_n))
+query("p999_ms", _quantile_sql("", 0.999))(_answer("p999_ms"))
+
+
+@query("sketch_buckets", f"{_E}SELECT 86400::BIGINT AS res, ts // 86400 * 86400 AS w, endpoint, {_BUCKET} AS b, count(*) AS n FROM e GROUP BY ALL")
+def sketch_buckets(spark, sf):
+    return sketch.windows(good(spark, sf), sc.LATENCY.streams[0], "ms").filter("res = 86400")
+
+
+@query("window_p95", f"""{_E}, s AS (SELECT ts // 86400 * 86400 AS w, {_BUCKET} AS b, count(*) AS n FROM e GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY w ORDER BY b ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER (PARTITION BY w) AS tot FROM s)
+SELECT w, round(CASE WHEN min(b) = -1000000 THEN 0.0 ELSE 2 * pow({_G!r}, min(b)) / ({_G!r} + 1) END, 4) AS value FROM c WHERE cum >= 0.95 * tot GROUP BY w""")
+def window_p95(spark, sf):
+    """Sketches of hourly windows merged over all keys to days, then read."""
+    hourly = sketch.windows(good(spark, sf), sc.LATENCY.streams[0], "ms").filter("res = 3600")
+    daily = sketch.merge(hourly.withColumn("w", F.col("w") - F.pmod("w", F.lit(86400))), ["w"])
+    return sketch.quantile(daily, ["w"], 0.95, 0.01).withColumn("value", F.round("value", 4))
+
+
+@query("period_prefix", f"{_E}SELECT endpoint, {_PERIODS['hour']} AS period, count(*)::DOUBLE AS value FROM e WHERE {_PERIODS['day']} = '2024-01-07' GROUP BY ALL")
+def period_prefix(spark, sf):
+    """The hours of one day of an answer kept by the hour."""
+    return _answer("requests_hour")(spark, sf).filter(within_period(F.col("period"), "2024-01-07"))
+
+
+# Samples and anomalies.
+
+@query("samples", f"""{_E}, r AS (SELECT *, ts // 3600 * 3600 AS w, row_number() OVER (PARTITION BY endpoint, ts // 3600 ORDER BY seq) AS k FROM e),
+c AS (SELECT *, CASE WHEN k <= 3 THEN k - 1 ELSE ((k * 1103515245 + 12345) % 2147483648) % 3 END AS slot FROM r
+  WHERE k <= 3 OR ((k * 2654435761 + 97) % 4294967296) % k < 3)
+SELECT 3600::BIGINT AS res, w, endpoint, slot, arg_max(seq, k) AS seq, arg_max(ts, k) AS ts, arg_max(ms, k) AS ms FROM c GROUP BY w, endpoint, slot""")
+def sampled(spark, sf):
+    return samples.samples(good(spark, sf), sc.LATENCY.streams[0])
+
+
+def _fold_sql(z: float, memory: int, warmup: int, x: str = "ln(ms)", where: str = "WHERE ms > 0", steps: bool = False) -> str:
+    """The baseline of every key as a recursive query, an event a step."""
+    h = anomaly.HUBER
+    a = 1 / memory
+    odd = f"(b.n >= {warmup} AND (o.x - b.m) * (o.x - b.m) > {z * z} * b.v)"
+    o = f"SELECT seq, ts, endpoint, ms, {x} AS x FROM e {where}"
+    if steps:
+        o = f"SELECT seq, ts, endpoint, ms, x - lag(x) OVER (PARTITION BY endpoint ORDER BY seq) AS x FROM ({o})"
+    clip = "least(greatest(o.x - b.m, -1.5 * sqrt(b.v)), 1.5 * sqrt(b.v))"
+    return f"""WITH RECURSIVE e AS ({sc.LATENCY_SQL}),
+o AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY seq) AS k FROM ({o}) WHERE x IS NOT NULL),
+b AS (
+  SELECT endpoint, 1::BIGINT AS k, 1::BIGINT AS n, x AS m, 0.0::DOUBLE AS v, false AS odd, NULL::DOUBLE AS z FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.endpoint, o.k,
+    CASE WHEN {odd} THEN b.n ELSE b.n + 1 END,
+    CASE WHEN {odd} THEN b.m WHEN b.n < {warmup} THEN b.m + (o.x - b.m) / (b.n + 1) ELSE b.m + {a!r} * {clip} END,
+    CASE WHEN {odd} THEN b.v WHEN b.n < {warmup} THEN (b.n * b.v + (o.x - b.m) * (o.x - (b.m + (o.x - b.m) / (b.n + 1)))) / (b.n + 1)
+      ELSE (1 - {a!r}) * (b.v + {a!r} * {clip} * {clip} / {h!r}) END,
+    {odd}, CASE WHEN {odd} AND b.v > 0 THEN (o.x - b.m) / sqrt(b.v) END
+  FROM b JOIN o ON o.endpoint = b.endpoint AND o.k = b.k + 1) """
+
+
+def _kept_sql(fold: str, keep: int, per: int = 3600) -> str:
+    return f"""{fold}, f AS (SELECT o.seq, o.ts, o.endpoint, o.ms, round(b.z, 6) AS z,
+  row_number() OVER (PARTITION BY o.endpoint, o.ts // {per} ORDER BY o.seq) AS r FROM b JOIN o ON o.endpoint = b.endpoint AND o.k = b.k WHERE b.odd)
+SELECT seq, ts, endpoint, ms, z FROM f WHERE r <= {keep}"""
+
+
+def _anomalies(policy):
+    def run(spark, sf):
+        s = policy.streams[0]
+        judged, _ = anomaly.judge(good(spark, sf, policy), s)
+        return anomaly.kept_whole(judged, s).select("seq", "ts", "endpoint", "ms", F.round("z", 6).alias("z"))
+
+    return run
+
+
+query("anomalies_log", _kept_sql(_fold_sql(3, 300, 50), 2))(_anomalies(sc.LATENCY))
+query("anomalies_change", _kept_sql(_fold_sql(3, 200, 40, steps=True), 5))(_anomalies(sc.STEPS))
+query("anomalies_level", _kept_sql(_fold_sql(2.5, 200, 40, "ms", ""), 5))(_anomalies(sc.LEVEL))
+
+
+@query("baselines", _fold_sql(3, 300, 50) + "SELECT endpoint, arg_max(n, k) AS n, round(arg_max(m, k), 9) AS m, round(arg_max(v, k), 9) AS var FROM b GROUP BY endpoint")
+def baselines(spark, sf):
+    _, base = anomaly.judge(good(spark, sf), sc.LATENCY.streams[0])
+    return base.select("endpoint", "n", F.round("m", 9).alias("m"), F.round("var", 9).alias("var"))
+
+
+@query("anomaly_counts", _fold_sql(3, 300, 50) + "SELECT o.ts // 86400 * 86400 AS w, o.endpoint, sum(b.odd::INT)::BIGINT AS an FROM b JOIN o ON o.endpoint = b.endpoint AND o.k = b.k GROUP BY ALL")
+def anomaly_counts(spark, sf):
+    """Unusual events by window: all are counted, also those not kept. Only windows with a positive value are compared."""
+    s = sc.LATENCY.streams[0]
+    judged, _ = anomaly.judge(good(spark, sf), s)
+    return rollup.windows(judged.filter("ms > 0"), s, F.col("unusual").cast("int")).filter("res = 86400").select("w", "endpoint", "an")
+
+
+# Exact streams.
+
+_LABELS = f"""WITH RECURSIVE u AS ({sc.USAGE_SQL}),
+r AS (SELECT *, row_number() OVER (ORDER BY seq) AS k, (ts // 86400 + 1) * 86400 + 21600 AS closes FROM u),
+f AS (
+  SELECT 0::BIGINT AS k, NULL::BIGINT AS newest, NULL::VARCHAR AS label, NULL::VARCHAR AS id, ''::VARCHAR AS recent
+  UNION ALL
+  SELECT r.k, CASE WHEN x.label IS NULL THEN greatest(coalesce(f.newest, r.ts), r.ts) ELSE f.newest END, x.label, r.request_id,
+    CASE WHEN x.label IS NULL THEN right(f.recent || ',' || r.request_id || ',', 2000) ELSE f.recent END
+  FROM f JOIN r ON r.k = f.k + 1, LATERAL (SELECT CASE WHEN r.ts > {sc.WALL} + 600 THEN 'ahead' WHEN r.ts < f.newest - 172800 THEN 'late'
+    WHEN f.newest >= r.closes THEN 'closed' WHEN contains(f.recent, ',' || r.request_id || ',') THEN 'repeat' END AS label) x) """
+
+
+def labelled(spark, sf):
+    return exact.label(good(spark, sf, sc.USAGE, sc.usage), sc.USAGE.streams[0], wall=sc.WALL)
+
+
+@query("exact_refused", _LABELS + "SELECT f.label AS reason, customer, model, count(*) AS n FROM f JOIN r ON f.k = r.k WHERE f.label IS NOT NULL GROUP BY ALL")
+def exact_refused(spark, sf):
+    return exact.refused(labelled(spark, sf), sc.USAGE.streams[0])
+
+
+_DAY = "strftime(make_timestamp(r.ts * 1000000), '%Y-%m-%d')"
+
+
+@query("exact_answers", _LABELS + f"SELECT customer, {_DAY} AS period, sum(input_tokens + output_tokens)::DOUBLE AS value FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL")
+def exact_answers(spark, sf):
+    return answers.answers({"usage": exact.accepted(labelled(spark, sf))}, sc.USAGE)["tokens_day"]
+
+
+@query("quota", _LABELS + f""", q AS (SELECT customer, {_DAY} AS period, sum(input_tokens + output_tokens)::DOUBLE AS used FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL)
+SELECT customer, period, used, lim, lim - used AS remaining, (used >= lim)::INT AS reached FROM q
+JOIN (SELECT c_custkey AS customer, round(abs(c_acctbal))::DOUBLE AS lim FROM customer WHERE c_custkey < 10) USING (customer)""")
+def quota(spark, sf):
+    used = exact_answers(spark, sf)
+    limits = sc.table(spark, sf, "customer").filter("c_custkey < 10").select(F.col("c_custkey").alias("customer"), F.round(F.abs("c_acctbal")).alias("lim"))
+    return answers.quota(limits, used, sc.USAGE, sc.USAGE.quotas[0])
+
+
+@query("invoices", _LABELS + f""", d AS (SELECT customer, {_DAY} AS period, count(*) AS requests, sum(input_tokens)::BIGINT AS i, sum(output_tokens)::BIGINT AS o FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL),
+p AS (SELECT c_custkey AS customer, n_name AS plan, 400 + n_nationkey AS price, 5 * n_regionkey AS discount FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT customer, plan, period, requests, ((i * price + o * 1600) * (100 - discount) // 100 + 5000)::BIGINT // 10000 AS cents FROM d JOIN p USING (customer)""")
+def invoices(spark, sf):
+    """Whole-number money: nano-dollars by line, a floored discount, one rounding to cents. Prices are
+    a dimension that Spark broadcasts where it is small."""
+    got = answers.answers({"usage": exact.accepted(labelled(spark, sf))}, sc.USAGE)
+    lines = got["requests_day"].withColumnRenamed("value", "requests").join(got["input_day"].withColumnRenamed("value", "i"), ["customer", "model", "period"]).join(got["output_day"].withColumnRenamed("value", "o"), ["customer", "model", "period"])
+    daily = lines.groupBy("customer", "period").agg(F.sum("requests").cast("long").alias("requests"), F.sum(F.col("i").cast("long")).alias("i"), F.sum(F.col("o").cast("long")).alias("o"))
+    plans = sc.table(spark, sf, "customer").join(sc.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    plans = plans.select(F.col("c_custkey").alias("customer"), F.col("n_name").alias("plan"), (400 + F.col("n_nationkey")).alias("price"), (5 * F.col("n_regionkey")).alias("discount"))
+    cents = F.expr("((i * price + o * 1600) * (100 - discount) div 100 + 5000) div 10000")
+    return daily.join(plans, "customer").select("customer", "plan", "period", "requests", cents.alias("cents"))
+
+
+@query("reconcile", _LABELS + f"SELECT customer, {_DAY} AS period, sum(input_tokens)::BIGINT AS raw_input, 0::BIGINT AS difference FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL")
+def reconcile(spark, sf):
+    """Raw events against the answers made of them."""
+    rows = exact.accepted(labelled(spark, sf))
+    raw = rows.groupBy("customer", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd").alias("period")).agg(F.sum("input_tokens").alias("raw_input"))
+    kept = answers.answers({"usage": rows}, sc.USAGE)["input_day"].groupBy("customer", "period").agg(F.sum("value").cast("long").alias("kept"))
+    return raw.join(kept, ["customer", "period"]).select("customer", "period", "raw_input", (F.col("raw_input") - F.col("kept")).alias("difference"))
+
+
+# Joins, windows and sets that views and tools are made of.
+
+@query("quote_board", _TRADES_SQL + f"""SELECT symbol, {_PERIODS['day'].replace('ts', 't.ts')} AS period, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low,
+  round(sum(price * size) / sum(size), 9) AS vwap, any_value(l.last) AS last FROM t JOIN (SELECT symbol, arg_max(price, (ts, seq)) AS last FROM t GROUP BY symbol) l USING (symbol) GROUP BY ALL""")
+def quote_board(spark, sf):
+    got = answers.answers({"trades": good(spark, sf, sc.TRADES, sc.trades)}, sc.TRADES)
+    board = got["day_open"].withColumnRenamed("value", "open")
+    for name, column in (("day_high", "high"), ("day_low", "low"), ("day_volume", "volume"), ("day_turnover", "turnover")):
+        board = board.join(got[name].withColumnRenamed("value", column), ["symbol", "period"])
+    board = board.join(got["last_price"].withColumnRenamed("value", "last"), "symbol")
+    return board.select("symbol", "period", "open", "high", "low", F.round(F.col("turnover") / F.col("volume"), 9).alias("vwap"), "last")
+
+
+@query("as_of", f"""{_E}, w AS (SELECT ts // 3600 * 3600 AS w, endpoint, arg_max(ms, (ts, seq)) AS last FROM e GROUP BY ALL)
+SELECT e.seq, e.endpoint, w.w, w.last FROM e ASOF JOIN w ON e.endpoint = w.endpoint AND e.ts // 3600 * 3600 > w.w WHERE e.ms > 300""")
+def as_of(spark, sf):
+    """For each large event the last hourly window that ended before it: one sort by (key, time) in place of a range join."""
+    df = good(spark, sf)
+    win = rollup.windows(df, sc.LATENCY.streams[0]).filter("res = 3600").select("endpoint", F.col("w").alias("t"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("seq"), "w", F.col("ms_last").alias("last"))
+    asked = df.filter("ms > 300").select("endpoint", (F.col("ts") - F.pmod("ts", F.lit(3600))).alias("t"), F.lit(-1).alias("side"), "seq", F.lit(None).cast("long").alias("w"), F.lit(None).cast("double").alias("last"))
+    over = Window.partitionBy("endpoint").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, -1)
+    both = win.unionByName(asked)
+    found = both.select("seq", "endpoint", F.last("w", ignorenulls=True).over(over).alias("w"), F.last("last", ignorenulls=True).over(over).alias("last"), "side")
+    return found.filter("side = -1 AND w IS NOT NULL").drop("side")
+
+
+@query("range_join", f"""{_E}, w AS (SELECT ts // 600 * 600 AS w, endpoint, count(*) AS n FROM e GROUP BY ALL), i AS (SELECT seq AS incident, ts AS since FROM e WHERE ms > 400)
+SELECT incident, endpoint, sum(n)::BIGINT AS n FROM i JOIN w ON w.w >= since - 3600 AND w.w < since GROUP BY ALL""")
+def range_join(spark, sf):
+    """Windows of the hour before each incident: an equi-join on ten-minute slots, exact since windows start on them."""
+    df = good(spark, sf)
+    win = df.groupBy((F.col("ts") - F.pmod("ts", F.lit(600))).alias("w"), "endpoint").agg(F.count(F.lit(1)).alias("n"))
+    asked = df.filter("ms > 400").select(F.col("seq").alias("incident"), F.col("ts").alias("since"))
+    first = F.expr("(since - 3600 + 599) div 600 * 600")
+    asked = asked.withColumn("w", F.explode(F.sequence(first, F.col("since") - 1, F.lit(600))))
+    return asked.join(win, "w").groupBy("incident", "endpoint").agg(F.sum("n").alias("n"))
+
+
+@query("completed_keys", f"""{_E}, k AS (SELECT DISTINCT endpoint FROM e UNION SELECT DISTINCT c_mktsegment FROM customer), n AS (SELECT endpoint, count(*) AS n FROM e WHERE ms > 200 GROUP BY 1)
+SELECT k.endpoint, coalesce(n, 0)::BIGINT AS n FROM k LEFT JOIN n USING (endpoint)""")
+def completed_keys(spark, sf):
+    df = good(spark, sf)
+    keys = df.select("endpoint").union(sc.table(spark, sf, "customer").select("c_mktsegment")).distinct()
+    n = df.filter("ms > 200").groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"))
+    return keys.join(n, "endpoint", "left").select("endpoint", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("seen_ids", f"WITH u AS ({sc.USAGE_SQL}) SELECT seq, request_id FROM u WHERE seq >= 500 AND EXISTS (SELECT 1 FROM u o WHERE o.request_id = u.request_id AND o.seq < 500)")
+def seen_ids(spark, sf):
+    u = sc.usage(spark, sf)
+    return u.filter("seq >= 500").join(u.filter("seq < 500").select("request_id"), "request_id", "left_semi").select("seq", "request_id")
+
+
+@query("trending", f"""SELECT event_type, count(DISTINCT user_id) AS people, count(*) AS n, sum(CASE WHEN value > 100 THEN 1 ELSE 0 END)::BIGINT AS large
+FROM events GROUP BY event_type HAVING count(DISTINCT user_id) >= 2""")
+def trending(spark, sf):
+    e = sc.table(spark, sf, "events")
+    out = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("people"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("value") > 100, 1).otherwise(0)).alias("large"))
+    return out.filter("people >= 2")
+
+
+@query("busiest", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 12")
+def busiest(spark, sf):
+    """The twelve busiest values of a key."""
+    return sc.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(12)
+
+
+@query("crossing", """WITH r AS (SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)
+SELECT user_id, min(event_id) AS event_id FROM r WHERE spent >= 1000 GROUP BY user_id""")
+def crossing(spark, sf):
+    """The event with which each user's running sum first reached a limit."""
+    over = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    r = sc.table(spark, sf, "events").withColumn("spent", F.sum("value").over(over))
+    return r.filter("spent >= 1000").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+
+
+@query("median_minute", f"""{_E}, m AS (SELECT endpoint, ts // 43200 * 43200 AS h, (ts % 43200) // 720 AS minute, count(*) AS n FROM e GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY endpoint, h ORDER BY n DESC) AS rk FROM m)
+SELECT endpoint, h, sum(CASE WHEN rk IN (30, 31) THEN n ELSE 0 END) / 2.0 AS usual FROM r GROUP BY ALL""")
+def median_minute(spark, sf):
+    """Median count of sixty slots, the missing ones zero: the mean of ranks 30 and 31 from the top."""
+    df = good(spark, sf)
+    m = df.groupBy("endpoint", F.expr("ts div 43200 * 43200").alias("h"), F.expr("(ts % 43200) div 720").alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+    r = m.withColumn("rk", F.row_number().over(Window.partitionBy("endpoint", "h").orderBy(F.desc("n"))))
+    return r.groupBy("endpoint", "h").agg((F.sum(F.when(F.col("rk").isin(30, 31), F.col("n")).otherwise(0)) / 2.0).alias("usual"))
+
+
+@query("senders", """WITH r AS (SELECT event_id AS seq, event_type AS source, CASE WHEN event_id % 10 = 9 THEN event_id - 500 ELSE event_id END AS sent FROM events),
+h AS (SELECT *, max(sent) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM r)
+SELECT seq, source, sent FROM h WHERE high IS NULL OR sent > high""")
+def senders(spark, sf):
+    e = sc.table(spark, sf, "events")
+    sent = F.when(F.col("event_id") % 10 == 9, F.col("event_id") - 500).otherwise(F.col("event_id"))
+    return events.unsent(e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("source"), sent.alias("sent")))
+
+
+@query("distill", f"""{_E}, w AS ({_win_sql(600)})
+SELECT 'latency_win' AS name, count(*) AS n FROM w WHERE w > 1706572800 - (604800 + 600) UNION ALL SELECT 'latency_raw', count(*) FROM e WHERE ts >= 1706572800 - 432000""")
+def distill(spark, sf):
+    s, df = sc.LATENCY.streams[0], good(spark, sf)
+    left = answers.distill({"latency_win": rollup.windows(df, s).filter("res = 600"), "latency_raw": df}, s, 1706572800)
+    parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k, t in left.items()]
+    return parts[0].union(parts[1])
