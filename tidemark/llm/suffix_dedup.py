@@ -244,9 +244,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run = np.concatenate([[0], np.cumsum(same < 2)])
     marks += MIXED * (np.bincount(run[1:], same == 2, run[-1] + 1) > 0)[run]
     ends = order[[0, -1]]
+    # What another bucket can change: whether a row equal to one at an end has an equal there, and whether
+    # the equals of a run that holds nothing else are mixed after all. The first of equals stands for them.
     edge = np.zeros(len(order), bool)
+    first, alone = marks & FIRST > 0, (marks % EDGE == 3) & (marks & MIXED == 0)
     for e in ends:
-        edge |= (tokens[:, :2] == [rows["t0"][e], rows["t1"][e]]).all(1)
+        ties = tokens == [rows["t0"][e], rows["t1"][e], rows["t2"][e]]
+        edge |= ties.all(1) & first | ties[:, :2].all(1) & first & alone
     marks += EDGE * edge
     keep = (marks % EDGE > 0) | edge
 
