@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import Scratch, width
 
 #: Bytes of text in one block, but for a text that is longer alone.
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 
 
 @lru_cache(maxsize=2)
@@ -44,6 +44,15 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
+def small(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed: all lowest bytes first, then all next ones, which are mostly zero."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def large(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack(words: list[bytes]) -> bytes:
     return zlib.compress(np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words), 1)
 
@@ -71,12 +80,12 @@ def _blocks(pattern: str, deals: int, most: int):
         def rows() -> Iterator[pa.RecordBatch]:
             mark = (task << 32) | number
             head = {"block": [mark], "deal": [-1], "ids": [ids], "counts": [counts], "n": [len(own)]}
-            yield pa.RecordBatch.from_pydict(head | {"data": [zlib.compress(np.concatenate([np.empty(0, "<u4"), *places]).astype("<u4").tobytes(), 1)], "at": [None]}, schema=schema)
+            yield pa.RecordBatch.from_pydict(head | {"data": [small(np.concatenate([np.empty(0, "<u4"), *places]))], "at": [None]}, schema=schema)
             words = [w.encode("utf-8", "surrogatepass") for w in own]
             to = np.array([xxhash.xxh64_intdigest(w) % deals for w in words], dtype=np.int64)
             order = np.argsort(to, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if words else []:
-                yield pa.RecordBatch.from_pydict({"block": [mark], "deal": [int(to[part[0]])], "ids": [None], "counts": [None], "n": [len(part)], "data": [pack([words[i] for i in part])], "at": [zlib.compress(part.astype("<u4").tobytes(), 1)]}, schema=schema)
+                yield pa.RecordBatch.from_pydict({"block": [mark], "deal": [int(to[part[0]])], "ids": [None], "counts": [None], "n": [len(part)], "data": [pack([words[i] for i in part])], "at": [small(np.diff(part, prepend=0))]}, schema=schema)
 
         for batch in batches:
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -116,7 +125,7 @@ def _encode(path: str, pattern: str):
             out["block"].append(block.as_py())
             out["n"].append(n.as_py())
             out["at"].append(at.as_py())
-            out["tokens"].append(zlib.compress(lengths.tobytes() + flat.tobytes(), 1))
+            out["tokens"].append(small(np.concatenate([lengths, flat])))
         return pa.Table.from_pydict(out, schema=reply)
 
     return run, "block long, n long, at binary, tokens binary"
@@ -129,52 +138,49 @@ def gather(starts: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[
     return np.repeat(starts[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0), n
 
 
+def _placed(table: dict[bytes, int], texts: pa.Table, words: pa.Table) -> Iterator[tuple[int | None, np.ndarray, bytes]]:
+    """Identifier, token ids and their bytes of each row of a block, one row at a time."""
+    pieces = [b""] * (max(table.values()) + 1)
+    for piece, rank in table.items():
+        pieces[rank] = piece
+    for ids, counts, n, data in zip(*(texts.column(c) for c in ("ids", "counts", "n", "data"))):
+        n = n.as_py()
+        lengths, parts, where = np.zeros(n, np.int64), [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for m, at, packed in zip(*(words.column(c) for c in ("n", "at", "tokens"))):
+            m = m.as_py()
+            both = large(packed.as_py())
+            where.append(np.cumsum(large(at.as_py()), dtype=np.int64))
+            lengths[where[-1]] = both[:m]
+            parts.append(both[m:])
+        flat, order = np.concatenate(parts), np.concatenate(where)
+        starts = np.zeros(n, np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        places = large(data.as_py())
+        at = 0
+        for ident, count in zip(ids.as_py(), counts.as_py()):
+            got = flat[gather(starts, lengths, places[at : at + count])[0]]
+            at += count
+            yield ident, got, b"".join([pieces[t] for t in got.tolist()])
+
+
 def _assemble(path: str):
     """A block's positions and the ids of its words: token ids of each of its rows, and their bytes."""
     schema = pa.schema([("ident", pa.int64()), ("tokens", pa.binary()), ("decoded", pa.binary())])
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        table = ranks(path)
-        pieces = [b""] * (max(table.values()) + 1)
-        for piece, rank in table.items():
-            pieces[rank] = piece
-        idents, tokens, decoded = [], [], []
-        for ids, counts, n, data in zip(*(texts.column(c) for c in ("ids", "counts", "n", "data"))):
-            n = n.as_py()
-            lengths, parts, where = np.zeros(n, np.int64), [], []
-            for m, at, packed in zip(*(words.column(c) for c in ("n", "at", "tokens"))):
-                m = m.as_py()
-                both = np.frombuffer(zlib.decompress(packed.as_py()), "<u4")
-                own = np.frombuffer(zlib.decompress(at.as_py()), "<u4")
-                lengths[own] = both[:m]
-                parts.append(both[m:])
-                where.append(own)
-            flat = np.concatenate(parts) if parts else np.empty(0, "<u4")
-            order = np.concatenate(where) if where else np.empty(0, np.int64)
-            starts = np.zeros(n, np.int64)
-            if n:
-                starts[order] = np.cumsum(lengths[order]) - lengths[order]
-            places = np.frombuffer(zlib.decompress(data.as_py()), "<u4")
-            at = 0
-            for ident, count in zip(ids.as_py(), counts.as_py()):
-                got = flat[gather(starts, lengths, places[at : at + count])[0]] if count else np.empty(0, "<u4")
-                at += count
-                idents.append(ident)
-                tokens.append(got.astype("<u4").tobytes())
-                decoded.append(b"".join([pieces[t] for t in got.tolist()]))
-        return pa.Table.from_pydict({"ident": idents, "tokens": tokens, "decoded": decoded}, schema=schema)
+        rows = [(i, t.astype("<u4").tobytes(), d) for i, t, d in _placed(ranks(path), texts, words)]
+        return pa.Table.from_pydict(dict(zip(schema.names, zip(*rows) if rows else ([], [], []))), schema=schema)
 
     return run, "ident long, tokens binary, decoded binary"
 
 
 def _digests(path: str):
-    whole, _ = _assemble(path)
+    """As _assemble, but only what a comparison needs is held."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        full = whole(texts, words)
-        tokens, decoded = ([x.as_py() for x in full.column(c)] for c in ("tokens", "decoded"))
-        return pa.Table.from_pydict({"doc_id": full.column("ident").to_pylist(), "n_tokens": [len(x) // 4 for x in tokens], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in tokens], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in decoded]}, schema=schema)
+        rows = [(i, len(t), hashlib.sha256(t.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(d).hexdigest()) for i, t, d in _placed(ranks(path), texts, words)]
+        return pa.Table.from_pydict(dict(zip(schema.names, zip(*rows) if rows else ([], [], [], []))), schema=schema)
 
     return run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -189,7 +195,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, ident: str = "doc_
     spark = docs.sparkSession
     scratch, deals = Scratch(spark, "bpe"), 4 * width(spark)
     run, kind = _blocks(pattern, deals, block)
-    blocks = scratch.table("blocks", docs.select(F.col(ident).cast("long"), F.col(text).cast("string")).mapInArrow(run, kind))
+    # In buckets of their block: the positions, most of the bytes, stay where they are written.
+    blocks = scratch.bucketed("blocks", docs.select(F.col(ident).cast("long"), F.col(text).cast("string")).mapInArrow(run, kind), width(spark), "block")
     words = blocks.filter("deal >= 0").select("block", "deal", "n", "data", "at")
     run, kind = _encode(vocabulary, pattern)
     ids = words.groupBy("deal").applyInArrow(run, kind)
