@@ -81,16 +81,21 @@ def deviation(spark, sf):
 
 
 _TRADES_SQL = """WITH t AS (
-  SELECT l_orderkey * 8 + l_linenumber AS seq, floor(epoch(l_shipdate))::BIGINT AS ts, l_returnflag || l_linestatus AS symbol,
+  SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS seq, floor(epoch(l_shipdate))::BIGINT AS ts, l_returnflag || l_linestatus AS symbol,
     l_extendedprice / l_quantity AS price, l_quantity::BIGINT AS size, l_partkey, l_suppkey FROM lineitem) """
 
 
+def _cut(x):
+    """Six decimals, cut where no fraction of small numbers lies: round() treats halves unlike other engines."""
+    return F.floor(x * 1000000 + 0.37) / 1000000
+
+
 @query("candles", _TRADES_SQL + """SELECT ts // 604800 * 604800 AS w, symbol, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low,
-  arg_max(price, (ts, seq)) AS close, sum(size)::DOUBLE AS volume, round(sum(price * size) / sum(size), 9) AS vwap FROM t GROUP BY ALL""")
+  arg_max(price, (ts, seq)) AS close, sum(size)::DOUBLE AS volume, floor(sum(price * size) / sum(size) * 1000000 + 0.37) / 1000000 AS vwap FROM t GROUP BY ALL""")
 def candles(spark, sf):
     s = sc.TRADES.streams[0]
     win = rollup.windows(good(spark, sf, sc.TRADES, sc.trades), s).filter("res = 604800")
-    return win.select("w", "symbol", F.col("price_first").alias("open"), F.col("price_max").alias("high"), F.col("price_min").alias("low"), F.col("price_last").alias("close"), F.col("size_sum").alias("volume"), F.round(F.col("notional_sum") / F.col("size_sum"), 9).alias("vwap"))
+    return win.select("w", "symbol", F.col("price_first").alias("open"), F.col("price_max").alias("high"), F.col("price_min").alias("low"), F.col("price_last").alias("close"), F.col("size_sum").alias("volume"), _cut(F.col("notional_sum") / F.col("size_sum")).alias("vwap"))
 
 
 @query("derived", _TRADES_SQL + "SELECT symbol, round(sum(price * size), 2) AS notional, max(price * size) AS top FROM t GROUP BY ALL")
@@ -304,14 +309,14 @@ def reconcile(spark, sf):
 # Joins, windows and sets that views and tools are made of.
 
 @query("quote_board", _TRADES_SQL + f"""SELECT symbol, {_PERIODS['day'].replace('ts', 't.ts')} AS period, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low,
-  round(sum(price * size) / sum(size), 9) AS vwap, any_value(l.last) AS last FROM t JOIN (SELECT symbol, arg_max(price, (ts, seq)) AS last FROM t GROUP BY symbol) l USING (symbol) GROUP BY ALL""")
+  floor(sum(price * size) / sum(size) * 1000000 + 0.37) / 1000000 AS vwap, any_value(l.last) AS last FROM t JOIN (SELECT symbol, arg_max(price, (ts, seq)) AS last FROM t GROUP BY symbol) l USING (symbol) GROUP BY ALL""")
 def quote_board(spark, sf):
     got = answers.answers({"trades": good(spark, sf, sc.TRADES, sc.trades)}, sc.TRADES)
     board = got["day_open"].withColumnRenamed("value", "open")
     for name, column in (("day_high", "high"), ("day_low", "low"), ("day_volume", "volume"), ("day_turnover", "turnover")):
         board = board.join(got[name].withColumnRenamed("value", column), ["symbol", "period"])
     board = board.join(got["last_price"].withColumnRenamed("value", "last"), "symbol")
-    return board.select("symbol", "period", "open", "high", "low", F.round(F.col("turnover") / F.col("volume"), 9).alias("vwap"), "last")
+    return board.select("symbol", "period", "open", "high", "low", _cut(F.col("turnover") / F.col("volume")).alias("vwap"), "last")
 
 
 @query("as_of", f"""{_E}, w AS (SELECT ts // 3600 * 3600 AS w, endpoint, arg_max(ms, (ts, seq)) AS last FROM e GROUP BY ALL)

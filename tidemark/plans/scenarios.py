@@ -105,7 +105,7 @@ LATENCY_SQL = "SELECT event_id AS seq, floor(epoch(ts))::BIGINT AS ts, event_typ
 
 def trades(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "lineitem")
-    seq = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    seq = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")
     return x.select(seq.alias("seq"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("ts"), F.concat("l_returnflag", "l_linestatus").alias("symbol"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").cast("long").alias("size"), F.col("l_partkey"), F.col("l_suppkey"))
 
 
