@@ -34,7 +34,7 @@ from tidemark.llm.scratch import Scratch, width
 from tidemark.llm.shingles import mix, set_hash, shingle_sets
 
 #: Longs in a bitmap, sets in a leaf, and bytes of text whose keys a task holds at a time.
-LONGS, LEAF, HELD = 16, 64, 24 << 20
+LONGS, LEAF, HELD = 64, 64, 24 << 20
 
 
 @lru_cache(maxsize=8)
@@ -171,18 +171,19 @@ def _meet():
 
 def _describe(words: int):
     """(sid, n, tokens, bits) of documents that stand for their set; others with that identifier are passed over."""
-    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("bits", pa.list_(pa.int64()))])
+    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("hidden", pa.int64()), ("tokens", pa.binary()), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, wanted, out = batch.column("text").to_pylist(), batch.column("sid").to_pylist(), []
             for sid, s in zip(wanted, shingle_sets(texts, words)):
                 if len(s) and set_hash(s) == sid:
-                    out.append((sid, len(s), s.astype("<u8").tobytes(), bitmap(s)))
+                    bits = bitmap(s)
+                    out.append((sid, len(s), len(s) - int(np.bitwise_count(bits.view(np.uint64)).sum()), s.astype("<u8").tobytes(), bits))
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out)))), schema=schema)
 
-    return run, "sid long, n long, tokens binary, bits array<long>"
+    return run, "sid long, n long, hidden long, tokens binary, bits array<long>"
 
 
 def _compare(percent: int):
@@ -206,11 +207,16 @@ def _compare(percent: int):
     return run, "a long, b long, linked boolean"
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The linked ones of pairs: first by sizes and bitmaps, which are small, then by all tokens of the rest."""
+    for side in "ab":
+        few = sets.select(F.col("sid").alias(side), F.col("n").alias(f"{side}_least"), F.col("n").alias(f"{side}_most"), "hidden", F.col("bits").alias(f"{side}_signature"))
+        pairs = pairs.join(few.withColumnRenamed("hidden", f"{side}_hidden"), side)
+    pairs = scratch.table(name, pairs.filter(_may_link(percent)).select("a", "b"))
     a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("a_tokens"))
     b = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("b_tokens"))
     run, kind = _compare(percent)
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, kind)
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, kind).filter("linked").select("a", "b")
 
 
 def _leaves():
@@ -277,6 +283,12 @@ def _traverse(members: DataFrame, percent: int, scratch: Scratch, n: int) -> Dat
     order = ["key", "n", "sid"]
     run, kind = _leaves()
     leaves = scratch.table("leaves", members.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "sid", "component", "n", "bits", "keys").mapInArrow(run, kind))
+    run, kind = _cross(percent)
+    twice = [F.col(c).alias(f"{s}_{c}") for s in "ab" for c in ("members", "keys")]
+    within = leaves.select("key", F.lit(True).alias("same"), *twice).mapInArrow(run, kind)
+    # Most keys have one leaf, which has met itself; only those of several are joined.
+    tall = leaves.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("leaves")).filter("leaves > 1").select("of")
+    leaves = scratch.table("tall", leaves.join(tall, F.col("key") == F.col("of")).drop("of"))
     merged = F.array(*(F.bit_or(F.col("signature")[k]) for k in range(LONGS))).alias("signature")
     branches = scratch.table("branches", leaves.groupBy("key", "part").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("hidden").alias("hidden"), merged))
     side = lambda df, s, columns: df.select(*(F.col(c).alias(f"{s}_{c}") for c in columns))
@@ -287,10 +299,9 @@ def _traverse(members: DataFrame, percent: int, scratch: Scratch, n: int) -> Dat
     low = ["key", "part", "leaf", *node, "members", "keys"]
     pairs = top.join(side(leaves, "a", low), (F.col("key") == F.col("a_key")) & (F.col("up_a") == F.col("a_part")))
     pairs = pairs.join(side(leaves, "b", low), (F.col("key") == F.col("b_key")) & (F.col("up_b") == F.col("b_part")))
-    pairs = pairs.filter(((F.col("up_a") < F.col("up_b")) | (F.col("a_leaf") <= F.col("b_leaf"))) & _may_link(percent))
-    pairs = pairs.withColumn("same", (F.col("up_a") == F.col("up_b")) & (F.col("a_leaf") == F.col("b_leaf")))
-    run, kind = _cross(percent)
-    return pairs.select("key", "same", "a_members", "b_members", "a_keys", "b_keys").mapInArrow(run, kind).distinct()
+    pairs = pairs.filter(((F.col("up_a") < F.col("up_b")) | (F.col("a_leaf") < F.col("b_leaf"))) & _may_link(percent))
+    across = pairs.select("key", F.lit(False).alias("same"), "a_members", "b_members", "a_keys", "b_keys").mapInArrow(run, kind)
+    return within.union(across).distinct()
 
 
 def _unpack():
@@ -330,26 +341,28 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     run, kind = _describe(words)
     texts = d.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("stand"), "text")
     sets = scratch.table("sets", texts.join(stands.join(wanted, F.col("sid") == F.col("of")).select("stand", "sid"), "stand").select("sid", "text").mapInArrow(run, kind))
-    judged = scratch.table("judged", _verify(pairs, sets, percent))
-    links = judged.filter("linked").select("a", "b")
+    links = scratch.table("linked", _verify(pairs, sets, percent, scratch, "likely"))
     joined = scratch.table("joined", components(links, scratch, "first"))
     of = lambda s: joined.select(F.col("node").alias(s), F.col("component").alias(f"{s}_in"))
-    apart = judged.filter("NOT linked").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = scratch.table("apart", apart.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select(F.col("a").alias("x"), F.col("b").alias("y")))
     if not apart.isEmpty():
         run, kind = _unpack()
         shared = scratch.table("shared", rows.filter("kind = 3").select("data").mapInArrow(run, kind))
         mixed = scratch.table("mixed", shared.join(apart, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select(F.col("key").alias("of_key")).distinct())
         shared = shared.join(mixed, F.col("key") == F.col("of_key"))
-        members = shared.select("key", F.col("a").alias("sid")).union(shared.select("key", "b")).distinct()
-        members = members.join(sets.select("sid", "n", "bits"), "sid").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
-        members = scratch.table("members", members.withColumn("component", F.coalesce("component", "sid")))
+        members = scratch.table("listed", shared.select("key", F.col("a").alias("sid")).union(shared.select("key", "b")).distinct())
+        # Two sets under a key have been compared, and keys that list the same sets are one.
+        groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("mark"))
+        groups = scratch.table("groups", groups.filter("size > 2").groupBy("size", "sum", "mark").agg(F.min("key").alias("of_key")).select("of_key"))
+        members = scratch.table("grouped", members.join(groups, F.col("key") == F.col("of_key")).select("key", "sid"))
         # The keys of one set: no more than it was listed under.
-        listed = scratch.table("listed", members.groupBy(F.col("sid").alias("of")).agg(F.collect_set("key").alias("keys")))
-        members = members.join(listed, F.col("sid") == F.col("of"))
-        more = scratch.table("more", _traverse(members, percent, scratch, n))
-        more = more.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        links = scratch.table("links", links.union(_verify(more, sets, percent).filter("linked").select("a", "b")))
+        listed = members.groupBy("sid").agg(F.collect_set("key").alias("keys"))
+        listed = listed.join(sets.select("sid", "n", "bits"), "sid").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
+        listed = scratch.table("members", listed.withColumn("component", F.coalesce("component", "sid")))
+        more = scratch.table("more", _traverse(members.join(listed, "sid"), percent, scratch, n))
+        more = more.join(pairs, ["a", "b"], "left_anti")
+        links = scratch.table("links", links.union(_verify(more, sets, percent, scratch, "likelier")))
         joined = components(links, scratch, "second")
     known = stands.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
     known = scratch.table("known", known)
