@@ -1 +1 @@
-
+"""Where events come from."""
