@@ -18,11 +18,20 @@ SECRETS = [
 ]
 
 
+def _step(pattern: str, mask: str, hint: str):
+    def step(s: Column) -> Column:
+        may = F.contains(F.lower(s["t"]), F.lit(hint.lower()))
+        return F.struct(F.when(may, F.regexp_replace(s["t"], pattern, mask)).otherwise(s["t"]).alias("t"), (s["n"] + F.when(may, F.regexp_count(s["t"], F.lit(pattern))).otherwise(0)).alias("n"))
+
+    return step
+
+
 def redact(text: Column) -> tuple[Column, Column]:
     """(text with its secrets masked, how many were). Each shape is looked for in what the ones before left."""
-    n = F.lit(0)
+    # Each step binds the one before as a lambda's variable, so that it is worked out once.
+    state = F.struct(text.alias("t"), F.lit(0).alias("n"))
     for name, pattern, keeps, hint in SECRETS:
-        may = F.contains(F.lower(text), F.lit(hint.lower()))
-        n = n + F.when(may, F.regexp_count(text, F.lit(pattern))).otherwise(0)
-        text = F.when(may, F.regexp_replace(text, pattern, f"{'$1' if keeps else ''}[redacted {name}]")).otherwise(text)
-    return text, n
+        mask = f"{'$1' if keeps else ''}[redacted {name}]"
+
+        state = F.get(F.transform(F.array(state), _step(pattern, mask, hint)), 0)
+    return state["t"], state["n"]

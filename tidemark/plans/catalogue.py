@@ -10,9 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.redact import redact
 from tidemark.functions.times import within_period
-from tidemark.operators import anomaly, answers, events, exact, rollup, samples, sketch
+from tidemark.operators import anomaly, answers, dejavu, events, exact, rollup, samples, sketch, traces
 from tidemark.plans import scenarios as sc
+from tidemark.policy import parse
+from tidemark.sources import loglines, otlp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -409,3 +412,180 @@ def distill(spark, sf):
     left = answers.distill({"latency_win": rollup.windows(df, s).filter("res = 600"), "latency_raw": df}, s, 1706572800)
     parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k, t in left.items()]
     return parts[0].union(parts[1])
+
+
+# Log lines, made of events: one line an event, with pairs to take fields from.
+
+LOGS = parse("""
+logs { format "<timestamp> <level> <service> <message>" mask "[0-9]+ms" }
+stream web from logs where service = "click" { key user integer value took real rollup 1h keep 30d quantiles took }
+stream lines from logs { key service text key level text rollup 1m keep 30d }
+""")
+
+
+def lines(spark, sf):
+    e = sc.table(spark, sf, "events")
+    i = F.col("event_id")
+    level = F.when(i % 7 == 0, "ERROR").when(i % 3 == 0, "WARN").otherwise("INFO")
+    message = F.concat(F.when(i % 2 == 0, "request served").otherwise("cache miss for item"), F.lit(" user="), "user_id", F.lit(' note="a b" took='), F.format_string("%.2f", "value"), F.lit(" in "), (i % 100).cast("string"), F.lit("ms"))
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return e.select(i.alias("seq"), F.concat_ws(" ", stamp, level, "event_type", message).alias("value"))
+
+
+_L = """WITH l AS (SELECT event_id AS seq, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' ' || CASE WHEN event_id % 7 = 0 THEN 'ERROR' WHEN event_id % 3 = 0 THEN 'WARN' ELSE 'INFO' END
+  || ' ' || event_type || ' ' || CASE WHEN event_id % 2 = 0 THEN 'request served' ELSE 'cache miss for item' END || ' user=' || user_id || ' note="a b" took=' || printf('%.2f', value)
+  || ' in ' || event_id % 100 || 'ms' AS line FROM events),
+p AS (SELECT seq, line, regexp_extract(line, '^(.*?)\\s+(.*?)\\s+(.*?)\\s+(.*?)$', 1) AS stamp, regexp_extract(line, '^(\\S+)\\s+(\\S+)\\s+(\\S+)\\s+(.*)$', 2) AS level,
+  regexp_extract(line, '^(\\S+)\\s+(\\S+)\\s+(\\S+)\\s+(.*)$', 3) AS service, regexp_extract(line, '^(\\S+)\\s+(\\S+)\\s+(\\S+)\\s+(.*)$', 4) AS message FROM l) """
+
+
+@query("log_lines", _L + """SELECT seq, epoch(strptime(stamp, '%Y-%m-%dT%H:%M:%SZ'))::BIGINT AS ts, level, service, message,
+  regexp_replace(regexp_replace(message, '(^|\\s)([A-Za-z_][A-Za-z0-9_.]*)=("[^"]*"|\\S*)', '\\1\\2=<*>', 'g'), '[0-9]+ms', '<*>', 'g') AS masked FROM p""")
+def log_lines(spark, sf):
+    good_lines, _ = loglines.parse(lines(spark, sf), LOGS.logs)
+    return good_lines.select("seq", "ts", "level", "service", "message", "masked")
+
+
+@query("log_routing", _L + """SELECT seq, epoch(strptime(stamp, '%Y-%m-%dT%H:%M:%SZ'))::BIGINT AS ts, regexp_extract(message, 'user=(\\S*)', 1)::BIGINT AS user,
+  regexp_extract(message, 'took=(\\S*)', 1)::DOUBLE AS took, line FROM p WHERE service = 'click'""")
+def log_routing(spark, sf):
+    good_lines, _ = loglines.parse(lines(spark, sf), LOGS.logs)
+    return loglines.route(good_lines, LOGS.stream("web"))
+
+
+@query("log_contains", _L + "SELECT seq FROM p WHERE contains(lower(line), 'miss for item user=7 ')")
+def log_contains(spark, sf):
+    return lines(spark, sf).filter(F.contains(F.lower("value"), F.lower(F.lit("MISS for item user=7 ")))).select("seq")
+
+
+@query("log_templates")
+def log_templates(spark, sf):
+    good_lines, _ = loglines.parse(lines(spark, sf), LOGS.logs)
+    return loglines.learn(good_lines, LOGS.logs)[1]
+
+
+# Incidents.
+
+_MIN = """WITH m AS (SELECT floor(epoch(ts))::BIGINT // 60 * 60 AS w, event_type AS service, CASE WHEN event_id % 7 = 0 THEN 'DEBUG' ELSE 'INFO' END AS level,
+  user_id % 3 AS template, (count(*) * (1 + 40 * (floor(epoch(any_value(ts)))::BIGINT // 3600 % 5 = 0)::INT))::BIGINT AS n FROM events GROUP BY ALL) """
+
+
+def minutes(spark, sf):
+    e = sc.table(spark, sf, "events")
+    t = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    level = F.when(F.col("event_id") % 7 == 0, "DEBUG").otherwise("INFO")
+    w = (t - t % 60).alias("w")
+    m = e.groupBy(w, F.col("event_type").alias("service"), level.alias("level"), (F.col("user_id") % 3).alias("template")).agg(F.count(F.lit(1)).alias("n"))
+    return m.withColumn("n", F.col("n") * (1 + 40 * (F.expr("w div 3600 % 5 = 0").cast("long"))))
+
+
+_INC = "i AS (SELECT event_id AS id, floor(epoch(ts))::BIGINT AS started FROM events WHERE event_id % 50 = 3)"
+
+
+def _prints_sql() -> str:
+    return f"""{_MIN}, {_INC}, s AS (SELECT id AS incident, started // 60 * 60 AS since FROM i),
+cur AS (SELECT incident, service, level, template, sum(n) / 2.0 AS r FROM s JOIN m ON m.w >= since AND m.w < since + 120 WHERE level <> 'DEBUG' GROUP BY ALL),
+hr AS (SELECT incident, service, level, template, n, row_number() OVER (PARTITION BY incident, service, level, template ORDER BY n DESC) AS k FROM s JOIN m ON m.w >= since - 3600 AND m.w < since WHERE level <> 'DEBUG'),
+base AS (SELECT incident, service, level, template, sum(CASE WHEN k IN (30, 31) THEN n ELSE 0 END) / 2.0 AS r FROM hr GROUP BY ALL),
+f AS (SELECT incident, service, level, template, coalesce(cur.r, 0) AS now_rate, coalesce(base.r, 0) AS usual_rate FROM cur FULL JOIN base USING (incident, service, level, template)),
+fp AS (SELECT *, ln((now_rate + 2) / (usual_rate + 2)) AS score FROM f WHERE abs(ln((now_rate + 2) / (usual_rate + 2))) >= ln(3) AND abs(now_rate - usual_rate) >= 6) """
+
+
+def prints(spark, sf):
+    e = sc.table(spark, sf, "events").filter("event_id % 50 = 3")
+    incidents = e.select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("started"))
+    return dejavu.incident_fingerprints(minutes(spark, sf), incidents)
+
+
+@query("incident_fingerprints", _prints_sql() + "SELECT incident, service, level, template, now_rate, usual_rate, round(score, 9) AS score FROM fp")
+def incident_fingerprints(spark, sf):
+    return prints(spark, sf).withColumn("score", F.round("score", 9))
+
+
+@query("deja_vu", _prints_sql() + """, n AS (SELECT service, level, template, avg(score) AS s FROM fp WHERE incident < 5000 GROUP BY ALL), nn AS (SELECT sqrt(sum(s * s)) AS norm FROM n),
+fn AS (SELECT incident, sqrt(sum(score * score)) AS own, count(*) AS keys FROM fp GROUP BY incident), d AS (SELECT incident, sum(s * score) AS dot, count(*) AS shared FROM n JOIN fp USING (service, level, template) GROUP BY incident)
+SELECT fn.incident, round(coalesce(dot, 0) / (norm * own), 9) AS similarity, coalesce(shared, 0) AS shared, keys FROM fn JOIN nn ON norm > 0 LEFT JOIN d ON fn.incident = d.incident""")
+def deja_vu(spark, sf):
+    saved = prints(spark, sf)
+    now = saved.filter("incident < 5000").groupBy("service", "level", "template").agg(F.avg("score").alias("score"))
+    return dejavu.deja_vu(now, saved).withColumn("similarity", F.round("similarity", 9))
+
+
+# Agent traces, made of conversations.
+
+def runs(spark, sf):
+    c = sc.table(spark, sf, "conversations").filter("text IS NOT NULL AND role IS NOT NULL")
+    m = F.struct(F.to_json(F.struct("role", "text")).alias("raw"), F.col("role"), F.when(F.col("role") == "assistant", "assistant").otherwise("task").alias("source"), F.char_length("text").cast("long").alias("tokens"), (F.col("turn") * 200).alias("at"))
+    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", m.alias("m")))).alias("all"))
+    return g.select(F.format_string("r%06d", "conv_id").alias("run"), F.concat(F.lit("repo"), F.col("conv_id") % 5).alias("repo"), F.lit("m1").alias("model"), (F.lit(1790586000) + F.col("conv_id") * 60).alias("start"), F.lit("[]").alias("tools"), F.lit(7).cast("long").alias("tools_tokens"), F.col("all.m").alias("messages"))
+
+
+_T = """WITH c AS (SELECT conv_id, role, text, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS k FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL),
+m AS (SELECT *, printf('r%06d', conv_id) AS run, length(text) AS tokens, 1790586000 + conv_id * 60 + turn * 200 AS t,
+  lag(1790586000 + conv_id * 60 + turn * 200) OVER (PARTITION BY conv_id ORDER BY k) AS sent, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+r AS (SELECT *, row_number() OVER w AS call, lag(k) OVER w AS pk, lag(sent) OVER w AS psent, lag(before) OVER w AS pbefore FROM m WHERE k > 0 AND role = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+u AS (SELECT *, pk IS NOT NULL AND sent - psent <= 300 AS hit FROM r) """
+
+
+@query("trace_calls", _T + "SELECT run, call, t AS ts, (7 + before)::BIGINT AS input_tokens, CASE WHEN hit THEN 7 + pbefore ELSE 0 END::BIGINT AS cached_tokens, tokens AS output_tokens FROM u")
+def trace_calls(spark, sf):
+    return traces.calls(runs(spark, sf)).select("run", "call", "ts", "input_tokens", "cached_tokens", "output_tokens")
+
+
+@query("trace_context", _T + """, x AS (SELECT u.run, u.call, CASE WHEN m.role = 'assistant' THEN 'assistant' ELSE 'task' END AS source, m.tokens, CASE WHEN u.hit AND m.k < u.pk THEN m.tokens ELSE 0 END AS cached
+  FROM u JOIN m ON u.conv_id = m.conv_id AND m.k < u.k)
+SELECT run || '#' || call || '/' || source AS part_id, sum(tokens)::BIGINT AS tokens, sum(cached)::BIGINT AS cached_tokens, 0::BIGINT AS output_tokens FROM x GROUP BY ALL
+UNION ALL SELECT run || '#' || call || '/tools', 7, CASE WHEN hit THEN 7 ELSE 0 END, 0 FROM u UNION ALL SELECT run || '#' || call || '/output', 0, 0, tokens FROM u""")
+def trace_context(spark, sf):
+    return traces.context(runs(spark, sf)).select("part_id", "tokens", "cached_tokens", "output_tokens")
+
+
+@query("trace_pieces", _T + """, b AS (SELECT run, k, '{"role":' || to_json(role)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}' AS body FROM m UNION ALL SELECT DISTINCT run, -1, '[]' FROM m)
+SELECT row_number() OVER (ORDER BY min((run, k))) AS piece, sha256(body) AS hash, count(*) AS uses FROM b GROUP BY body""")
+def trace_pieces(spark, sf):
+    return traces.pieces(runs(spark, sf))[0].select("piece", "hash", "uses")
+
+
+@query("trace_rebuild", _T + """, b AS (SELECT conv_id, k, '{"role":' || to_json(role)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}' AS body FROM m)
+SELECT u.run || '#' || u.call AS call_id, sha256('{"model":"m1","messages":[' || string_agg(b.body, ',' ORDER BY b.k) || '],"tools":[]}') AS request FROM u JOIN b ON u.conv_id = b.conv_id AND b.k < u.k GROUP BY ALL""")
+def trace_rebuild(spark, sf):
+    """Requests rebuilt from pieces, as their SHA-256."""
+    r = runs(spark, sf)
+    return traces.rebuild(traces.call_rows(r), traces.pieces(r)[0]).select("call_id", F.sha2(F.col("request").cast("binary"), 256).alias("request"))
+
+
+@query("redaction", """WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'key AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || ' ' WHEN 1 THEN 'Authorization: Bearer ' || md5(doc_id::VARCHAR) || ' '
+  WHEN 2 THEN 'ghp_' || md5(doc_id::VARCHAR) || 'abcd ' ELSE 'sk-proj-' || md5(doc_id::VARCHAR) || ' ' END || coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(t, '\\bAKIA[0-9A-Z]{16}\\b', '[redacted aws-key-id]', 'g') AS t FROM d),
+b AS (SELECT doc_id, regexp_replace(t, '\\bgh[pousr]_[A-Za-z0-9]{36}\\b', '[redacted github-token]', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(t, '\\bsk-(?:proj-)?[A-Za-z0-9_-]{32,}', '[redacted api-key]', 'g') AS t FROM b)
+SELECT doc_id, sha256(regexp_replace(t, '((?i:authorization): *(?i:bearer) +)[A-Za-z0-9._~+/=-]{16,}', '\\1[redacted bearer-token]', 'g')) AS masked FROM c""")
+def redaction(spark, sf):
+    d = sc.table(spark, sf, "documents")
+    i, h = F.col("doc_id"), F.md5(F.col("doc_id").cast("string").cast("binary"))
+    planted = F.when(i % 4 == 0, F.concat(F.lit("key AKIA"), F.upper(F.substring(h, 1, 16)), F.lit(" "))).when(i % 4 == 1, F.concat(F.lit("Authorization: Bearer "), h, F.lit(" "))).when(i % 4 == 2, F.concat(F.lit("ghp_"), h, F.lit("abcd "))).otherwise(F.concat(F.lit("sk-proj-"), h, F.lit(" ")))
+    masked, _ = redact(F.concat(planted, F.coalesce("text", F.lit(""))))
+    return d.select("doc_id", F.sha2(masked.cast("binary"), 256).alias("masked"))
+
+
+# OTLP metrics, made of events: a cumulative series a user that starts again every 40th point.
+
+def otlp_requests(spark, sf):
+    e = sc.table(spark, sf, "events")
+    line = Window.partitionBy("user_id").orderBy("event_id")
+    e = e.withColumn("k", F.row_number().over(line) - 1).withColumn("epoch", F.expr("k div 40"))
+    total = F.sum(F.floor(F.abs("value"))).over(Window.partitionBy("user_id", "epoch").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    start = F.lit(1704067200) + F.col("epoch")
+    body = F.format_string('{"resourceMetrics":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"web"}}]},"scopeMetrics":[{"metrics":[{"name":"hits","sum":{"aggregationTemporality":2,"isMonotonic":true,"dataPoints":[{"timeUnixNano":"%d000000000","startTimeUnixNano":"%d000000000","asInt":"%d","attributes":[{"key":"user.id","value":{"intValue":"%d"}}]}]}}]}]}]}', F.lit(1704067200) + F.col("event_id"), start, total.cast("long"), F.col("user_id"))
+    return e.select(F.col("event_id").alias("seq"), body.alias("body"))
+
+
+@query("otlp_deltas", """WITH k AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 40 AS epoch FROM events),
+c AS (SELECT event_id, user_id, epoch, sum(floor(abs(value))) OVER (PARTITION BY user_id, epoch ORDER BY event_id) AS total FROM k),
+d AS (SELECT *, lag(total) OVER w AS was, lag(epoch) OVER w AS old FROM c WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT 1704067200 + event_id AS ts, user_id, CASE WHEN old IS NULL OR epoch > old OR total < was THEN total ELSE total - was END::DOUBLE AS hits FROM d""")
+def otlp_deltas(spark, sf):
+    s = parse('stream hits from metrics "hits" { key user_id integer value hits real rollup 1m keep 1d }').streams[0]
+    pts, _ = otlp.points(otlp_requests(spark, sf))
+    got, _ = otlp.metric_events(otlp.deltas(pts, 1704067200), s)
+    return got.select("ts", "user_id", "hits")

@@ -21,7 +21,7 @@ def csv(lines: DataFrame, s: Stream, numbered: bool = False) -> tuple[DataFrame,
     refuses the line. With numbered the sender's number comes first.
     """
     names = _shape(s, numbered)
-    parts = lines.filter("trim(value) <> '' AND NOT startswith(trim(value), '#')").withColumn("__p", F.transform(F.split("value", ","), F.trim))
+    parts = lines.filter("trim(value) <> '' AND NOT startswith(trim(value), '#')").withColumn("__p", F.transform(F.split("value", ","), lambda x: F.trim(x)))
     good = parts.filter(F.size("__p") == len(names)).select("seq", *(F.get("__p", k).alias(n) for k, n in enumerate(names)))
     return good, parts.filter(F.size("__p") != len(names)).select("seq", F.lit(f"expected {len(names)} fields").alias("reason"))
 
