@@ -19,8 +19,29 @@ METRICS = f"struct<resourceMetrics:array<struct<resource:struct<attributes:{_ATT
 FORGET = 7 * 86400
 
 
+#: Arrays and maps within arrays and maps are written out to this depth.
+NESTED = 4
+
+
+def plain(text: Column) -> Column:
+    """An array or map of values as the JSON it stands for: [1,"a"] or {"k":"v"}."""
+    for _ in range(NESTED):
+        for pattern, to in (
+            (r'\{"(?:stringValue|bytesValue)":("(?:[^"\\\\]|\\\\.)*")\}', "$1"),
+            (r'\{"(?:intValue)":"?(-?\d+)"?\}', "$1"),
+            (r'\{"(?:doubleValue|boolValue)":([^{}\[\]]*)\}', "$1"),
+            (r'\{"key":("(?:[^"\\\\]|\\\\.)*"),"value":((?:"(?:[^"\\\\]|\\\\.)*"|[^"{}\[\]]+|\[[^{}]*\]|\{(?:"[^"]*":(?:"[^"]*"|[^"{}\[\]])*,?)*\}))\}', "\u0001$1:$2\u0002"),
+            (r'\{"values":\[(\x01[^{}]*)\]\}', "{$1}"),
+            (r'\{"arrayValue":(\[[^\]]*\])\}|\{"kvlistValue":(\{[^}]*\})\}', "$1$2"),
+            (r'\{"values":(\[[^{}\x01]*\])\}', "$1"),
+        ):
+            text = F.regexp_replace(text, pattern, to)
+        text = F.regexp_replace(text, "[\u0001\u0002]", "")
+    return text
+
+
 def text_of(value: Column) -> Column:
-    return F.coalesce(value["stringValue"], value["boolValue"], value["intValue"], value["doubleValue"].cast("string"), value["arrayValue"], value["kvlistValue"])
+    return F.coalesce(value["stringValue"], value["boolValue"], value["intValue"], value["doubleValue"].cast("string"), plain(value["arrayValue"]), plain(value["kvlistValue"]))
 
 
 def attributes(*lists: Column) -> Column:
