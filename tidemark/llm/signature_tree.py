@@ -6,8 +6,8 @@ the hash of each of their parts. Sizes are cut into ranges such that linked sets
 neighbouring ones, and m is fixed for each range. m leaves SPARE parts over, so that an equal part is
 non-empty as well: only a set with more than SPARE empty parts is listed under those too.
 
-What is compared. Under each key, sets are first strung in a chain (a star within a task's rows, so that
-a hot key crosses the shuffle once a task) and neighbours are compared in full. The links found give
+What is compared. Under each key, sets are first strung in a chain (within a task's rows, of which only the
+smallest goes on, so that a hot key crosses the shuffle once a task) and neighbours are compared in full. The links found give
 components. Only keys that still hold several components go on: their sets, ordered by size, become the
 leaves of a signature tree whose nodes hold the bitwise OR of token bitmaps and ranges of size. The tree is
 traversed against itself; a pair of nodes goes down only if their largest possible overlap and their sizes
@@ -21,7 +21,7 @@ Equal sets are one, under their hash, from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ from tidemark.llm.components import components
 from tidemark.llm.scratch import Scratch, width
 from tidemark.llm.shingles import mix, set_hash, shingle_sets
 
-#: Longs in a bitmap, sets in a leaf, and bytes of text whose keys a task holds at a time.
-LONGS, LEAF, HELD = 64, 64, 24 << 20
+#: Longs in a bitmap, and in one folded for the trees, sets in a leaf, and bytes of text whose keys a task holds at a time.
+LONGS, FOLDED, LEAF, HELD = 64, 16, 64, 24 << 20
 
 
 @lru_cache(maxsize=8)
@@ -78,8 +78,8 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view("<i8")
 
 
-def pairs_of(keys: np.ndarray, sets: np.ndarray, star: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, a, b) for sets that share a key: with the smallest of each key, or with the one before it.
+def pairs_of(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, a, b) for sets that share a key, each with the one before it, so that none is in many pairs.
     Then the smallest set of each key and its key."""
     order = np.lexsort((sets, keys))
     keys, sets = keys[order], sets[order]
@@ -88,8 +88,7 @@ def pairs_of(keys: np.ndarray, sets: np.ndarray, star: bool) -> tuple[np.ndarray
         keys, sets = keys[new], sets[new]
     head = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
     at = np.flatnonzero(~head)
-    before = np.flatnonzero(head)[np.cumsum(head) - 1][at] if star else at - 1
-    return keys[at], sets[before], sets[at], sets[head], keys[head]
+    return keys[at], sets[at - 1], sets[at], sets[head], keys[head]
 
 
 _ROWS = pa.schema([("kind", pa.int32()), ("deal", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("data", pa.binary())])
@@ -120,7 +119,7 @@ def _read(words: int, percent: int, deals: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             counts = [len(k) for k in keys]
-            shared, a, b, sets, own = pairs_of(np.concatenate([np.empty(0, np.uint64), *keys]), np.repeat(np.array(names, np.int64), counts), True)
+            shared, a, b, sets, own = pairs_of(np.concatenate([np.empty(0, np.uint64), *keys]), np.repeat(np.array(names, np.int64), counts))
             yield from _shared(shared, a, b)
             deal = (own % np.uint64(deals)).astype(np.int64)
             order = np.argsort(deal, kind="stable")
@@ -163,27 +162,31 @@ def _meet():
             names = np.frombuffer(data, "<i8", d, 8)
             keys.append(np.frombuffer(data, "<u8", n, 8 + 8 * d))
             sets.append(names[np.frombuffer(data, "<u4", n, 8 + 8 * d + 8 * n)])
-        shared, a, b, _, _ = pairs_of(np.concatenate(keys), np.concatenate(sets), False)
+        shared, a, b, _, _ = pairs_of(np.concatenate(keys), np.concatenate(sets))
         return pa.Table.from_batches(list(_shared(shared, a, b)), schema=_ROWS)
 
     return run
 
 
-def _describe(words: int):
-    """(sid, n, tokens, bits) of documents that stand for their set; others with that identifier are passed over."""
-    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("hidden", pa.int64()), ("tokens", pa.binary()), ("bits", pa.list_(pa.int64()))])
+def _describe(words: int, whole: bool):
+    """(sid, tokens) with whole, else (sid, n, hidden, bits), of documents that stand for their set; others with
+    that identifier are passed over."""
+    schema = pa.schema([("sid", pa.int64()), ("tokens", pa.binary())] if whole else [("sid", pa.int64()), ("n", pa.int64()), ("hidden", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, wanted, out = batch.column("text").to_pylist(), batch.column("sid").to_pylist(), []
             for sid, s in zip(wanted, shingle_sets(texts, words)):
                 if len(s) and set_hash(s) == sid:
-                    bits = bitmap(s)
-                    out.append((sid, len(s), len(s) - int(np.bitwise_count(bits.view(np.uint64)).sum()), s.astype("<u8").tobytes(), bits))
+                    if whole:
+                        out.append((sid, s.astype("<u8").tobytes()))
+                    else:
+                        bits = bitmap(s)
+                        out.append((sid, len(s), len(s) - int(np.bitwise_count(bits.view(np.uint64)).sum()), bits))
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out)))), schema=schema)
 
-    return run, "sid long, n long, hidden long, tokens binary, bits array<long>"
+    return run, "sid long, tokens binary" if whole else "sid long, n long, hidden long, bits array<long>"
 
 
 def _compare(percent: int):
@@ -207,43 +210,49 @@ def _compare(percent: int):
     return run, "a long, b long, linked boolean"
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, tokens, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The linked ones of pairs: first by sizes and bitmaps, which are small, then by all tokens of the rest."""
     for side in "ab":
-        few = sets.select(F.col("sid").alias(side), F.col("n").alias(f"{side}_least"), F.col("n").alias(f"{side}_most"), "hidden", F.col("bits").alias(f"{side}_signature"))
-        pairs = pairs.join(few.withColumnRenamed("hidden", f"{side}_hidden"), side)
+        few = sets.select(F.col("sid").alias(side), F.col("n").alias(f"{side}_least"), F.col("n").alias(f"{side}_most"), F.col("hidden").alias(f"{side}_hidden"), F.col("bits").alias(f"{side}_signature"))
+        pairs = pairs.join(few, side)
     pairs = scratch.table(name, pairs.filter(_may_link(percent)).select("a", "b"))
-    a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("a_tokens"))
-    b = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("b_tokens"))
+    n = width(pairs.sparkSession)
+    found = tokens(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct())
+    # Bucketed by set: pairs come to the tokens, which are not shuffled again.
+    found = scratch.bucketed(f"{name}_tokens", found.repartition(n, "sid"), n, "sid")
+    a = found.select(F.col("sid").alias("a"), F.col("tokens").alias("a_tokens"))
+    b = found.select(F.col("sid").alias("b"), F.col("tokens").alias("b_tokens"))
     run, kind = _compare(percent)
     return pairs.join(a, "a").join(b, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, kind).filter("linked").select("a", "b")
 
 
 def _leaves():
     """Sets in order of (key, n) to leaves: members, OR of bitmaps, least and most tokens, most that a bitmap hides."""
-    schema = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("leaf", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("hidden", pa.int64()), ("signature", pa.list_(pa.int64())), ("members", pa.binary()), ("keys", pa.list_(pa.list_(pa.int64())))])
+    schema = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("leaf", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("hidden", pa.int64()), ("signature", pa.list_(pa.int64())), ("members", pa.binary()), ("keys", pa.list_(pa.list_(pa.int64()))), ("lone", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, rows, key = TaskContext.get().partitionId(), 0, [], None
+        part, number, rows, key, before = TaskContext.get().partitionId(), 0, [], None, None
 
-        def flush() -> pa.RecordBatch:
+        def flush(following) -> pa.RecordBatch:
+            # The first and the last leaf of a bucket may go on in another one.
+            lone = number > 0 and before != key and following is not None and following != key
             bits = np.array([x[3] for x in rows], "<i8")
             sizes = np.array([x[2] for x in rows])
             members = np.hstack([np.array([x[:3] for x in rows], "<i8"), bits])
             hidden = int((sizes - np.bitwise_count(bits.view(np.uint64)).sum(1)).max())
-            return pa.RecordBatch.from_pydict({"key": [key], "part": [part], "leaf": [number], "least": [int(sizes.min())], "most": [int(sizes.max())], "hidden": [hidden], "signature": [np.bitwise_or.reduce(bits)], "members": [members.astype("<i8").tobytes()], "keys": [[x[4] for x in rows]]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"key": [key], "part": [part], "leaf": [number], "least": [int(sizes.min())], "most": [int(sizes.max())], "hidden": [hidden], "signature": [np.bitwise_or.reduce(bits)], "members": [members.astype("<i8").tobytes()], "keys": [[x[4] for x in rows]], "lone": [lone]}, schema=schema)
 
         for batch in batches:
             for k, *x in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "component", "n", "bits", "keys"))):
                 if rows and (k != key or len(rows) == LEAF):
-                    yield flush()
-                    rows, number = [], number + 1
+                    yield flush(k)
+                    rows, number, before = [], number + 1, key
                 key = k
                 rows.append(x)
         if rows:
-            yield flush()
+            yield flush(None)
 
-    return run, "key long, part long, leaf long, least long, most long, hidden long, signature array<long>, members binary, keys array<array<long>>"
+    return run, "key long, part long, leaf long, least long, most long, hidden long, signature array<long>, members binary, keys array<array<long>>, lone boolean"
 
 
 def _may_link(percent: int) -> Column:
@@ -262,7 +271,7 @@ def _cross(percent: int):
         for batch in batches:
             for key, same, x, y, a_keys, b_keys in zip(*(batch.column(c) for c in ("key", "same", "a_members", "b_members", "a_keys", "b_keys"))):
                 key, same = key.as_py(), same.as_py()
-                x, y = (np.frombuffer(v.as_py(), "<i8").reshape(-1, 3 + LONGS) for v in (x, y))
+                x, y = (np.frombuffer(v.as_py(), "<i8").reshape(-1, 3 + FOLDED) for v in (x, y))
                 both = np.bitwise_count(x[:, None, 3:].view(np.uint64) & y[None, :, 3:].view(np.uint64)).sum(2, dtype=np.int64)
                 hidden = [v[:, 2] - np.bitwise_count(v[:, 3:].view(np.uint64)).sum(1) for v in (x, y)]
                 bound = both + np.minimum(hidden[0][:, None], hidden[1])
@@ -287,9 +296,8 @@ def _traverse(members: DataFrame, percent: int, scratch: Scratch, n: int) -> Dat
     twice = [F.col(c).alias(f"{s}_{c}") for s in "ab" for c in ("members", "keys")]
     within = leaves.select("key", F.lit(True).alias("same"), *twice).mapInArrow(run, kind)
     # Most keys have one leaf, which has met itself; only those of several are joined.
-    tall = leaves.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("leaves")).filter("leaves > 1").select("of")
-    leaves = scratch.table("tall", leaves.join(tall, F.col("key") == F.col("of")).drop("of"))
-    merged = F.array(*(F.bit_or(F.col("signature")[k]) for k in range(LONGS))).alias("signature")
+    leaves = leaves.filter("NOT lone")
+    merged = F.array(*(F.bit_or(F.col("signature")[k]) for k in range(FOLDED))).alias("signature")
     branches = scratch.table("branches", leaves.groupBy("key", "part").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("hidden").alias("hidden"), merged))
     side = lambda df, s, columns: df.select(*(F.col(c).alias(f"{s}_{c}") for c in columns))
     node = ["least", "most", "hidden", "signature"]
@@ -338,10 +346,16 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     wanted = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
     stands = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("stand"))
     stands = scratch.table("stands", stands)
-    run, kind = _describe(words)
     texts = d.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("stand"), "text")
-    sets = scratch.table("sets", texts.join(stands.join(wanted, F.col("sid") == F.col("of")).select("stand", "sid"), "stand").select("sid", "text").mapInArrow(run, kind))
-    links = scratch.table("linked", _verify(pairs, sets, percent, scratch, "likely"))
+
+    def described(wanted: DataFrame, whole: bool) -> DataFrame:
+        run, kind = _describe(words, whole)
+        return texts.join(stands.join(wanted, F.col("sid") == F.col("of")).select("stand", "sid"), "stand").select("sid", "text").mapInArrow(run, kind).dropDuplicates(["sid"])
+
+    sets = scratch.table("sets", described(wanted, False))
+    tokens = lambda wanted: described(wanted, True)
+    links = scratch.table("linked", _verify(pairs, sets, tokens, percent, scratch, "likely"))
+    scratch.drop("likely_tokens")
     joined = scratch.table("joined", components(links, scratch, "first"))
     of = lambda s: joined.select(F.col("node").alias(s), F.col("component").alias(f"{s}_in"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
@@ -354,15 +368,20 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
         members = scratch.table("listed", shared.select("key", F.col("a").alias("sid")).union(shared.select("key", "b")).distinct())
         # Two sets under a key have been compared, and keys that list the same sets are one.
         groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("mark"))
-        groups = scratch.table("groups", groups.filter("size > 2").groupBy("size", "sum", "mark").agg(F.min("key").alias("of_key")).select("of_key"))
-        members = scratch.table("grouped", members.join(groups, F.col("key") == F.col("of_key")).select("key", "sid"))
+        groups = groups.filter("size > 2").groupBy("size", "sum", "mark").agg(F.min("key").alias("of_key"))
+        # From here on a key is a small number, which packs better; it is written, and so stays the same.
+        groups = scratch.table("groups", groups.select("of_key", F.monotonically_increasing_id().alias("number")))
+        members = scratch.table("grouped", members.join(groups, F.col("key") == F.col("of_key")).select(F.col("number").alias("key"), "sid"))
+        scratch.drop("shared", "mixed", "listed")
         # The keys of one set: no more than it was listed under.
         listed = members.groupBy("sid").agg(F.collect_set("key").alias("keys"))
-        listed = listed.join(sets.select("sid", "n", "bits"), "sid").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
+        folds = [F.slice("bits", at, FOLDED) for at in range(1, LONGS + 1, FOLDED)]
+        folded = reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseOR(q)), folds).alias("bits")
+        listed = listed.join(sets.select("sid", "n", folded), "sid").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
         listed = scratch.table("members", listed.withColumn("component", F.coalesce("component", "sid")))
         more = scratch.table("more", _traverse(members.join(listed, "sid"), percent, scratch, n))
         more = more.join(pairs, ["a", "b"], "left_anti")
-        links = scratch.table("links", links.union(_verify(more, sets, percent, scratch, "likelier")))
+        links = scratch.table("links", links.union(_verify(more, sets, tokens, percent, scratch, "likelier")))
         joined = components(links, scratch, "second")
     known = stands.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
     known = scratch.table("known", known)
