@@ -380,6 +380,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
         listed = listed.join(sets.select("sid", "n", folded), "sid").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
         listed = scratch.table("members", listed.withColumn("component", F.coalesce("component", "sid")))
         more = scratch.table("more", _traverse(members.join(listed, "sid"), percent, scratch, n))
+        scratch.drop("leaves", "branches", "top", "members", "grouped", "groups")
         more = more.join(pairs, ["a", "b"], "left_anti")
         links = scratch.table("links", links.union(_verify(more, sets, tokens, percent, scratch, "likelier")))
         joined = components(links, scratch, "second")
