@@ -118,4 +118,5 @@ def op3_token_counts(spark, sf_dir):
     written = scratch.table("manifest", write_token_files(docs, scratch.path("files"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, END))
     named = written.select("path", F.posexplode("ids").alias("place", "doc_id"))
     counted = count_tokens(written.select("path", "bytes"), END)
-    return counted.join(named, (counted.path == named.path) & (counted.place == named.place)).select("doc_id", "n_tokens")
+    # The manifest is small only while its lists are: once a row a document it must not be broadcast.
+    return counted.join(named.hint("merge"), (counted.path == named.path) & (counted.place == named.place)).select("doc_id", "n_tokens")
