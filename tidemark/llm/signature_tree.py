@@ -33,8 +33,9 @@ from tidemark.llm.components import components
 from tidemark.llm.scratch import Scratch, width
 from tidemark.llm.shingles import mix, set_hash, shingle_sets
 
-#: Longs in a bitmap, and in one folded for the trees, sets in a leaf, and bytes of text whose keys a task holds at a time.
-LONGS, FOLDED, LEAF, HELD = 64, 16, 64, 24 << 20
+#: Longs in a bitmap, and in one folded for the trees, sets in a leaf, bytes of text whose keys a
+#: task holds at a time, and rows that it turns into objects at a time.
+LONGS, FOLDED, LEAF, HELD, ROWS = 64, 16, 64, 8 << 20, 500
 
 
 @lru_cache(maxsize=8)
@@ -131,7 +132,7 @@ def _read(words: int, percent: int, deals: int):
                 data = np.array([len(distinct)], "<i8").tobytes() + distinct.astype("<i8").tobytes() + own[part].tobytes() + place.astype("<u4").tobytes()
                 yield _rows(2, 1, deal=[int(deal[part[0]])], n=[len(part)], data=[data])
 
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = batch.column(1).to_pylist()
             counts, sets = [], []
             for text, s in zip(texts, shingle_sets(texts, words)):
@@ -174,7 +175,7 @@ def _describe(words: int, whole: bool):
     schema = pa.schema([("sid", pa.int64()), ("tokens", pa.binary())] if whole else [("sid", pa.int64()), ("n", pa.int64()), ("hidden", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts, wanted, out = batch.column("text").to_pylist(), batch.column("sid").to_pylist(), []
             for sid, s in zip(wanted, shingle_sets(texts, words)):
                 if len(s) and set_hash(s) == sid:
@@ -242,7 +243,7 @@ def _leaves():
             hidden = int((sizes - np.bitwise_count(bits.view(np.uint64)).sum(1)).max())
             return pa.RecordBatch.from_pydict({"key": [key], "part": [part], "leaf": [number], "least": [int(sizes.min())], "most": [int(sizes.max())], "hidden": [hidden], "signature": [np.bitwise_or.reduce(bits)], "members": [members.astype("<i8").tobytes()], "keys": [[x[4] for x in rows]], "lone": [lone]}, schema=schema)
 
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             for k, *x in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "component", "n", "bits", "keys"))):
                 if rows and (k != key or len(rows) == LEAF):
                     yield flush(k)
@@ -271,6 +272,8 @@ def _cross(percent: int):
         for batch in batches:
             for key, same, x, y, a_keys, b_keys in zip(*(batch.column(c) for c in ("key", "same", "a_members", "b_members", "a_keys", "b_keys"))):
                 key, same = key.as_py(), same.as_py()
+                if same:
+                    y, b_keys = x, a_keys
                 x, y = (np.frombuffer(v.as_py(), "<i8").reshape(-1, 3 + FOLDED) for v in (x, y))
                 both = np.bitwise_count(x[:, None, 3:].view(np.uint64) & y[None, :, 3:].view(np.uint64)).sum(2, dtype=np.int64)
                 hidden = [v[:, 2] - np.bitwise_count(v[:, 3:].view(np.uint64)).sum(1) for v in (x, y)]
@@ -293,8 +296,8 @@ def _traverse(members: DataFrame, percent: int, scratch: Scratch, n: int) -> Dat
     run, kind = _leaves()
     leaves = scratch.table("leaves", members.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "sid", "component", "n", "bits", "keys").mapInArrow(run, kind))
     run, kind = _cross(percent)
-    twice = [F.col(c).alias(f"{s}_{c}") for s in "ab" for c in ("members", "keys")]
-    within = leaves.select("key", F.lit(True).alias("same"), *twice).mapInArrow(run, kind)
+    own = [F.col(c).alias(f"a_{c}") for c in ("members", "keys")]
+    within = leaves.select("key", F.lit(True).alias("same"), *own, F.lit(None).cast("binary").alias("b_members"), F.lit(None).cast("array<array<long>>").alias("b_keys")).mapInArrow(run, kind)
     # Most keys have one leaf, which has met itself; only those of several are joined.
     leaves = leaves.filter("NOT lone")
     merged = F.array(*(F.bit_or(F.col("signature")[k]) for k in range(FOLDED))).alias("signature")
