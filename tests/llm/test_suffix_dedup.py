@@ -42,6 +42,20 @@ def test_equals_brute_force(spark, seed):
     assert [x for x, y in zip(got, want) if x != y] == [] and len(got) == len(want)
 
 
+def test_passages_of_about_length(spark):
+    """Anchors of a passage that are equal modulo STRINGS share a block, which is no repeat of itself."""
+    rows = []
+    for seed in range(300):
+        r = random.Random(seed)
+        prose = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+        passage = prose(r.randrange(120, 400))
+        rows += [(2 * seed + k, prose(r.randrange(0, 250)) + passage + prose(r.randrange(0, 250))) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, sd.remove_repeats(docs).drop("kept").collect()), key=str)
+    want = brute(rows)
+    assert [x for x, y in zip(got, want) if x != y] == [] and len(got) == len(want)
+
+
 def test_one_passage_in_very_many(spark):
     r = random.Random(5)
     passage = "".join(r.choice("abcdefgh ") for _ in range(300))

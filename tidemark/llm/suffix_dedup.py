@@ -172,7 +172,13 @@ def _round_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = (begin >= first[text]) & (end <= last[text])
         lone = mix(mix(dk.view(np.uint64) + anchor.astype(np.uint64)) + block.astype(np.uint64))
         full = np.where(whole, other(np.maximum(begin, 0), np.minimum(end, len(data))), lone)
-        yield _suffixes(leading(data, core), hashes(core, core_end), full, dk, anchor - first[text], np.maximum(low[of], STRINGS * block), np.minimum(high[of], STRINGS * block + STRINGS - 1))
+        # Anchors of a text that are equal modulo STRINGS may share a block, which is one place: one row stands for them.
+        _, one, group = np.unique(core, return_index=True, return_inverse=True)
+        least, most = np.full(len(one), STRINGS), np.zeros(len(one), np.int64)
+        np.minimum.at(least, group, np.maximum(low[of] - STRINGS * block, 0))
+        np.maximum.at(most, group, np.minimum(high[of] - STRINGS * block, STRINGS - 1))
+        low, high = STRINGS * block[one] + least, STRINGS * block[one] + most
+        yield _suffixes(leading(data, core[one]), hashes(core[one], core_end[one]), full[one], dk[one], (anchor - first[text])[one], low, high)
 
 
 def _round_three(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +190,11 @@ def _round_three(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = np.repeat(np.arange(len(rows)), [len(x) for x in found])
         at, low, high = np.concatenate(found).T
         k, of = _spread(high - low + 1)
-        start = at[of] - low[of] - k + first[text[of]]
-        dk = np.array([r["dk"] for r in rows])[text[of]]
-        yield _suffixes(leading(data, start), hashes(start, start + LENGTH), other(start, start + LENGTH), dk, start - first[text[of]], np.zeros(len(of), np.int64), np.zeros(len(of), np.int64))
+        # Blocks of several anchors may hold the same string.
+        start, one = np.unique(at[of] - low[of] - k + first[text[of]], return_index=True)
+        text = text[of][one]
+        dk = np.array([r["dk"] for r in rows])[text]
+        yield _suffixes(leading(data, start), hashes(start, start + LENGTH), other(start, start + LENGTH), dk, start - first[text], np.zeros(len(start), np.int64), np.zeros(len(start), np.int64))
 
 
 def multikey_quicksort(tokens: list[np.ndarray]) -> np.ndarray:
