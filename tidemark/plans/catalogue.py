@@ -358,8 +358,10 @@ def completed_keys(spark, sf):
 
 @query("seen_ids", f"WITH u AS ({sc.USAGE_SQL}) SELECT seq, request_id FROM u WHERE seq >= 500 AND EXISTS (SELECT 1 FROM u o WHERE o.request_id = u.request_id AND o.seq < 500)")
 def seen_ids(spark, sf):
-    u = sc.usage(spark, sf)
-    return u.filter("seq >= 500").join(u.filter("seq < 500").select("request_id"), "request_id", "left_semi").select("seq", "request_id")
+    """Arrivals whose identifier an earlier one had."""
+    u = sc.usage(spark, sf).select("seq", "request_id")
+    first = F.min("seq").over(Window.partitionBy("request_id"))
+    return u.withColumn("first", first).filter("seq > first").select("seq", "request_id")
 
 
 @query("trending", f"""SELECT event_type, count(DISTINCT user_id) AS people, count(*) AS n, sum(CASE WHEN value > 100 THEN 1 ELSE 0 END)::BIGINT AS large
