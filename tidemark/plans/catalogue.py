@@ -493,10 +493,14 @@ f AS (SELECT incident, service, level, template, coalesce(cur.r, 0) AS now_rate,
 fp AS (SELECT *, ln((now_rate + 2) / (usual_rate + 2)) AS score FROM f WHERE abs(ln((now_rate + 2) / (usual_rate + 2))) >= ln(3) AND abs(now_rate - usual_rate) >= 6) """
 
 
+def incidents(spark, sf):
+    """No table tells of incidents, so there is one at every event."""
+    e = sc.table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("started"))
+
+
 def prints(spark, sf):
-    e = sc.table(spark, sf, "events").filter("event_id % 50 = 3")
-    incidents = e.select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("started"))
-    return dejavu.incident_fingerprints(minutes(spark, sf), incidents)
+    return dejavu.incident_fingerprints(minutes(spark, sf), incidents(spark, sf))
 
 
 @query("incident_fingerprints", _prints_sql() + "SELECT incident, service, level, template, now_rate, usual_rate, round(score, 9) AS score FROM fp")
@@ -508,8 +512,11 @@ def incident_fingerprints(spark, sf):
 fn AS (SELECT incident, sqrt(sum(score * score)) AS own, count(*) AS keys FROM fp GROUP BY incident), d AS (SELECT incident, sum(s * score) AS dot, count(*) AS shared FROM n JOIN fp USING (service, level, template) GROUP BY incident)
 SELECT fn.incident, round(coalesce(dot, 0) / (norm * own), 9) AS similarity, coalesce(shared, 0) AS shared, keys FROM fn JOIN nn ON norm > 0 LEFT JOIN d ON fn.incident = d.incident""")
 def deja_vu(spark, sf):
-    saved = prints(spark, sf)
-    now = saved.filter("incident < 5000").groupBy("service", "level", "template").agg(F.avg("score").alias("score"))
+    """The mean fingerprint of the newest day's incidents beside that of each."""
+    saved, began = prints(spark, sf), incidents(spark, sf)
+    newest = F.broadcast(began.agg(F.max("started").alias("newest")))  # one row
+    present = began.crossJoin(newest).filter("started > newest - 86400").select(F.col("id").alias("incident"))
+    now = saved.join(present, "incident", "left_semi").groupBy("service", "level", "template").agg(F.avg("score").alias("score"))
     return dejavu.deja_vu(now, saved).withColumn("similarity", F.round("similarity", 9))
 
 
