@@ -80,3 +80,64 @@ def test_linked_sets_always_meet(percent):
 def test_hashes_of_words_do_not_depend_on_their_place():
     one, two = (list(shingles.shingle_sets(t, 4)) for t in (["The cat sat on the mat"], ["x" * 1000, "", None, "the CAT  sat\non the mat"]))
     assert np.array_equal(one[0], two[3]) and len(one[0]) == 3 and len(two[1]) == len(two[2]) == 0 and len(two[0]) == 1
+
+
+def thue_morse(flip):
+    w = flip
+    for _ in range(10):
+        w += "".join("b" if c == "a" else "a" for c in w)
+    return w
+
+
+def test_patterned_words_do_not_collide(spark):
+    one, other = thue_morse("a"), thue_morse("b")
+    assert len(one) == 1024 and list(shingles.shingle_sets([one], 4))[0] != list(shingles.shingle_sets([other], 4))[0]
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one[:64]), (4, other[:64]), (5, one[:16]), (6, other[:16]), (7, one)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in signature_tree.jaccard_components(docs, words=4, percent=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 1}
+
+
+def clusters(seed, bases=30, copies=24, words=80):
+    """Texts of one length around far bases: under a key neighbours by name are often of different bases."""
+    r = random.Random(seed)
+    passage = [f"p{k}" for k in range(words * 3 // 4)]
+    rows = []
+    for b in range(bases):
+        tail = [f"b{b}x{k}" for k in range(words // 4)]
+        for _ in range(copies):
+            w = passage + tail
+            w[words - 1 - r.randrange(words // 4)] = f"e{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_links_that_only_the_trees_find(spark, monkeypatch):
+    rows = clusters(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    run = lambda: sorted(map(tuple, signature_tree.jaccard_components(docs, words=4, percent=85).collect()), key=str)
+    monkeypatch.setattr(signature_tree, "LEAF", 8)
+    want = brute(rows, 4, 85)
+    assert len({x[2] for x in want}) < len(rows)
+    assert run() == want
+    # Without what the levels above the leaves let down, links are missing.
+    monkeypatch.setattr(signature_tree, "_goes_down", lambda percent: signature_tree.F.lit(False))
+    assert run() != want
+
+
+def test_nodes_bound_all_that_hangs_below(spark):
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << 63, int(r.integers(20, 60))).astype(np.uint64)) for _ in range(300)]
+    rows = [(int(k % 3), int(k % 7), len(s), k, signature_tree.bitmap(s)[signature_tree.LONGS :].tobytes()) for k, s in enumerate(sets)]
+    members = spark.createDataFrame([(*x[:4], bytearray(x[4])) for x in rows], "key long, component long, n long, sid long, fold binary")
+    order = ["key", "component", "n", "sid"]
+    run, kind = signature_tree._leaves()
+    leaves = members.repartitionByRange(2, *order).sortWithinPartitions(*order).mapInArrow(run, kind).collect()
+    seen = []
+    for x in leaves:
+        m = np.frombuffer(x.members, "<i8").reshape(-1, signature_tree._MEMBER)
+        assert len(m) <= signature_tree.LEAF and {int(k) % 3 for k in m[:, 0]} == {x.key}
+        assert (x.least, x.most, x.low, x.high) == (m[:, 2].min(), m[:, 2].max(), m[:, 1].min(), m[:, 1].max())
+        assert np.array_equal(np.bitwise_or.reduce(m[:, 3:]), x.signature)
+        assert not x.lone or len(m) == sum(k % 3 == x.key for k in range(300))
+        seen += m[:, 0].tolist()
+    assert sorted(seen) == list(range(300))

@@ -1,7 +1,7 @@
 """Tables and files between the jobs of one operator, in the folder that the cluster shares.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on one
-machine) a temporary folder is made. A table written here cuts the lineage: an executor that is
+The folder is ``spark.checkpoint.dir`` of the session. Where that is unset, a temporary folder is made if the
+master is local (tests on one machine); on a cluster that is an error. A table written here cuts the lineage: an executor that is
 lost later costs its own tasks and nothing before them.
 """
 
@@ -9,17 +9,24 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _unset: dict[str, str] = {}
+#: Seconds between two collections of the driver's garbage, and when the last one was.
+PAUSE = 5.0
+_last = [0.0]
 
 
 def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _unset:
         _unset[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -56,9 +63,11 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Shuffle files of ended jobs go when the driver forgets their plans; see to it now."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Shuffle files of ended jobs go when the driver forgets their plans; see to it now and then."""
+        if time.monotonic() - _last[0] >= PAUSE:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            _last[0] = time.monotonic()
 
 
 def width(spark: SparkSession) -> int:

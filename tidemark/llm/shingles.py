@@ -1,26 +1,30 @@
 """Sets of word shingles as 64-bit hashes, for many texts at once.
 
-Words are runs of bytes other than white space, A-Z in lower case. Hashes of all words of a chunk of
-texts come from one running sum over its bytes, those of shingles from the words' hashes. Two different
-shingles share a hash with probability 2**-64.
+Words are runs of bytes other than white space, A-Z in lower case. A word is hashed eight bytes at a time,
+each step a bijection of the bytes and of what came before: words of one length and at most eight bytes
+never share a hash, longer ones do by chance alone (2**-64 a pair), whatever pattern their letters follow.
+Words over SHORT bytes take a keyed BLAKE2b. Hashes of shingles are sums of their words' hashes, spread.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
 #: Bytes of text that are hashed together, but for a text that is longer alone.
 CHUNK = 1 << 20
 
-_rng = np.random.default_rng(20240229)
-_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
+#: Bytes of the longest word that is hashed by lanes of eight.
+SHORT = 64
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = 0x9E3779B97F4A7C15
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_KEY, _SEED = b"words of a text", np.uint64(0x9E3779B97F4A7C15)
 _STEP, _LENGTH, _SHORT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -31,22 +35,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word of data."""
     gap = np.concatenate([[True], _SPACE[data], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edge[::2], edge[1::2]
-    up, down = _powers(max(2 * CHUNK, 1 << int(len(data) + 1).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH), starts
+    low = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", low, 0, (1,))  # the eight bytes from each place on
+    lengths = ends - starts
+    hashes = mix((lengths.astype(np.uint64) * _LENGTH + _SEED) ^ (lanes[starts] & _MASKS[np.minimum(lengths, 8)]))
+    rest = np.flatnonzero(lengths > 8)
+    for k in range(8, SHORT, 8):
+        left = lengths[rest] - k
+        hashes[rest] = mix(hashes[rest] ^ (lanes[starts[rest] + k] & _MASKS[np.minimum(left, 8)]))
+        rest = rest[left > 8]
+    for i in rest.tolist():
+        digest = hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8, key=_KEY).digest()
+        hashes[i] = np.frombuffer(digest, "<u8")[0]
+    return hashes, starts
 
 
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -78,7 +84,8 @@ def _sets(held: list[bytes], words: int) -> Iterator[np.ndarray]:
     for cut in cuts.tolist():
         count = cut - at
         if count >= words:
-            yield np.unique(rolled[at : cut - words + 1])
+            own = np.sort(rolled[at : cut - words + 1])
+            yield own[np.append(True, own[1:] != own[:-1])]
         elif count:
             short = _SHORT + np.uint64(count)
             with np.errstate(over="ignore"):

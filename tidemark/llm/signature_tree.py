@@ -1,27 +1,32 @@
 """Exact n-gram Jaccard join by signature trees.
 
-Where two trees meet. Linked sets x and y differ in at most D shingles, a number that follows from their
-sizes. Shingles are dealt by hash into m > D parts, so at least one part is equal in both; sets meet under
-the hash of each of their parts. Sizes are cut into ranges such that linked sets lie in one range or in
-neighbouring ones, and m is fixed for each range. m leaves SPARE parts over, so that an equal part is
-non-empty as well: only a set with more than SPARE empty parts is listed under those too.
-
-What is compared. Under each key, sets are first strung in a chain (within a task's rows, of which only the
-smallest goes on, so that a hot key crosses the shuffle once a task) and neighbours are compared in full. The links found give
-components. Only keys that still hold several components go on: their sets, ordered by size, become the
-leaves of a signature tree whose nodes hold the bitwise OR of token bitmaps and ranges of size. The tree is
-traversed against itself; a pair of nodes goes down only if their largest possible overlap and their sizes
-allow a link. What is left, and lies in different components, is compared in full. Any linked pair thus
-either was compared or lies in one component: no link between components is lost, and a group of
-near copies costs comparisons in proportion to its size.
-
-Equal sets are one, under their hash, from the start.
+Where sets are hung. Linked sets x and y differ in at most D shingles, a number that follows from their
+sizes. Shingles are dealt by hash into m > D parts, so at least one part is equal in both. Sizes are cut into
+ranges such that linked sets lie in one range or in neighbouring ones, and m is fixed for each range. m leaves
+SPARE parts over, so that an equal part is non-empty as well: only a set with more than SPARE empty parts is
+listed under those too. A set hangs in the tree of the hash of each of its parts, so linked sets share a tree;
+nodes of two trees have no part in common and are never compared.
+
+The tree. Its leaves hold up to LEAF sets in order of component, size and name; FANOUT nodes have one parent,
+up to one root. A node has the bitwise OR of its sets' token bitmaps, the range of their sizes, the most
+tokens that a bitmap hides and the range of their components.
+
+The join. Every tree is first read along its lowest level, each set against the next one, and the links found
+give components (within a task's rows, of which only the smallest goes on, so that a hot tree crosses the
+shuffle once a task). Then each tree is traversed against itself from the root. A pair of nodes goes down
+only if the largest overlap that their bitmaps allow and their sizes admit a link and they are not both of
+one same component; at the root that drops trees whose sets are all joined already. Pairs of sets that the
+leaves let pass are compared in full. So every linked pair was compared or lies in one component: no link
+between components is lost, and a group of near copies costs comparisons in proportion to its size.
+
+Equal sets are one, under their hash, from the start. Shingles and sets are named by 64-bit hashes: what is
+found is exact but for their collisions, which no pattern of the words brings about.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +38,12 @@ from tidemark.llm.components import components
 from tidemark.llm.scratch import Scratch, width
 from tidemark.llm.shingles import mix, set_hash, shingle_sets
 
-#: Longs in a bitmap, and in one folded for the trees, sets in a leaf, bytes of text whose keys a
-#: task holds at a time, and rows that it turns into objects at a time.
-LONGS, FOLDED, LEAF, HELD, ROWS = 64, 16, 64, 8 << 20, 500
+#: Longs in a bitmap, and in one folded for the trees, sets in a leaf, and bits of a node's number that each
+#: level above it drops (so 2 ** FANOUT nodes have one parent).
+LONGS, FOLDED, LEAF, FANOUT = 64, 16, 128, 4
+#: Bytes of text whose keys a task holds at a time, rows that it turns into objects at a time, pairs of sets
+#: whose bitmaps it compares at a time, and pairs that one copy of a set's tokens serves.
+HELD, ROWS, PAIRS, SHARE = 8 << 20, 500, 1 << 16, 64
 
 
 @lru_cache(maxsize=8)
@@ -56,14 +64,14 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """The keys of a set: the parts of its own range and of the one below."""
     first, parts = ranges(percent)
     own = int(np.searchsorted(first, len(s), "right")) - 1
-    out = []
+    spread, weight, out = mix(s), mix(s ^ np.uint64(0x5851F42D4C957F2D)), []
     for zone in (own, own - 1):
         if zone < 0:
             continue
         m = int(parts[zone])
-        part = (mix(s) % np.uint64(m)).astype(np.int64)
+        part = (spread % np.uint64(m)).astype(np.int64)
         sums = np.zeros(m, np.uint64)
-        np.add.at(sums, part, mix(s ^ np.uint64(0x5851F42D4C957F2D)))
+        np.add.at(sums, part, weight)
         filled = np.bincount(part, minlength=m)
         empty = int((filled == 0).sum())
         keys = mix(sums + mix(np.arange(m, dtype=np.uint64) + (np.uint64(zone) << np.uint64(40))) + filled.astype(np.uint64))
@@ -73,10 +81,15 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """64 * LONGS bits, one for each token."""
+    """64 * LONGS bits, one for each token, and the same folded to 64 * FOLDED."""
     bits = np.zeros(64 * LONGS, np.uint8)
     bits[(mix(s + np.uint64(1)) % np.uint64(64 * LONGS)).astype(np.int64)] = 1
-    return np.packbits(bits).view("<i8")
+    whole = np.packbits(bits).view("<i8")
+    return np.concatenate([whole, np.bitwise_or.reduce(whole.reshape(-1, FOLDED))])
+
+
+def popcount(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits.view(np.uint64)).sum(-1, dtype=np.int64)
 
 
 def pairs_of(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +123,8 @@ def _shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.Recor
 
 
 def _read(words: int, percent: int, deals: int):
-    """Documents to rows: kind 0 names a document's set, 1 and 3 as above, 2 holds keys of one deal."""
+    """Documents to rows: kind 0 names a document's set, 1 and 3 as above, 2 holds keys of one deal, 4 a set's
+    bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -134,7 +148,7 @@ def _read(words: int, percent: int, deals: int):
 
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = batch.column(1).to_pylist()
-            counts, sets = [], []
+            counts, sets, new = [], [], []
             for text, s in zip(texts, shingle_sets(texts, words)):
                 counts.append(len(s))
                 sets.append(set_hash(s) if len(s) else None)
@@ -142,11 +156,15 @@ def _read(words: int, percent: int, deals: int):
                     seen.add(sets[-1])
                     names.append(sets[-1])
                     keys.append(part_keys(s, percent))
+                    new.append((sets[-1], len(s), bitmap(s).tobytes()))
                     size += len(text)
                     if size >= HELD:
                         yield from flush()
                         seen, keys, names, size = set(), [], [], 0
             yield _rows(0, len(texts), doc_id=batch.column(0), n=counts, a=sets)
+            if new:
+                a, n, data = map(list, zip(*new))
+                yield _rows(4, len(new), a=a, n=n, data=data)
         yield from flush()
 
     return run
@@ -169,149 +187,222 @@ def _meet():
     return run
 
 
-def _describe(words: int, whole: bool):
-    """(sid, tokens) with whole, else (sid, n, hidden, bits), of documents that stand for their set; others with
-    that identifier are passed over."""
-    schema = pa.schema([("sid", pa.int64()), ("tokens", pa.binary())] if whole else [("sid", pa.int64()), ("n", pa.int64()), ("hidden", pa.int64()), ("bits", pa.list_(pa.int64()))])
+def _tokens(words: int):
+    """(sid, tokens) of documents that stand for their set; others with that identifier are passed over."""
+    schema = pa.schema([("sid", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts, wanted, out = batch.column("text").to_pylist(), batch.column("sid").to_pylist(), []
             for sid, s in zip(wanted, shingle_sets(texts, words)):
                 if len(s) and set_hash(s) == sid:
-                    if whole:
-                        out.append((sid, s.astype("<u8").tobytes()))
-                    else:
-                        bits = bitmap(s)
-                        out.append((sid, len(s), len(s) - int(np.bitwise_count(bits.view(np.uint64)).sum()), bits))
+                    out.append((sid, s.astype("<u8").tobytes()))
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out)))), schema=schema)
 
-    return run, "sid long, tokens binary" if whole else "sid long, n long, hidden long, bits array<long>"
+    return run, "sid long, tokens binary"
+
+
+def _may_link(percent: int, overlap, a, b):
+    """Can sets of at least a and b tokens be linked that share no more than overlap?"""
+    return overlap * (100 + percent) >= percent * (a + b)
+
+
+def _likely(percent: int):
+    """Pairs that their sizes and whole bitmaps let pass."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [batch.column(f"{s}_n").to_numpy() for s in "ab"]
+            bits = [np.frombuffer(b"".join(batch.column(f"{s}_bits").to_pylist()), "<i8").reshape(-1, LONGS) for s in "ab"]
+            hidden = np.minimum(*(k - popcount(v) for k, v in zip(n, bits)))
+            ok = _may_link(percent, popcount(bits[0] & bits[1]) + hidden, *n) & (100 * np.minimum(*n) >= percent * np.maximum(*n))
+            yield pa.RecordBatch.from_arrays([batch.column(s).filter(pa.array(ok)) for s in "ab"], schema=schema)
+
+    return run, "a long, b long"
 
 
 def _compare(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+    """The linked ones of pairs, by all of their tokens."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            linked = []
             for x, y in zip(batch.column("a_tokens"), batch.column("b_tokens")):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                if 100 * small < percent * large:
-                    out.append(False)
-                    continue
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
-                out.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], schema=schema)
+                linked.append(_may_link(percent, same, len(x), len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column(s).filter(pa.array(linked, pa.bool_())) for s in "ab"], schema=schema)
 
-    return run, "a long, b long, linked boolean"
+    return run, "a long, b long"
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, tokens, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The linked ones of pairs: first by sizes and bitmaps, which are small, then by all tokens of the rest."""
+    """The linked ones of pairs: first by sizes and bitmaps, which are small, then by all tokens of the rest.
+    A set in many pairs has its tokens in copies, SHARE pairs each, so that its pairs spread over tasks."""
     for side in "ab":
-        few = sets.select(F.col("sid").alias(side), F.col("n").alias(f"{side}_least"), F.col("n").alias(f"{side}_most"), F.col("hidden").alias(f"{side}_hidden"), F.col("bits").alias(f"{side}_signature"))
-        pairs = pairs.join(few, side)
-    pairs = scratch.table(name, pairs.filter(_may_link(percent)).select("a", "b"))
+        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"{side}_n"), F.substring("data", 1, 8 * LONGS).alias(f"{side}_bits")), side)
+    run, kind = _likely(percent)
+    pairs = scratch.table(name, pairs.mapInArrow(run, kind))
     n = width(pairs.sparkSession)
-    found = tokens(pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct())
-    # Bucketed by set: pairs come to the tokens, which are not shuffled again.
-    found = scratch.bucketed(f"{name}_tokens", found.repartition(n, "sid"), n, "sid")
-    a = found.select(F.col("sid").alias("a"), F.col("tokens").alias("a_tokens"))
-    b = found.select(F.col("sid").alias("b"), F.col("tokens").alias("b_tokens"))
+    asked = pairs.select(F.col("a").alias("of")).unionAll(pairs.select("b")).groupBy("of").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("copies"))
+    asked = scratch.table(f"{name}_asked", asked)
+    found = tokens(asked.select("of")).join(asked, F.col("sid") == F.col("of")).select("sid", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "tokens")
+    # Bucketed by set and copy: pairs come to the tokens, which are not shuffled again.
+    found = scratch.bucketed(f"{name}_tokens", found.repartition(n, "sid", "copy"), n, "sid", "copy")
+    many = asked.filter("copies > 1")
+    for side, other in ("ab", "ba"):
+        copies = many.select(F.col("of").alias(side), F.col("copies").alias(f"{side}_copies"))
+        pairs = pairs.join(copies, side, "left").withColumn(f"{side}_copy", F.coalesce(F.pmod(F.xxhash64(other), F.col(f"{side}_copies")), F.lit(0)).cast("int"))
+    for side in "ab":
+        pairs = pairs.join(found.select(F.col("sid").alias(side), F.col("copy").alias(f"{side}_copy"), F.col("tokens").alias(f"{side}_tokens")), [side, f"{side}_copy"])
     run, kind = _compare(percent)
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, kind).filter("linked").select("a", "b")
-
-
-def _leaves():
-    """Sets in order of (key, n) to leaves: members, OR of bitmaps, least and most tokens, most that a bitmap hides."""
-    schema = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("leaf", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("hidden", pa.int64()), ("signature", pa.list_(pa.int64())), ("members", pa.binary()), ("keys", pa.list_(pa.list_(pa.int64()))), ("lone", pa.bool_())])
+    return pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, rows, key, before = TaskContext.get().partitionId(), 0, [], None, None
 
-        def flush(following) -> pa.RecordBatch:
-            # The first and the last leaf of a bucket may go on in another one.
-            lone = number > 0 and before != key and following is not None and following != key
-            bits = np.array([x[3] for x in rows], "<i8")
-            sizes = np.array([x[2] for x in rows])
-            members = np.hstack([np.array([x[:3] for x in rows], "<i8"), bits])
-            hidden = int((sizes - np.bitwise_count(bits.view(np.uint64)).sum(1)).max())
-            return pa.RecordBatch.from_pydict({"key": [key], "part": [part], "leaf": [number], "least": [int(sizes.min())], "most": [int(sizes.max())], "hidden": [hidden], "signature": [np.bitwise_or.reduce(bits)], "members": [members.astype("<i8").tobytes()], "keys": [[x[4] for x in rows]], "lone": [lone]}, schema=schema)
+#: What a leaf holds of each set: its name, component, size and folded bitmap, in longs.
+_MEMBER = 3 + FOLDED
 
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            for k, *x in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "component", "n", "bits", "keys"))):
-                if rows and (k != key or len(rows) == LEAF):
-                    yield flush(k)
-                    rows, number, before = [], number + 1, key
-                key = k
-                rows.append(x)
-        if rows:
-            yield flush(None)
 
-    return run, "key long, part long, leaf long, least long, most long, hidden long, signature array<long>, members binary, keys array<array<long>>, lone boolean"
+def _leaves():
+    """Sets in order of (key, component, n) to leaves: members, OR of bitmaps, and the ranges of sizes, of
+    components and of what a bitmap hides. lone: the leaf is all of its tree."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("key", "part", "number", "least", "most", "hidden", "low", "high")), ("signature", pa.list_(pa.int64())), ("members", pa.binary()), ("lone", pa.bool_())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, before = TaskContext.get().partitionId(), 0, None
+        keys, rows = np.empty(0, np.int64), np.empty((0, _MEMBER), np.int64)
+
+        def given(keys: np.ndarray, rows: np.ndarray, starts: np.ndarray, following) -> pa.RecordBatch:
+            ends = np.append(starts[1:], len(keys))
+            own, n = keys[starts], rows[:, 2]
+            # The first and the last tree of a partition may go on in another one.
+            lone = (own != np.append(np.int64(0) if before is None else np.int64(before), own[:-1])) & (own != np.append(own[1:], np.int64(0) if following is None else following))
+            lone[0] &= before is not None
+            lone[-1] &= following is not None
+            over = lambda f, x: pa.array(f.reduceat(x, starts))
+            signature = np.bitwise_or.reduceat(rows[:, 3:], starts, axis=0)
+            offsets = np.append(starts, ends[-1]).astype(np.int32) * (8 * _MEMBER)
+            members = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows, "<i8"))])
+            lists = pa.ListArray.from_arrays(np.arange(0, signature.size + 1, FOLDED, dtype=np.int32), signature.ravel())
+            numbers = np.arange(number, number + len(starts))
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(starts), part)), pa.array(numbers), over(np.minimum, n), over(np.maximum, n), over(np.maximum, n - popcount(rows[:, 3:])), over(np.minimum, rows[:, 1]), over(np.maximum, rows[:, 1]), lists, members, pa.array(lone)], schema=schema)
 
-def _may_link(percent: int) -> Column:
-    """Can any pair of sets from nodes a and b be linked?"""
-    overlap = F.aggregate(F.zip_with("a_signature", "b_signature", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x) + F.least("a_hidden", "b_hidden")
-    sizes = (100 * F.col("a_most") >= percent * F.col("b_least")) & (100 * F.col("b_most") >= percent * F.col("a_least"))
-    return sizes & (overlap * (100 + percent) >= percent * (F.col("a_least") + F.col("b_least")))
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column("fold").to_pylist()), "<i8").reshape(-1, FOLDED)
+            more = np.column_stack([*(batch.column(c).to_numpy() for c in ("sid", "component", "n")), bits])
+            keys, rows = np.concatenate([keys, batch.column("key").to_numpy()]), np.concatenate([rows, more])
+            new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            starts = np.flatnonzero((np.arange(len(keys)) - np.repeat(new, np.diff(np.append(new, len(keys))))) % LEAF == 0)
+            if len(starts) > 1:
+                # The last leaf may not be full.
+                cut = starts[-1]
+                yield given(keys[:cut], rows[:cut], starts[:-1], keys[cut])
+                number, before = number + len(starts) - 1, keys[cut - 1]
+                keys, rows = keys[cut:], rows[cut:]
+        if len(keys):
+            yield given(keys, rows, np.array([0]), None)
+
+    return run, "key long, part long, number long, least long, most long, hidden long, low long, high long, signature array<long>, members binary, lone boolean"
 
 
 def _cross(percent: int):
-    """Pairs of sets of two leaves that lie in different components and that their bitmaps let pass.
-    Sets that meet under many keys are paired under the smallest of them alone."""
+    """Pairs of sets of two leaves (of one, where b_members is null) that lie in different components and that
+    sizes and bitmaps let pass."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def met(held: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
+        """All leaves held at once: pairs are numbered through, leaf by leaf."""
+        first, second, same = zip(*held)
+        sizes = [np.array([len(x) for x in side]) for side in (first, second)]
+        counts = sizes[0] * sizes[1]
+        of = np.repeat(np.arange(len(held)), counts)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        i, j = k // sizes[1][of], k % sizes[1][of]
+        keep = ~np.array(same)[of] | (i < j)
+        i, j = ((v + (np.cumsum(size) - size)[of])[keep] for v, size in zip((i, j), sizes))
+        x, y = np.concatenate(first), np.concatenate(second)
+        least, most = np.minimum(x[i, 2], y[j, 2]), np.maximum(x[i, 2], y[j, 2])
+        keep = (x[i, 1] != y[j, 1]) & (100 * least >= percent * most)
+        i, j = i[keep], j[keep]
+        hidden = np.minimum(*(v[:, 2][w] - popcount(v[:, 3:])[w] for v, w in ((x, i), (y, j))))
+        keep = _may_link(percent, popcount(x[i, 3:] & y[j, 3:]) + hidden, x[i, 2], y[j, 2])
+        i, j = x[i[keep], 0], y[j[keep], 0]
+        pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for key, same, x, y, a_keys, b_keys in zip(*(batch.column(c) for c in ("key", "same", "a_members", "b_members", "a_keys", "b_keys"))):
-                key, same = key.as_py(), same.as_py()
-                if same:
-                    y, b_keys = x, a_keys
-                x, y = (np.frombuffer(v.as_py(), "<i8").reshape(-1, 3 + FOLDED) for v in (x, y))
-                both = np.bitwise_count(x[:, None, 3:].view(np.uint64) & y[None, :, 3:].view(np.uint64)).sum(2, dtype=np.int64)
-                hidden = [v[:, 2] - np.bitwise_count(v[:, 3:].view(np.uint64)).sum(1) for v in (x, y)]
-                bound = both + np.minimum(hidden[0][:, None], hidden[1])
-                ok = (x[:, 1][:, None] != y[:, 1]) & (bound * (100 + percent) >= percent * (x[:, 2][:, None] + y[:, 2]))
-                i, j = np.nonzero(np.triu(ok, 1) if same else ok)
-                if len(i):
-                    own, other = ([set(k) for k in v.as_py()] for v in (a_keys, b_keys))
-                    first = np.array([min(own[p] & other[q]) == key for p, q in zip(i.tolist(), j.tolist())])
-                    i, j = i[first], j[first]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i, 0], y[j, 0])), pa.array(np.maximum(x[i, 0], y[j, 0]))], schema=schema)
+            for a, b in zip(*(batch.column(c).to_pylist() for c in ("a_members", "b_members"))):
+                x = np.frombuffer(a, "<i8").reshape(-1, _MEMBER)
+                y = x if b is None else np.frombuffer(b, "<i8").reshape(-1, _MEMBER)
+                held.append((x, y, b is None))
+                size += len(x) * len(y)
+                if size >= PAIRS:
+                    yield met(held)
+                    held, size = [], 0
+        if held:
+            yield met(held)
 
     return run, "a long, b long"
 
 
+_NODE = ["key", "part", "number"]
+_HAS = ["least", "most", "hidden", "low", "high", "signature"]
+
+
+def _goes_down(percent: int) -> Column:
+    """Can a set of node a and one of node b, of different components, be linked?"""
+    overlap = F.aggregate(F.zip_with("a_signature", "b_signature", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x) + F.least("a_hidden", "b_hidden")
+    sizes = (100 * F.col("a_most") >= percent * F.col("b_least")) & (100 * F.col("b_most") >= percent * F.col("a_least"))
+    joined = (F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low"))
+    return ~joined & sizes & _may_link(percent, overlap, F.col("a_least"), F.col("b_least"))
+
+
 def _traverse(members: DataFrame, percent: int, scratch: Scratch, n: int) -> DataFrame:
-    """Pairs from the signature trees of all keys, traversed against themselves: branches, then leaves."""
-    order = ["key", "n", "sid"]
+    """Pairs from the signature trees of all keys, each traversed against itself from its root.
+
+    members is (key, component, n, sid, fold). Leaves are numbered within a partition; parents drop bits of
+    that number, and above it of the partition's, so that no level needs a count over a whole tree.
+    """
+    order = ["key", "component", "n", "sid"]
     run, kind = _leaves()
-    leaves = scratch.table("leaves", members.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "sid", "component", "n", "bits", "keys").mapInArrow(run, kind))
+    leaves = scratch.table("leaves", members.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, "fold").mapInArrow(run, kind))
     run, kind = _cross(percent)
-    own = [F.col(c).alias(f"a_{c}") for c in ("members", "keys")]
-    within = leaves.select("key", F.lit(True).alias("same"), *own, F.lit(None).cast("binary").alias("b_members"), F.lit(None).cast("array<array<long>>").alias("b_keys")).mapInArrow(run, kind)
-    # Most keys have one leaf, which has met itself; only those of several are joined.
+    none = F.lit(None).cast("binary").alias("b_members")
+    within = leaves.filter("low <> high").select(F.col("members").alias("a_members"), none).mapInArrow(run, kind)
+    # A tree of one leaf ends there.
     leaves = leaves.filter("NOT lone")
-    merged = F.array(*(F.bit_or(F.col("signature")[k]) for k in range(FOLDED))).alias("signature")
-    branches = scratch.table("branches", leaves.groupBy("key", "part").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("hidden").alias("hidden"), merged))
-    side = lambda df, s, columns: df.select(*(F.col(c).alias(f"{s}_{c}") for c in columns))
-    node = ["least", "most", "hidden", "signature"]
-    top = side(branches, "a", ["key", "part", *node]).join(side(branches, "b", ["key", "part", *node]), F.col("a_key") == F.col("b_key"))
-    top = top.filter((F.col("a_part") <= F.col("b_part")) & _may_link(percent))
-    top = scratch.table("top", top.select(F.col("a_key").alias("key"), F.col("a_part").alias("up_a"), F.col("b_part").alias("up_b")))
-    low = ["key", "part", "leaf", *node, "members", "keys"]
-    pairs = top.join(side(leaves, "a", low), (F.col("key") == F.col("a_key")) & (F.col("up_a") == F.col("a_part")))
-    pairs = pairs.join(side(leaves, "b", low), (F.col("key") == F.col("b_key")) & (F.col("up_b") == F.col("b_part")))
-    pairs = pairs.filter(((F.col("up_a") < F.col("up_b")) | (F.col("a_leaf") < F.col("b_leaf"))) & _may_link(percent))
-    across = pairs.select("key", F.lit(False).alias("same"), "a_members", "b_members", "a_keys", "b_keys").mapInArrow(run, kind)
+    levels, ups = [scratch.table("level0", leaves.select(*_NODE, *_HAS))], []
+    top = levels[0].agg(F.max("part"), F.max("number")).first()
+    part, number = (x or 0 for x in top)
+    while part or number:
+        bits = (0, FANOUT) if number else (FANOUT, 0)
+        part, number = part >> bits[0], number >> bits[1]
+        ups.append([F.shiftright(c, k).alias(c) for c, k in zip(_NODE[1:], bits)])
+        merged = F.array(*(F.bit_or(F.col("signature")[k]) for k in range(FOLDED))).alias("signature")
+        above = levels[-1].select("key", *ups[-1], *_HAS).groupBy(*_NODE).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("hidden").alias("hidden"), F.min("low").alias("low"), F.max("high").alias("high"), merged)
+        levels.append(scratch.table(f"level{len(levels)}", above))
+    sides = lambda df, s, columns: df.select(*(F.col(c).alias(f"{s}_{c}") for c in columns))
+    ids = [f"{s}_{c}" for s in "ab" for c in _NODE]
+    pairs = levels[-1].filter("low <> high").select(*(F.col(c).alias(f"{s}_{c}") for s in "ab" for c in _NODE))
+    for k in range(len(levels) - 2, -1, -1):
+        pairs = pairs.withColumnsRenamed({c: f"up_{c}" for c in ids})
+        for s in "ab":
+            below = sides(levels[k].select(*_NODE, *_HAS, *(u.alias(f"up_{c}") for u, c in zip(ups[k], _NODE[1:]))), s, [*_NODE, *_HAS, "up_part", "up_number"])
+            on = [F.col(f"up_{s}_key") == F.col(f"{s}_key"), *(F.col(f"up_{s}_{c}") == F.col(f"{s}_up_{c}") for c in _NODE[1:])]
+            pairs = pairs.join(below, on)
+        first, second = (F.struct(*(F.col(f"{s}_{c}").alias(c) for c in _NODE[1:])) for s in "ab")
+        pairs = scratch.table(f"down{k}", pairs.filter((first <= second) & _goes_down(percent)).select(*ids))
+    pairs = pairs.filter("a_part <> b_part OR a_number <> b_number")
+    for s in "ab":
+        pairs = pairs.join(sides(leaves, s, [*_NODE, "members"]), [f"{s}_{c}" for c in _NODE])
+    across = pairs.select("a_members", "b_members").mapInArrow(run, kind)
     return within.union(across).distinct()
 
 
@@ -331,8 +422,9 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
 
     Rows are linked if 100 * (shared shingles) >= percent * (shingles of either). A text of fewer words
     than a shingle is one shingle; null or empty text has none and links with nothing. A component is
-    named by its smallest identifier; rows with equal identifiers each take part with their own text. A
-    null identifier is never the smallest. Other columns are not read.
+    named by its smallest identifier; rows with equal identifiers each take part with their own text, equal
+    rows are one set. A null identifier is never the smallest. Texts of any length are taken whole. Other
+    columns are not read; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "jaccard"), width(spark)
@@ -351,42 +443,38 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     stands = scratch.table("stands", stands)
     texts = d.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("stand"), "text")
 
-    def described(wanted: DataFrame, whole: bool) -> DataFrame:
-        run, kind = _describe(words, whole)
+    def tokens(wanted: DataFrame) -> DataFrame:
+        run, kind = _tokens(words)
         return texts.join(stands.join(wanted, F.col("sid") == F.col("of")).select("stand", "sid"), "stand").select("sid", "text").mapInArrow(run, kind).dropDuplicates(["sid"])
 
-    sets = scratch.table("sets", described(wanted, False))
-    tokens = lambda wanted: described(wanted, True)
+    sets = read.filter("kind = 4").select(F.col("a").alias("sid"), "n", "data").join(wanted, F.col("sid") == F.col("of"), "left_semi")
+    sets = scratch.table("sets", sets.dropDuplicates(["sid"]))
     links = scratch.table("linked", _verify(pairs, sets, tokens, percent, scratch, "likely"))
     scratch.drop("likely_tokens")
     joined = scratch.table("joined", components(links, scratch, "first"))
     of = lambda s: joined.select(F.col("node").alias(s), F.col("component").alias(f"{s}_in"))
+    # A tree all of whose neighbours lie in one component has one at its root.
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = scratch.table("apart", apart.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select(F.col("a").alias("x"), F.col("b").alias("y")))
-    if not apart.isEmpty():
-        run, kind = _unpack()
-        shared = scratch.table("shared", rows.filter("kind = 3").select("data").mapInArrow(run, kind))
-        mixed = scratch.table("mixed", shared.join(apart, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select(F.col("key").alias("of_key")).distinct())
-        shared = shared.join(mixed, F.col("key") == F.col("of_key"))
-        members = scratch.table("listed", shared.select("key", F.col("a").alias("sid")).union(shared.select("key", "b")).distinct())
-        # Two sets under a key have been compared, and keys that list the same sets are one.
-        groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("mark"))
-        groups = groups.filter("size > 2").groupBy("size", "sum", "mark").agg(F.min("key").alias("of_key"))
-        # From here on a key is a small number, which packs better; it is written, and so stays the same.
-        groups = scratch.table("groups", groups.select("of_key", F.monotonically_increasing_id().alias("number")))
-        members = scratch.table("grouped", members.join(groups, F.col("key") == F.col("of_key")).select(F.col("number").alias("key"), "sid"))
-        scratch.drop("shared", "mixed", "listed")
-        # The keys of one set: no more than it was listed under.
-        listed = members.groupBy("sid").agg(F.collect_set("key").alias("keys"))
-        folds = [F.slice("bits", at, FOLDED) for at in range(1, LONGS + 1, FOLDED)]
-        folded = reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseOR(q)), folds).alias("bits")
-        listed = listed.join(sets.select("sid", "n", folded), "sid").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
-        listed = scratch.table("members", listed.withColumn("component", F.coalesce("component", "sid")))
-        more = scratch.table("more", _traverse(members.join(listed, "sid"), percent, scratch, n))
-        scratch.drop("leaves", "branches", "top", "members", "grouped", "groups")
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        links = scratch.table("links", links.union(_verify(more, sets, tokens, percent, scratch, "likelier")))
-        joined = components(links, scratch, "second")
+    run, kind = _unpack()
+    shared = scratch.table("shared", rows.filter("kind = 3").select("data").mapInArrow(run, kind))
+    mixed = scratch.table("mixed", shared.join(apart, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select(F.col("key").alias("of_key")).distinct())
+    shared = shared.join(mixed, F.col("key") == F.col("of_key"))
+    members = scratch.table("listed", shared.select("key", F.col("a").alias("sid")).union(shared.select("key", "b")).distinct())
+    # The two sets of a tree of two have been compared, and trees of the same sets are one.
+    trees = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("mark"))
+    trees = trees.filter("size > 2").groupBy("size", "sum", "mark").agg(F.min("key").alias("of_key"))
+    # From here on a key is a small number, which packs better; it is written, and so stays the same.
+    trees = scratch.table("trees", trees.select("of_key", F.monotonically_increasing_id().alias("number")))
+    members = scratch.table("members", members.join(trees, F.col("key") == F.col("of_key")).select(F.col("number").alias("key"), "sid"))
+    scratch.drop("shared", "mixed", "listed", "trees")
+    known = sets.select("sid", "n", F.substring("data", 8 * LONGS + 1, 8 * FOLDED).alias("fold")).join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    known = scratch.table("hung", known.withColumn("component", F.coalesce("component", "sid")))
+    more = scratch.table("more", _traverse(members.join(known, "sid"), percent, scratch, n).join(pairs, ["a", "b"], "left_anti"))
+    scratch.drop("leaves", "members", "hung")
+    links = scratch.table("links", links.union(_verify(more, sets, tokens, percent, scratch, "likelier")))
+    scratch.drop("likelier_tokens")
+    joined = components(links, scratch, "second")
     known = stands.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
     known = scratch.table("known", known)
     least = scratch.table("least", known.groupBy("component").agg(F.min("least").alias("component_id")))
