@@ -1,15 +1,18 @@
 """Quality classifier by hierarchical empirical Bayes.
 
-Three sources of evidence on a document are combined in log-odds:
+For each label (quality, and toxic if there is one) three sources of evidence are combined in log-odds:
 
-* the document itself: a logistic model of its bytes and layout, trained on at most TRAIN labelled rows;
-* its host: the host's mean document probability, shrunk towards the corpus mean;
-* its path within the host: that mean, shrunk towards the host's.
+* the document itself: a logistic model of its layout and its byte pairs or telling words, whichever halves of
+  the labelled rows foretell the other half better by; trained on at most TRAIN of them;
+* its host: the posterior mean of the host, from its documents' labels and, for those without, their model
+  scores (SCORED of a label each), shrunk towards the corpus;
+* its path within the host: the same over the path's documents, shrunk towards the host.
 
-Shrinkage is empirical Bayes on the beta-binomial: the prior strength of a level is found by moments
-from the spread of its groups' means, so sparse hosts and paths stay near the level above while large
-ones speak for themselves. All means are grouped aggregates over every document; the model is a few
-hundred numbers.
+Shrinkage is empirical Bayes on the beta-binomial: the prior strength of a level is found by moments from the
+spread of its groups' means, so sparse hosts and paths stay near the level above while large ones speak for
+themselves. What a site's log-odds count beside the document's is fitted on the labelled rows too, each half
+judged by the model and the sites of the other. All means are grouped aggregates over every document and every
+label; the model is a few hundred numbers.
 """
 
 from __future__ import annotations
@@ -21,11 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows used to train, the hashed byte pairs that describe a text, and the largest share that
-#: host and path have beside the document's own evidence.
-TRAIN, PAIRS, SITE_WEIGHT = 6000, 256, 0.5
-#: Prior strengths lie between these, in documents.
-WEAK, STRONG = 1.0, 1000.0
+from tidemark.llm.scratch import Scratch, lean
+from tidemark.llm.shingles import word_hashes
+
+#: Labelled rows used to train, the hashed byte pairs and the words (those that tell most) that describe a text.
+TRAIN, PAIRS, WORDS = 6000, 256, 256
+#: Labelled texts that a word must be in, and chi-squared from which that is no chance among 100,000 words.
+SEEN, TELLS = 5, 30.0
+#: What a scored document counts beside a labelled one in its site, and the weight of a site's log-odds that
+#: the fitted one is drawn to.
+SCORED, SITE_WEIGHT = 0.2, 0.5
+#: Prior strengths lie between these, in documents; that of the sites on which the weight is fitted.
+WEAK, STRONG, FITTED = 1.0, 1000.0, 20.0
 
 _KINDS = np.zeros((8, 256), np.uint8)
 for _k, _test in enumerate((lambda c: "a" <= c <= "z", lambda c: "A" <= c <= "Z", str.isdigit, lambda c: c in " \t", lambda c: c in "\r\n", lambda c: c in ".,;:'-", lambda c: c in "!?", lambda c: 32 < ord(c) < 127 and not c.isalnum() and c not in ".,;:'-!?")):
@@ -66,39 +76,127 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> t
     return mean, scale, w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, ident: str, text: str, label: str, rows: int = TRAIN):
-    """The model, from the labelled documents whose identifiers hash lowest: at most rows of them.
+_BLANK = np.arange(256, dtype=np.uint8)
+_BLANK[[c for c in range(128) if not chr(c).isalnum()]] = 32
+
+
+def word_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct words of a whole text, without punctuation and case."""
+    return np.unique(word_hashes(_BLANK[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)])[0])
+
+
+def telling(sets: list[np.ndarray], y: np.ndarray, most: int = WORDS) -> np.ndarray:
+    """The words whose presence tells most of y, by chi-squared, of those that tell anything; of equals those of
+    smaller hash."""
+    words, at = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True)
+    label = np.repeat(y, [len(s) for s in sets])
+    has, good = np.bincount(at, minlength=len(words)), np.bincount(at, label, len(words))
+    n, share = len(y), y.mean()
+    chi = (good - has * share) ** 2 * n / (np.maximum(has * (n - has), 1) * share * (1 - share))
+    chi[(has < SEEN) | (chi < TELLS)] = 0
+    order = np.lexsort((words, -chi))[:most]
+    return np.sort(words[order[chi[order] > 0]])
+
+
+def described(text: str | None, words: np.ndarray | None) -> np.ndarray:
+    """Layout, and which of words a text has; byte pairs where there are no words."""
+    if words is None:
+        return features(text)
+    own = word_set(text)
+    at = np.minimum(np.searchsorted(own, words), max(0, len(own) - 1))
+    return np.concatenate([features(text)[:LAYOUT], own[at] == words if len(own) else np.zeros(len(words))])
+
+
+def probability(x: np.ndarray, model) -> np.ndarray:
+    mean, scale, w = model
+    return 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -30, 30)))
+
+
+def logit(p) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def loss(x: np.ndarray, y: np.ndarray) -> float:
+    """Of models that each saw half of the rows, on the other half."""
+    half, out = np.arange(len(y)) % 2 == 0, 0.0
+    for taught in (half, ~half):
+        if len(set(y[taught])) < 2:
+            return 0.0
+        p = probability(x[~taught], fit(x[taught], y[taught]))
+        out -= np.log(np.clip(np.where(y[~taught] > 0.5, p, 1 - p), 1e-6, 1)).sum()
+    return float(out)
+
 
-    None where no labelled document is found or all have one label. Null identifiers and labels do not
-    count; of repeated labels of a document the smallest does.
+def site_weight(x: np.ndarray, y: np.ndarray, hosts: np.ndarray, paths: np.ndarray) -> float:
+    """What a site's log-odds count beside the model's, from halves that judge each other; from 0 to 1."""
+    half = np.arange(len(y)) % 2 == 0
+    own, site = np.zeros(len(y)), np.zeros(len(y))
+    for taught in (half, ~half):
+        if len(set(y[taught])) < 2:
+            return SITE_WEIGHT
+        own[~taught] = logit(probability(x[~taught], fit(x[taught], y[taught])))
+        prior = y[taught].mean()
+        means = {}
+        for level, above in ((hosts, None), (paths, hosts)):
+            for g in np.unique(level):
+                of = y[taught & (level == g)]
+                up = prior if above is None else means[above[level == g][0]]
+                means[g] = (of.sum() + FITTED * up) / (len(of) + FITTED)
+        site[~taught] = [logit(means[g]) - logit(prior) for g in paths[~taught]]
+    w = SITE_WEIGHT
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-np.clip(own + w * site, -30, 30)))
+        w = min(1.0, max(0.0, w - ((p - y) @ site + (w - SITE_WEIGHT)) / ((p * (1 - p)) @ site**2 + 1)))
+    return float(w)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, ident: str, text: str, label: str, host: str, path: str, rows: int = TRAIN):
+    """(words or None, model, weight of the site), from the labelled rows whose identifiers hash lowest: at most rows of them.
+
+    None where no labelled document is found or all have one label. labels is (ident, label) without nulls or
+    repeats.
     """
-    some = labels.filter(F.col(ident).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(ident).cast("long").alias("ql_id")).agg(F.min(F.col(label).cast("double")).alias("ql_y"))
-    some = some.orderBy(F.xxhash64("ql_id"), "ql_id").limit(rows)
+    some = labels.select(F.col(ident).alias("ql_id"), F.col(label).alias("ql_y")).orderBy(F.xxhash64(ident), ident).limit(rows)
     # At most rows identifiers and labels: 16 bytes each.
-    found = docs.select(F.col(ident).cast("long").alias("ql_id"), F.col(text).cast("string").alias("ql_text")).join(F.broadcast(some), "ql_id")
+    found = docs.select(F.col(ident).cast("long").alias("ql_id"), F.col(host).alias("ql_host"), F.col(path).alias("ql_path"), F.col(text).alias("ql_text")).join(F.broadcast(some), "ql_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            described = [features(t.as_py()).astype("<f4").tobytes() for t in batch.column("ql_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("ql_id"), batch.column("ql_y"), pa.array(described, pa.binary())], names=["i", "y", "x"])
+            texts = [t.as_py() for t in batch.column("ql_text")]
+            x = [pa.array([f(t).tobytes() for t in texts], pa.binary()) for f in (lambda t: features(t).astype("<f4"), word_set)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ql_id", "ql_y", "ql_host", "ql_path")), *x], names=["i", "y", "host", "path", "x", "words"])
 
-    got = found.select("ql_id", "ql_y", "ql_text").mapInArrow(run, "i long, y double, x binary").orderBy("i", "x").limit(2 * rows).toArrow()
+    # Which of them are taken is settled before any text is looked at.
+    found = found.select("ql_id", "ql_y", "ql_host", "ql_path", "ql_text").mapInArrow(lean(run), "i long, y double, host string, path string, x binary, words binary")
+    got = found.orderBy(F.xxhash64("i"), "i", "x").limit(rows).toArrow()
     y = np.array(got.column("y").to_pylist(), float)
     if len(y) == 0 or y.min() == y.max():
         return None
-    return fit(np.stack([np.frombuffer(v.as_py(), "<f4") for v in got.column("x")]).astype(float), y)
+    sets = [np.frombuffer(v.as_py(), "<u8") for v in got.column("words")]
+    words = telling(sets, y)
+    x = np.stack([np.frombuffer(v.as_py(), "<f4") for v in got.column("x")]).astype(float)
+    if len(words):
+        told = np.hstack([x[:, :LAYOUT], np.stack([np.isin(words, s) for s in sets])])
+        x, words = (told, words) if loss(told, y) <= loss(x, y) else (x, None)
+    else:
+        words = None
+    hosts, paths = (np.array(got.column(c).to_pylist()) for c in ("host", "path"))
+    return words, fit(x, y), site_weight(x, y, hosts, np.char.add(np.char.add(hosts, "\n"), paths))
+
 
+def _score(models: list, schema: list[str]):
+    """Adds a probability for each model, 0.5 without one."""
 
-def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, p = batch.column("qc_text"), np.full(batch.num_rows, 0.5)
-            if model:
-                mean, scale, w = model
-                for at in range(0, batch.num_rows, 256):
-                    x = np.stack([features(t.as_py()).astype("<f4") for t in texts[at : at + 256]]).astype(float)
-                    p[at : at + 256] = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns - 1)] + [pa.array(p)], names=[*batch.schema.names[:-1], "doc_score"])
+            texts, scores = batch.column("qc_text"), [np.full(batch.num_rows, 0.5) for _ in models]
+            for at in range(0, batch.num_rows, 256):
+                some = [t.as_py() for t in texts[at : at + 256]]
+                for p, model in zip(scores, models):
+                    if model:
+                        p[at : at + 256] = probability(np.stack([described(t, model[0]) for t in some]).astype("<f4").astype(float), model[1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema[: len(schema) - len(models)]), *map(pa.array, scores)], names=schema)
 
     return run
 
@@ -118,44 +216,71 @@ def strength(groups: DataFrame, prior: Column) -> float:
     return float(min(STRONG, max(WEAK, within / spread if spread > 0 else STRONG)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, ident: str = "doc_id", text: str = "text", label: str = "quality", host: Column | None = None, path: Column | None = None, rows: int = TRAIN, threshold: float = 0.5, site_weight: float = SITE_WEIGHT) -> DataFrame:
-    """docs with doc_score, host_mean, path_mean, quality and kept; columns of those names are replaced.
+def _odds(p: Column) -> Column:
+    p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))
+    return F.log(p / (1 - p))
 
-    host defaults to column source and path to lang; a null host or path is a group of its own. Rows
-    with null or empty text are scored as such. Without usable labels every document is kept with
-    quality 0.5. kept is quality >= threshold.
-    """
-    added = ["doc_score", "host_mean", "path_mean", "quality", "kept", "qc_text", "qc_host", "qc_path"]
-    base = docs.drop(*added)
-    host = F.col("source") if host is None else host
-    path = F.col("lang") if path is None else path
-    model = train(docs, labels, ident=ident, text=text, label=label, rows=rows)
-    keyed = base.withColumns({"qc_host": F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit("")), "qc_path": F.coalesce(F.concat(F.lit("p"), path.cast("string")), F.lit("")), "qc_text": F.col(text).cast("string")})
-    schema = keyed.drop("qc_text").withColumn("doc_score", F.lit(0.0)).schema
-    scored = keyed.mapInArrow(_score(model), schema)
-    # Only keys and scores are aggregated; the texts are not shuffled.
-    slim = keyed.select("qc_host", "qc_path", "qc_text").mapInArrow(_score(model), "qc_host string, qc_path string, doc_score double")
-    paths = slim.groupBy("qc_host", "qc_path").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_score").alias("s"), F.sum(F.col("doc_score") * F.col("doc_score")).alias("q"))
-    from tidemark.llm.scratch import Scratch
-
-    paths = Scratch(docs.sparkSession, "quality").table("paths", paths)
+
+def sites(scored: DataFrame, known: DataFrame, score: str, scratch: Scratch, name: str) -> tuple[DataFrame, float]:
+    """(qc_host, qc_path, host_mean, path_mean) by score, and the corpus mean. known is (qc_id, y)."""
+    # Only keys and numbers are aggregated; a row's evidence is its label, or its score at a smaller weight.
+    slim = scored.select(F.col("qc_id"), "qc_host", "qc_path", F.col(score).alias("p")).join(known, "qc_id", "left")
+    weight, value = F.when(F.col("y").isNull(), SCORED).otherwise(1.0), F.coalesce("y", "p")
+    sums = [F.sum(weight).alias("n"), F.sum(weight * value).alias("s"), F.sum(weight * value * value).alias("q")]
+    paths = scratch.table(f"{name}_paths", slim.groupBy("qc_host", "qc_path").agg(*sums))
     hosts = paths.groupBy("qc_host").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q")))
     whole = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     prior = whole["s"] / whole["n"] if whole["n"] else 0.5
-    k_host = strength(hosts, F.lit(prior))
-    hosts = hosts.select("qc_host", ((F.col("s") + k_host * prior) / (F.col("n") + k_host)).alias("host_mean"))
+    k = strength(hosts, F.lit(prior))
+    hosts = hosts.select("qc_host", ((F.col("s") + k * prior) / (F.col("n") + k)).alias("host_mean"))
     paths = paths.join(hosts, "qc_host")
-    k_path = strength(paths, F.col("host_mean"))
-    paths = paths.select("qc_host", "qc_path", "host_mean", ((F.col("s") + k_path * F.col("host_mean")) / (F.col("n") + k_path)).alias("path_mean"))
-    odds = lambda p: F.log(F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p)) / (1 - F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))))
-    site = F.lit(site_weight) * ((odds(F.col("path_mean")) - odds(F.col("host_mean"))) + (odds(F.col("host_mean")) - odds(F.lit(prior))))
-    out = scored.join(paths, ["qc_host", "qc_path"])
-    out = out.withColumn("quality", 1 / (1 + F.exp(-(odds(F.col("doc_score")) + site))))
-    return out.withColumn("kept", F.col("quality") >= threshold).drop("qc_host", "qc_path")
+    k = strength(paths, F.col("host_mean"))
+    return paths.select("qc_host", "qc_path", "host_mean", ((F.col("s") + k * F.col("host_mean")) / (F.col("n") + k)).alias("path_mean")), prior
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, ident: str = "doc_id", text: str = "text", label: str = "quality", toxic: str | None = "toxic", host: Column | None = None, path: Column | None = None, keep: list[str] | None = None, rows: int = TRAIN, threshold: float = 0.5, weight: float | None = None) -> DataFrame:
+    """docs (or its columns keep) with doc_score, host_mean, path_mean, quality, toxic_score, toxic and kept.
+
+    Columns of these names in docs are replaced, as are those that begin with qc_. kept is quality >= threshold
+    and toxic < threshold. host defaults to column source and path to lang; a null host or path is a group of its
+    own. Whole texts are scored, however long; null and empty text as such. Null identifiers and labels do not
+    count; of repeated labels of a document the smallest does; repeated rows are scored alike and each count
+    for their site. Without usable labels every document has 0.5 (quality) and 0 (toxic) and is kept. An empty
+    table gives an empty table. weight sets the sites' weight, which else is fitted.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    added = ["doc_score", "host_mean", "path_mean", "quality", "toxic_score", "toxic", "kept", "qc_id", "qc_text", "qc_host", "qc_path"]
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    host = F.col("source") if host is None else host
+    path = F.col("lang") if path is None else path
+    keyed = docs.withColumns({"qc_id": F.col(ident).cast("long"), "qc_host": F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit("")), "qc_path": F.coalesce(F.concat(F.lit("p"), path.cast("string")), F.lit("")), "qc_text": F.col(text).cast("string")})
+    asked = {"doc_score": label} | ({"toxic_score": toxic} if toxic and toxic in labels.columns else {})
+    known, models = {}, {}
+    for score, name in asked.items():
+        good = labels.filter(F.col(ident).isNotNull() & F.col(name).isNotNull())
+        known[score] = scratch.table(f"{score}_labels", good.groupBy(F.col(ident).cast("long").alias("qc_id")).agg(F.min(F.col(name).cast("double")).alias("y")))
+        models[score] = train(keyed, known[score], ident="qc_id", text="qc_text", label="y", host="qc_host", path="qc_path", rows=rows)
+    names = [*columns, "qc_id", "qc_host", "qc_path"]
+    schema = keyed.select(*names).withColumns({c: F.lit(0.0) for c in asked}).schema
+    # Written once: sites are made of the scores, and rows get their sites' means after.
+    scored = scratch.table("scored", keyed.select(*names, "qc_text").mapInArrow(lean(_score(list(models.values()), schema.names)), schema))
+    out = scored
+    for score, (mean, result) in {"doc_score": ("host_mean", "quality"), "toxic_score": ("qc_mean", "toxic")}.items():
+        if score not in asked:
+            out = out.withColumns({"toxic_score": F.lit(0.0), "toxic": F.lit(0.0)})
+            continue
+        means, prior = sites(scored, known[score], score, scratch, score)
+        w = (models[score][2] if models[score] else SITE_WEIGHT) if weight is None else weight
+        out = out.join(means.withColumnsRenamed({"host_mean": mean, "path_mean": mean.replace("host", "path") if mean == "host_mean" else "qc_path_mean"}), ["qc_host", "qc_path"])
+        below = F.col("path_mean" if score == "doc_score" else "qc_path_mean")
+        p = 1 / (1 + F.exp(-(_odds(F.col(score)) + F.lit(w) * (_odds(below) - _odds(F.lit(prior))))))
+        out = out.withColumn(result, p if models[score] or score == "doc_score" else F.lit(0.0))
+    out = out.withColumn("kept", (F.col("quality") >= threshold) & (F.col("toxic") < threshold))
+    return out.select(*columns, "doc_score", "host_mean", "path_mean", "quality", "toxic_score", "toxic", "kept")
 
 
 def op4_quality_classifier(spark, sf_dir):
-    """(doc_id, doc_score, host_mean, path_mean, quality, kept) of every document."""
+    """(doc_id, doc_score, host_mean, path_mean, quality, toxic_score, toxic, kept) of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs.select("doc_id", "text", "source", "lang"), labels).drop("text", "source", "lang")
+    return classify(docs, labels, keep=["doc_id"])
