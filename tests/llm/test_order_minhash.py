@@ -21,7 +21,7 @@ def brute(spark, texts):
 
     out = []
     for text in texts:
-        pieces = re.findall(r"\S{1,12}", text)
+        pieces = [run[i : i + 12] for run in re.findall(r"\S+", text) for i in range(max(1, len(run) - 11))]
         if not pieces:
             out.append("")
             continue
@@ -47,7 +47,7 @@ def brute(spark, texts):
 
 
 def test_equals_brute_force(spark):
-    texts = ["", " \n ", "one", "one two", "a b c a b c a b c", prose(1, 12)]
+    texts = ["", " \n ", "one", "one two", "a b c a b c a b c", prose(1, 12), "x" * 12 + " " + "abcdefghijklmnop" + " y", "日本語の文章には空白がありませんから"]
     got = [x.f for x in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(omh.as_string(omh.signature(F.col("t"))).alias("f")).collect()]
     assert got == brute(spark, texts)
 
@@ -79,3 +79,33 @@ def test_contract(spark):
     assert {x.n_chars for x in by[3]} == {0} and by[3][0].fingerprint == "" and by[3][0].near_edited == 1
     assert omh.fingerprints(docs.filter("doc_id = 7")).first().edited_sha256 == sha("xxxxx")
     assert omh.fingerprints(docs.filter("doc_id = 99")).count() == 0
+
+
+def test_one_inserted_character_in_text_without_spaces(spark):
+    r = random.Random(8)
+    for letters in ("".join(chr(c) for c in range(0x4E00, 0x4F00)), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        base = "".join(r.choice(letters) for _ in range(3000))
+        other = "".join(r.choice(letters) for _ in range(3000))
+        rows = [(base, letters[0] + base), (base, base[:1500] + letters[1] + base[1500:]), (base, other)]
+        near = [x.n for x in spark.createDataFrame(rows, "a string, b string").select(omh.likeness(omh.signature(F.col("a")), omh.signature(F.col("b"))).alias("n")).collect()]
+        assert near[0] > 0.9 and near[1] > 0.7 and near[2] == 0
+
+
+def test_whole_table_recounted(spark, sf):
+    """Every column but the fingerprints themselves, from the texts and the fingerprints."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {x.doc_id: x.text or "" for x in docs.collect()}
+    got = {x.doc_id: x for x in omh.fingerprints(docs).collect()}
+    order = sorted(texts)
+    assert sorted(got) == order
+    cut = lambda f: {f[i : i + 8] for i in range(0, len(f), 8)}
+    like = lambda a, b: 1.0 if not a and not b else len(cut(a) & cut(b)) / (max(len(a), len(b)) // 8)
+    edits = []
+    for i, d in enumerate(order):
+        x, n, after = got[d], len(texts[d]), order[(i + 1) % len(order)]
+        edited = texts[d][: n - n // 2] + texts[after][: n // 2]
+        edits.append((d, edited))
+        assert x.n_chars == n and x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert x.near_edited == like(x.fingerprint, x.edited_fingerprint) and x.near_next == like(x.fingerprint, got[after].fingerprint)
+    again = spark.createDataFrame(edits, "d long, t string").select("d", omh.as_string(omh.signature(F.col("t"))).alias("f")).collect()
+    assert all(got[x.d].edited_fingerprint == x.f for x in again)

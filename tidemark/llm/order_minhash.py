@@ -1,7 +1,9 @@
 """Document fingerprints by order MinHash. DataFrame functions only.
 
-A text is cut into pieces (runs without white space, of PIECE code points at most) and every K pieces in
-a row are a k-mer. K-mers are numbered by occurrence, so that the second mention of one is another item
+A text is cut into pieces, and every K pieces in a row are a k-mer. A run without white space of at most PIECE
+code points is a piece; in a longer one (a script without spaces, encoded data) each PIECE code points in a
+row are one, from every place on, so that an inserted character changes the pieces over it and moves the
+others without changing them. K-mers are numbered by occurrence, so that the second mention of one is another item
 than the first. Items hash into SLOTS slots; a slot keeps the PICK items of smallest hash, puts them back
 into the order they have in the text, and hashes that tuple. Two texts share a slot only if they agree in
 the items and in their order, which ties likeness to edit distance rather than to sets of k-mers.
@@ -21,6 +23,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import Scratch, width
 
 K, SLOT_BITS, PICK, PIECE = 3, 5, 2, 12
+
+
+def pieces_of(piece: int) -> str:
+    """Group 1 of each match is a piece: a whole short run, or from each place of a longer one."""
+    return rf"(?=(\S{{1,{piece}}}))(?:(?<!\S)\S{{1,{piece}}}(?!\S)|\S(?=\S{{{piece - 1}}}))"
+
+
 PLACE = (1 << 31) - 1
 
 
@@ -50,7 +59,7 @@ def _over_runs(items: Column, n: Column, mark: Callable[[Column], Column], body:
 def signature(text: Column, k: int = K, slot_bits: int = SLOT_BITS, pick: int = PICK, piece: int = PIECE) -> Column:
     """The slots of a text in their order, as array<int>: empty for a text without pieces."""
     none = F.array().cast("array<int>")
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{piece}}}"), 0)
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pieces_of(piece)), 1)
 
     def kmers(p: Column) -> Column:
         at = lambda i: F.xxhash64(*(F.get(p, i + j) for j in range(k)))
@@ -112,7 +121,8 @@ def fingerprints(docs: DataFrame, *, ident: str = "doc_id", text: str = "text")
     start of the next document by identifier; after the last comes the first. Null text is empty. A null
     identifier comes before all others. Rows with equal identifiers follow each other by a hash of their
     texts; rows equal in both count as one document, and each of them is returned. A text without pieces
-    has an empty fingerprint, which is like only another such. Other columns are not read.
+    has an empty fingerprint, which is like only another such. Texts of any length are taken whole. Other
+    columns are not read; an empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
