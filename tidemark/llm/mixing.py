@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import Scratch, width
+
 #: Largest mean that is inverted in one piece, and terms of the distribution kept for it: what lies
 #: beyond 80 terms of a mean of 16 has probability 1e-27, less than one step of the 52-bit points.
 CHUNK, TERMS = 16.0, 80
-#: Copies of each source's rate, over which the documents of a source are dealt in the join.
-SALTS = 32
+#: Sources whose rates go to every executor (of less than a KB each); more are joined by a shuffle.
+FEW = 20_000
 
 
 def _point(seed: str, ident: Column, part: Column) -> Column:
@@ -26,12 +28,12 @@ def _point(seed: str, ident: Column, part: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, source: str, text: str, temperature: float, budget: float) -> DataFrame:
-    """(mx_source, mx_parts, mx_cdf): for each source the parts of its mean and the distribution of one part.
+    """(mx_source, mx_rows, mx_parts, mx_cdf): for each source its rows, the parts of its mean and the distribution of one part.
 
     Sizes are UTF-8 bytes of all documents. Without weights a source's weight is its size to the
     power of temperature. A source of no bytes, or of no weight, has mean 0.
     """
-    sizes = docs.groupBy(F.col(source).alias("mx_source")).agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")).alias("mx_size"))
+    sizes = docs.groupBy(F.col(source).alias("mx_source")).agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")).alias("mx_size"), F.count(F.lit(1)).alias("mx_rows"))
     if weights is None:
         weight = F.pow(F.col("mx_size").cast("double"), F.lit(float(temperature)))
     else:
@@ -43,7 +45,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, source: str, text:
     total = F.sum("mx_size").over(everywhere).cast("double")
     share = F.try_divide(F.col("mx_weight"), F.sum("mx_weight").over(everywhere))
     mean = F.coalesce(F.lit(float(budget)) * total * share / F.col("mx_size"), F.lit(0.0))
-    sizes = sizes.select("mx_source", F.when(F.col("mx_size") > 0, mean).otherwise(F.lit(0.0)).alias("mx_mean"))
+    sizes = sizes.select("mx_source", "mx_rows", F.when(F.col("mx_size") > 0, mean).otherwise(F.lit(0.0)).alias("mx_mean"))
     sizes = sizes.withColumn("mx_parts", F.greatest(F.lit(1), F.ceil(F.col("mx_mean") / CHUNK)).cast("int"))
     sizes = sizes.withColumn("mx_part", F.col("mx_mean") / F.col("mx_parts"))
     start = F.struct(F.exp(-F.col("mx_part")).alias("term"), F.exp(-F.col("mx_part")).alias("sum"), F.array(F.exp(-F.col("mx_part"))).alias("all"))
@@ -53,23 +55,38 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, source: str, text:
         return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"), F.array_append(acc["all"], acc["sum"] + term).alias("all"))
 
     cdf = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), start, step)["all"]
-    return sizes.select("mx_source", "mx_parts", "mx_mean", cdf.alias("mx_cdf"))
+    return sizes.select("mx_source", "mx_rows", "mx_parts", "mx_mean", cdf.alias("mx_cdf"))
+
+
+def with_rates(docs: DataFrame, table: DataFrame, source: str, ident: str, few: int = FEW) -> DataFrame:
+    """docs beside their source's rate. The texts stay where they are while the rates are few enough to go to
+    them; else a source's rows are dealt over as many tasks as its share of all rows."""
+    matches = F.col(source).eqNullSafe(F.col("mx_source"))
+    if table.count() <= few:
+        return docs.join(F.broadcast(table), matches)
+    n = width(docs.sparkSession)
+    share = F.ceil(F.col("mx_rows") * n / F.sum("mx_rows").over(Window.partitionBy())).cast("int")
+    table = table.withColumn("mx_salts", F.greatest(F.lit(1), share))
+    # No more than n sources have a share of over one task.
+    hot = F.broadcast(table.filter("mx_salts > 1").select(F.col("mx_source").alias("mx_hot"), F.col("mx_salts").alias("mx_of")))
+    rows = docs.join(hot, F.col(source).eqNullSafe(F.col("mx_hot")) & F.lit(True), "left")
+    rows = rows.withColumn("mx_row_salt", F.pmod(F.xxhash64(F.col(ident)), F.coalesce("mx_of", F.lit(1))).cast("int"))
+    salted = table.withColumn("mx_salt", F.explode(F.sequence(F.lit(0), F.col("mx_salts") - 1)))
+    return rows.join(salted, matches & (F.col("mx_row_salt") == F.col("mx_salt")))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, ident: str = "doc_id", source: str = "source", text: str = "text", seed: str = "tidemark", temperature: float = 0.5, budget: float = 1.0) -> DataFrame:
     """docs with each row as often as its source's rate gives, in a globally random order.
 
     Adds copy (1, 2, ...) and mix_key, the hash that rows are dealt out and sorted by; columns of
-    those names in docs are replaced, all others stay. Rows with equal identifiers are replicated
+    those names in docs are replaced, names that begin with mx_ are used inside, all others stay. Rows with equal identifiers are replicated
     alike. A null identifier counts as the word null; null is a source of its own; null text has
     no bytes. An empty table gives an empty table.
     """
-    table = rates(docs, weights, source, text, temperature, budget)
-    table = table.withColumn("mx_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    table = Scratch(docs.sparkSession, "mixing").table("rates", rates(docs, weights, source, text, temperature, budget))
     docs = docs.drop("copy", "mix_key")
     columns = docs.columns
-    rows = docs.withColumn("mx_row_salt", F.pmod(F.xxhash64(F.col(ident)), F.lit(SALTS)).cast("int"))
-    rows = rows.join(table, F.col(source).eqNullSafe(F.col("mx_source")) & (F.col("mx_row_salt") == F.col("mx_salt")))
+    rows = with_rates(docs, table, source, ident)
     drawn = lambda i: F.size(F.filter("mx_cdf", lambda c: c <= _point(seed, F.col(ident), i)))
     count = F.aggregate(F.sequence(F.lit(1), F.col("mx_parts")), F.lit(0), lambda n, i: n + drawn(i))
     rows = rows.withColumn("mx_count", count).filter("mx_count > 0")
