@@ -5,7 +5,9 @@ end-of-document identifier. It is read in byte blocks that know nothing of docum
 searched for the identifier with one vectorised comparison and says how long its head (up to its
 first separator) and tail (after its last) are and how many tokens lie between separators. A prefix
 scan over the blocks of a file then gives each block the number of documents that ended before it and
-the tokens that earlier blocks left open, which go to the document its head ends.
+the tokens that earlier blocks left open, which go to the document its head ends. The scan sees two numbers
+a block and has two levels (within stretches of RUN blocks, then over stretches), so that one file of any
+size is many tasks' work.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, files
-from tidemark.llm.scratch import Scratch, width
+from tidemark.llm.scratch import Scratch, lean, width
 
-#: Bytes of one block of a scan, and of one file that the writer fills.
-BLOCK, FILE = 4 << 20, 64 << 20
+#: Bytes of one block of a scan, and of one file that the writer fills; blocks in a stretch.
+BLOCK, FILE, RUN = 4 << 20, 64 << 20, 1024
 
 
 def lengths(ids: np.ndarray, end: int) -> tuple[int, np.ndarray, int]:
@@ -36,7 +38,9 @@ def lengths(ids: np.ndarray, end: int) -> tuple[int, np.ndarray, int]:
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, pattern: str, end: int, *, ident: str = "doc_id", text: str = "text", kind: str = "<u2", most: int = FILE) -> DataFrame:
     """Flat files of docs' ids in folder; returns (path, bytes, ids): ids names a file's documents in order.
 
-    Must be materialized before it is used: each run writes files. Null text is an empty document.
+    Must be materialized before it is used: each run writes files. Null and empty texts are documents of no
+    tokens; texts are taken whole. Null and repeated identifiers, and repeated rows, each have their place in
+    ids. Other columns are not read; an empty table writes no files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,25 +64,46 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, pattern: st
             yield flush()
 
     schema = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("ids", pa.list_(pa.int64()))])
-    return docs.select(F.col(ident).cast("long"), F.col(text).cast("string")).mapInArrow(run, "path string, bytes long, ids array<long>")
-
-
-def count_tokens(paths: DataFrame, end: int, *, kind: str = "<u2", block: int = BLOCK) -> DataFrame:
+    return docs.select(F.col(ident).cast("long"), F.col(text).cast("string")).mapInArrow(lean(run), "path string, bytes long, ids array<long>")
+
+
+def scanned(blocks: DataFrame, run: int = RUN) -> DataFrame:
+    """(path, block, first, carry) for blocks (path, block, ends, open): documents that ended in earlier blocks
+    of the file, and tokens that they left open."""
+    slim = blocks.withColumn("stretch", F.floor(F.col("block") / run))
+    inside = Window.partitionBy("path", "stretch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("path").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    slim = slim.withColumns({"first": zero(F.sum("ends").over(inside)), "sum": zero(F.sum("open").over(inside))})
+    # Where a document last ended in the stretch, by tokens from the stretch's start; null where none did.
+    ended = F.when(F.col("ends") > 0, F.col("sum"))
+    slim = slim.withColumn("since", F.max(ended).over(inside))
+    whole = slim.groupBy("path", "stretch").agg(F.sum("ends").alias("ends"), F.sum("open").alias("open"), F.max(ended).alias("last"))
+    whole = whole.withColumns({"first0": zero(F.sum("ends").over(over)), "sum0": zero(F.sum("open").over(over))})
+    whole = whole.withColumn("since0", zero(F.max(F.col("sum0") + F.col("last")).over(over)))
+    out = slim.join(whole.select("path", "stretch", "first0", "sum0", "since0"), ["path", "stretch"])
+    since = F.coalesce(F.col("sum0") + F.col("since"), F.col("since0"))
+    return out.select("path", "block", (F.col("first0") + F.col("first")).alias("first"), (F.col("sum0") + F.col("sum") - since).alias("carry"))
+
+
+def count_tokens(paths: DataFrame, end: int, *, kind: str = "<u2", block: int = BLOCK, run: int = RUN) -> DataFrame:
     """(path, place, n_tokens, ended) of every document in the files that paths (path, bytes) names.
 
     place counts from 0 within the file; the separator is not a token of the document. Ids after a
-    file's last separator are a document with ended false; an empty file has no documents. Null paths
-    are skipped. A file whose bytes are no multiple of the width is an error.
+    file's last separator are a document with ended false; an empty file has no documents, an empty table no
+    rows. Null paths are skipped; a path counts once, however often it is named. A file whose bytes are no
+    multiple of the width is an error. Other columns are not read.
     """
     step = np.dtype(kind).itemsize
     block -= block % step
-    starts = paths.select("path", "bytes").filter("path IS NOT NULL AND bytes > 0")
+    scratch = Scratch(paths.sparkSession, "scan")
+    starts = paths.select("path", "bytes").filter("path IS NOT NULL AND bytes > 0").distinct()
     last = F.floor((F.col("bytes") - 1) / F.lit(block)).cast("long")
-    starts = starts.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    starts = starts.select("path", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, k, final in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "last"))):
                 read = files.Ranges(path)
                 if read.size % step:
                     raise ValueError(f"{path} is not a whole number of {step}-byte ids")
@@ -86,19 +111,13 @@ def count_tokens(paths: DataFrame, end: int, *, kind: str = "<u2", block: int =
                 read.close()
                 head, inner, tail = lengths(ids, end)
                 ends = int(np.count_nonzero(ids == end)) if len(inner) == 0 else len(inner) + 1
-                yield pa.RecordBatch.from_pydict({"path": [path], "block": [k], "ends": [ends], "head": [head], "inner": [inner], "tail": [tail]}, schema=schema)
-
-    schema = pa.schema([("path", pa.string()), ("block", pa.int64()), ("ends", pa.int64()), ("head", pa.int64()), ("inner", pa.list_(pa.int64())), ("tail", pa.int64())])
-    blocks = starts.repartition(width(paths.sparkSession), "path", "block").mapInArrow(run, "path string, block long, ends long, head long, inner array<long>, tail long")
-    # What a block leaves open: its tail, or all of it where no document ends in it.
-    blocks = blocks.withColumn("open", F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("head")))
-    whole = Window.partitionBy("path").orderBy("block")
-    before = whole.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("first", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-    blocks = blocks.withColumn("run", F.sum(F.col("open")).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = blocks.withColumn("since", F.when(F.col("ends") > 0, F.col("run") - F.col("open")))
-    blocks = blocks.withColumn("carry", F.coalesce(F.sum("open").over(before), F.lit(0)) - F.coalesce(F.max("since").over(before), F.lit(0)))
-    blocks = blocks.withColumn("last", F.lead("block").over(whole).isNull())
+                # What a block leaves open: its tail, or all of it where no document ends in it.
+                yield pa.RecordBatch.from_pydict({"path": [path], "block": [k], "last": [k == final], "ends": [ends], "head": [head], "inner": [inner], "tail": [tail], "open": [tail if ends else head]}, schema=schema)
+
+    schema = pa.schema([("path", pa.string()), ("block", pa.int64()), ("last", pa.bool_()), ("ends", pa.int64()), ("head", pa.int64()), ("inner", pa.list_(pa.int64())), ("tail", pa.int64()), ("open", pa.int64())])
+    blocks = starts.repartition(width(paths.sparkSession), "path", "block").mapInArrow(lean(look), "path string, block long, last boolean, ends long, head long, inner array<long>, tail long, open long")
+    blocks = scratch.table("blocks", blocks)
+    blocks = blocks.join(scanned(blocks.select("path", "block", "ends", "open"), run), ["path", "block"])
     ended = F.when(F.col("ends") > 0, F.concat(F.array(F.col("carry") + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<long>"))
     rest = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("head"))
     rows = F.concat(F.transform(ended, lambda n: F.struct(n.alias("n"), F.lit(True).alias("e"))), F.when(F.col("last") & (rest > 0), F.array(F.struct(rest.alias("n"), F.lit(False).alias("e")))).otherwise(F.array().cast("array<struct<n:bigint,e:boolean>>")))
