@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.scratch import Scratch, width
+from tidemark.llm.scratch import Scratch, lean, width
 
 #: Axes of the grid, vectors in a block, blocks in a group, and vectors that the axes are fitted on.
-AXES, BLOCK, GROUP, FIT = 4, 256, 16, 4096
+AXES, BLOCK, GROUP, FIT = 4, 512, 16, 4096
 #: Slack of box distances for rounding: far above it, and far below any distance that matters.
 SLACK = 1e-9
 
@@ -62,7 +62,7 @@ def _near(a: str, b: str, eps: float) -> Column:
     return sum((gap(k) * gap(k) for k in range(AXES)), F.lit(0.0)) <= F.lit(eps * eps + SLACK)
 
 
-def _blocks(eps: float):
+def _blocks(kind: str):
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("key", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("nodes", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +71,7 @@ def _blocks(eps: float):
 
         def flush() -> pa.RecordBatch:
             places = np.array([x[2] for x in rows])
-            return pa.RecordBatch.from_pydict({"part": [part], "block": [number], "key": [key], "lo": [places.min(0)], "hi": [places.max(0)], "nodes": [np.array([x[0] for x in rows], "<i8").tobytes()], "counts": [np.array([x[1] for x in rows], "<i8").tobytes()], "vectors": [np.array([x[3] for x in rows], "<f8").tobytes()]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"part": [part], "block": [number], "key": [key], "lo": [places.min(0)], "hi": [places.max(0)], "nodes": [np.array([x[0] for x in rows], "<i8").tobytes()], "counts": [np.array([x[1] for x in rows], "<i8").tobytes()], "vectors": [np.array([x[3] for x in rows], kind).tobytes()]}, schema=schema)
 
         for batch in batches:
             for x in zip(*(batch.column(c).to_pylist() for c in ("gj_node", "gj_n", "gj_place", "gj_vector", "gj_key"))):
@@ -86,7 +86,7 @@ def _blocks(eps: float):
     return run, "part long, block long, key long, lo array<double>, hi array<double>, nodes binary, counts binary, vectors binary"
 
 
-def _pairs(cosine: float):
+def _pairs(cosine: float, kind: str):
     schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def _pairs(cosine: float):
                 x = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
                 nodes = [np.frombuffer(x[f"{s}_nodes"], "<i8") for s in "ab"]
                 counts = [np.frombuffer(x[f"{s}_counts"], "<i8") for s in "ab"]
-                a, b = (np.frombuffer(x[f"{s}_vectors"], "<f8").reshape(len(n), -1) for s, n in zip("ab", nodes))
+                a, b = (np.frombuffer(x[f"{s}_vectors"], kind).astype(float).reshape(len(n), -1) for s, n in zip("ab", nodes))
                 near = a @ b.T / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))) >= cosine
                 if x["same"]:
                     np.fill_diagonal(near, False)
@@ -120,15 +120,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, *, ident: str = "v
     Only rows of equal, non-null label and equal length of vector are compared. A vector that is null,
     empty, zero, or holds null or non-finite components links with nothing. Rows with one identifier are
     vectors of their own; a component is named by its smallest identifier. A null identifier is never
-    the smallest; a component of none but null identifiers is named null and its rows are kept. Other
-    columns are not read.
+    the smallest; a component of none but null identifiers is named null and its rows are kept. Equal
+    vectors are one class under a 64-bit hash. Other columns are not read; an empty table gives an empty table.
     """
     spark = vectors.sparkSession
     scratch, n = Scratch(spark, "grid"), width(spark)
+    # What was given as floats is floats again in the blocks: half the bytes, and the same numbers.
+    stored = "<f4" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
     body = F.col(vector).cast("array<double>")
+    most = F.aggregate(body, F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
     finite = F.forall(body, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    norm = F.aggregate(body, F.lit(0.0), lambda a, v: a + v * v)
-    good = F.coalesce(F.col(label).isNotNull() & (F.size(body) > 0) & finite & (norm > 0) & (norm < float("inf")), F.lit(False))
+    good = F.coalesce(F.col(label).isNotNull() & (F.size(body) > 0) & finite & (most > 0), F.lit(False))
+    if stored == "<f8":
+        # Squares of doubles may leave the range; such a vector is taken at a length that keeps them.
+        body = F.when((most > 1e-140) & (most < 1e140), body).otherwise(F.transform(body, lambda v: v / most))
     rows = vectors.select(F.col(ident).cast("long").alias("vec_id"), F.when(good, F.xxhash64(F.col(label), F.size(body), body)).alias("gj_node"), F.when(good, F.xxhash64(F.col(label), F.size(body))).alias("gj_key"), F.when(good, body).alias("gj_vector"))
     classes = rows.filter("gj_node IS NOT NULL").groupBy("gj_key", "gj_node", "gj_vector").agg(F.min("vec_id").alias("gj_least"), F.count(F.lit(1)).alias("gj_n"))
     classes = scratch.table("classes", classes)
@@ -147,8 +152,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, *, ident: str = "v
     order = ["gj_key", *(f"gj_c{k}" for k in range(AXES)), "gj_p", "gj_node"]
     ordered = ordered.withColumns({f"gj_c{k}": F.floor(F.col("gj_place")[k] / eps) if eps else F.col("gj_place")[k] for k in range(AXES)} | {"gj_p": F.col("gj_place")[0]})
     ordered = ordered.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    run, kind = _blocks(eps)
-    blocks = scratch.table("blocks", ordered.select("gj_node", "gj_n", "gj_place", "gj_vector", "gj_key").mapInArrow(run, kind))
+    run, kind = _blocks(stored)
+    blocks = scratch.table("blocks", ordered.select("gj_node", "gj_n", "gj_place", "gj_vector", "gj_key").mapInArrow(lean(run), kind))
     boxes = blocks.select("key", "part", F.floor(F.col("block") / GROUP).alias("group"), "block", "lo", "hi")
     box = lambda by: boxes.groupBy(*by).agg(*(F.array(*(f(F.col(c)[k]) for k in range(AXES))).alias(c) for c, f in (("lo", F.min), ("hi", F.max))))
     levels = [["key", "part"], ["key", "part", "group"], ["key", "part", "group", "block"]]
@@ -168,8 +173,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, *, ident: str = "v
     for s in "ab":
         side = blocks.select(F.col("part").alias(f"{s}_part"), F.col("block").alias(f"{s}_block"), *(F.col(c).alias(f"{s}_{c}") for c in ("nodes", "counts", "vectors")))
         pairs = pairs.join(side, [f"{s}_part", f"{s}_block"])
-    run, kind = _pairs(cosine)
-    found = scratch.table("found", pairs.mapInArrow(run, kind))
+    run, kind = _pairs(cosine, stored)
+    found = scratch.table("found", pairs.mapInArrow(lean(run), kind))
     links = found.filter("other IS NULL").groupBy(F.col("node").alias("gj_node")).agg(F.sum("links").alias("gj_links"))
     joined = components(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
     known = classes.select("gj_node", "gj_least", "gj_n").join(links, "gj_node", "left").join(joined.select(F.col("node").alias("gj_node"), F.col("component")), "gj_node", "left")
