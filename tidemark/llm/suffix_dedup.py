@@ -18,7 +18,9 @@ Not every suffix needs to be sorted to its full depth. Three rounds do with few:
 3. The strings of blocks that are equal in the first but not in the second, one by one, beside those of
    one of each set of blocks that are equal in both where others are equal in the first only.
 
-Tokens after the leading bytes are 64-bit hashes of the bytes between, the last two of them independent.
+The tokens of a suffix are its first eight bytes, a 64-bit hash of the bytes that its round looks at first, and
+a keyed BLAKE2b of all bytes that it stands for. Nothing is removed unless all three are equal: what decides
+is a cryptographic digest of the very bytes, beside another hash and eight bytes as they are.
 """
 
 from __future__ import annotations
@@ -33,20 +35,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import Scratch, width
+from tidemark.llm.scratch import Scratch, lean, width
 from tidemark.llm.shingles import mix
 
 LENGTH, SEED, STRINGS = 200, 40, 16
 #: Bytes of text that are hashed together, but for a text that is longer alone; rows sorted at a time.
 CHUNK, RUN = 1 << 20, 1 << 20
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_VALUES = [np.random.default_rng(s).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (11, 12)]
+_BASE, _KEY = 0x9E3779B97F4A7C15, b"strings that repeat"
+_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASES[which], np.uint64), np.full(n, pow(_BASES[which], -1, 1 << 64), np.uint64)
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
@@ -54,15 +56,27 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
 class Hashes:
     """Hashes of any substrings of data, in constant time each."""
 
-    def __init__(self, data: np.ndarray, which: int = 0):
-        up, self.down = _powers(max(2 * CHUNK, 1 << int(len(data) + 1).bit_length()), which)
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(max(2 * CHUNK, 1 << int(len(data) + 1).bit_length()))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[which][data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(_VALUES[data] * up[: len(data)], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keyed BLAKE2b of substrings."""
+    view, base = memoryview(data), hashlib.blake2b(digest_size=8, key=_KEY)
+
+    def one(a: int, b: int) -> bytes:
+        h = base.copy()
+        h.update(view[a:b])
+        return h.digest()
+
+    return np.frombuffer(b"".join(map(one, starts.tolist(), ends.tolist())), "<u8")
+
+
 def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as numbers in the order of the bytes, signed for Spark."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -144,7 +158,7 @@ def _round_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, anchor, low, high = anchors(data, first, last, hashes)
         if len(text):
             dk = np.array([r["dk"] for r in rows])[text]
-            whole = Hashes(data, 1)(low, high + LENGTH)
+            whole = digests(data, low, high + LENGTH)
             yield _suffixes(leading(data, anchor), hashes(anchor, anchor + SEED), whole, dk, anchor - first[text], anchor - high, anchor - low)
 
 
@@ -158,7 +172,7 @@ def _round_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of strings of anchors that repeat: low is the least offset of the anchor in them, high the greatest."""
     for rows, texts in _chunks(batches):
         data, first, last = _joined(texts)
-        hashes, other = Hashes(data), Hashes(data, 1)
+        hashes = Hashes(data)
         found = [np.array([(x["at"], x["low"], x["high"]) for x in r["found"]], np.int64).reshape(-1, 3) for r in rows]
         text = np.repeat(np.arange(len(rows)), [len(x) for x in found])
         at, low, high = np.concatenate(found).T
@@ -171,21 +185,22 @@ def _round_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dk = np.array([r["dk"] for r in rows])[text]
         whole = (begin >= first[text]) & (end <= last[text])
         lone = mix(mix(dk.view(np.uint64) + anchor.astype(np.uint64)) + block.astype(np.uint64))
-        full = np.where(whole, other(np.maximum(begin, 0), np.minimum(end, len(data))), lone)
         # Anchors of a text that are equal modulo STRINGS may share a block, which is one place: one row stands for them.
         _, one, group = np.unique(core, return_index=True, return_inverse=True)
         least, most = np.full(len(one), STRINGS), np.zeros(len(one), np.int64)
         np.minimum.at(least, group, np.maximum(low[of] - STRINGS * block, 0))
         np.maximum.at(most, group, np.minimum(high[of] - STRINGS * block, STRINGS - 1))
         low, high = STRINGS * block[one] + least, STRINGS * block[one] + most
-        yield _suffixes(leading(data, core[one]), hashes(core[one], core_end[one]), full[one], dk[one], (anchor - first[text])[one], low, high)
+        full, sure = lone[one], whole[one]
+        full[sure] = digests(data, begin[one][sure], end[one][sure])
+        yield _suffixes(leading(data, core[one]), hashes(core[one], core_end[one]), full, dk[one], (anchor - first[text])[one], low, high)
 
 
 def _round_three(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Single strings: at is where the string starts."""
     for rows, texts in _chunks(batches):
         data, first, _ = _joined(texts)
-        hashes, other = Hashes(data), Hashes(data, 1)
+        hashes = Hashes(data)
         found = [np.array([(x["at"], x["low"], x["high"]) for x in r["found"]], np.int64).reshape(-1, 3) for r in rows]
         text = np.repeat(np.arange(len(rows)), [len(x) for x in found])
         at, low, high = np.concatenate(found).T
@@ -194,7 +209,7 @@ def _round_three(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, one = np.unique(at[of] - low[of] - k + first[text[of]], return_index=True)
         text = text[of][one]
         dk = np.array([r["dk"] for r in rows])[text]
-        yield _suffixes(leading(data, start), hashes(start, start + LENGTH), other(start, start + LENGTH), dk, start - first[text], np.zeros(len(start), np.int64), np.zeros(len(start), np.int64))
+        yield _suffixes(leading(data, start), hashes(start, start + LENGTH), digests(data, start, start + LENGTH), dk, start - first[text], np.zeros(len(start), np.int64), np.zeros(len(start), np.int64))
 
 
 def multikey_quicksort(tokens: list[np.ndarray]) -> np.ndarray:
@@ -283,7 +298,7 @@ def neighbours(suffixes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     # Written first, since taking the sample for the splitters would make them all a second time.
     made = scratch.table(f"{name}_suffixes", suffixes)
     dealt = made.repartitionByRange(width(suffixes.sparkSession), "t0", "t1", "t2", "dk", "at")
-    marked = scratch.table(name, dealt.mapInArrow(_neighbours, f"{_SUFFIX_SQL}, marks int, bucket long"))
+    marked = scratch.table(name, dealt.mapInArrow(lean(_neighbours), f"{_SUFFIX_SQL}, marks int, bucket long"))
     scratch.drop(f"{name}_suffixes")
     # Two rows a bucket.
     ends = marked.filter("at < 0").select("bucket", "at", "t0", "t1", "t2")
@@ -333,20 +348,21 @@ def remove_repeats(docs: DataFrame, *, ident: str = "doc_id", text: str = "text"
 
     Texts are taken as UTF-8; a null text is empty. All copies of a repeated string go, the first as
     well. Rows with equal identifiers are documents of their own, as are equal rows (which therefore lose
-    all that is long enough); null identifiers stay null. Texts shorter than LENGTH keep everything.
-    Other columns are not read.
+    all that is long enough); null identifiers stay null. Texts shorter than LENGTH keep everything; longer
+    ones are taken whole, a single one in arrays of some hundred bytes a byte. Other columns are not read; an
+    empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     d = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     d = d.withColumn("dk", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("doc_id").isNull()))
-    one = neighbours(d.select("dk", "text").mapInArrow(_round_one, _SUFFIX_SQL), scratch, "one")
-    two = neighbours(_with_texts(d, one.filter("shared = 2 OR leads")).mapInArrow(_round_two, _SUFFIX_SQL), scratch, "two")
-    three = neighbours(_with_texts(d, two.filter("shared = 2 OR leads")).mapInArrow(_round_three, _SUFFIX_SQL), scratch, "three")
+    one = neighbours(d.select("dk", "text").mapInArrow(lean(_round_one), _SUFFIX_SQL), scratch, "one")
+    two = neighbours(_with_texts(d, one.filter("shared = 2 OR leads")).mapInArrow(lean(_round_two), _SUFFIX_SQL), scratch, "two")
+    three = neighbours(_with_texts(d, two.filter("shared = 2 OR leads")).mapInArrow(lean(_round_three), _SUFFIX_SQL), scratch, "three")
     blocks = one.union(two).filter("shared = 3").select("dk", (F.col("at") - F.col("high")).alias("from"), (F.col("at") - F.col("low") + LENGTH).alias("to"))
     singles = three.filter("shared = 3").select("dk", F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to"))
     gone = blocks.union(singles).groupBy(F.col("dk").alias("of")).agg(F.collect_set(F.struct("from", "to")).alias("found"))
     gone = scratch.table("gone", gone)
-    return d.join(gone, F.col("dk") == F.col("of"), "left").select("doc_id", "text", "found").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return d.join(gone, F.col("dk") == F.col("of"), "left").select("doc_id", "text", "found").mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op1_suffix_array_dedup(spark, sf_dir):
