@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import Scratch, width
+from tidemark.llm.scratch import Scratch, lean, width
 
 #: Bytes of text in one block, but for a text that is longer alone.
 BLOCK = 16 << 20
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, ident: str = "doc_
     scratch, deals = Scratch(spark, "bpe"), 4 * width(spark)
     run, kind = _blocks(pattern, deals, block)
     # In buckets of their block: the positions, most of the bytes, stay where they are written.
-    blocks = scratch.bucketed("blocks", docs.select(F.col(ident).cast("long"), F.col(text).cast("string")).mapInArrow(run, kind), width(spark), "block")
+    blocks = scratch.bucketed("blocks", docs.select(F.col(ident).cast("long"), F.col(text).cast("string")).mapInArrow(lean(run), kind), width(spark), "block")
     words = blocks.filter("deal >= 0").select("block", "deal", "n", "data", "at")
     run, kind = _encode(vocabulary, pattern)
     ids = words.groupBy("deal").applyInArrow(run, kind)
@@ -215,7 +215,7 @@ def decode(tokens: DataFrame, vocabulary: str, *, ident: str = "ident", column:
             out = [None if x is None else b"".join([pieces[t] for t in np.frombuffer(x, "<u4").tolist()]) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())], schema=schema)
 
-    return tokens.select(F.col(ident).cast("long"), column).mapInArrow(run, "ident long, decoded binary")
+    return tokens.select(F.col(ident).cast("long"), column).mapInArrow(lean(run), "ident long, decoded binary")
 
 
 def op10_bpe(spark, sf_dir):

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.scratch import Scratch, width
+from tidemark.llm.scratch import Scratch, lean, width
 from tidemark.llm.shingles import mix, set_hash, shingle_sets
 
 #: Longs in a bitmap, and in one folded for the trees, sets in a leaf, and bits of a node's number that each
@@ -247,7 +247,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, tokens, percent: int, scratch: Sc
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"{side}_n"), F.substring("data", 1, 8 * LONGS).alias(f"{side}_bits")), side)
     run, kind = _likely(percent)
-    pairs = scratch.table(name, pairs.mapInArrow(run, kind))
+    pairs = scratch.table(name, pairs.mapInArrow(lean(run), kind))
     n = width(pairs.sparkSession)
     asked = pairs.select(F.col("a").alias("of")).unionAll(pairs.select("b")).groupBy("of").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("copies"))
     asked = scratch.table(f"{name}_asked", asked)
@@ -261,7 +261,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, tokens, percent: int, scratch: Sc
     for side in "ab":
         pairs = pairs.join(found.select(F.col("sid").alias(side), F.col("copy").alias(f"{side}_copy"), F.col("tokens").alias(f"{side}_tokens")), [side, f"{side}_copy"])
     run, kind = _compare(percent)
-    return pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, kind)
+    return pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(lean(run), kind)
 
 
 #: What a leaf holds of each set: its name, component, size and folded bitmap, in longs.
@@ -372,10 +372,10 @@ def _traverse(members: DataFrame, percent: int, scratch: Scratch, n: int) -> Dat
     """
     order = ["key", "component", "n", "sid"]
     run, kind = _leaves()
-    leaves = scratch.table("leaves", members.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, "fold").mapInArrow(run, kind))
+    leaves = scratch.table("leaves", members.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, "fold").mapInArrow(lean(run), kind))
     run, kind = _cross(percent)
     none = F.lit(None).cast("binary").alias("b_members")
-    within = leaves.filter("low <> high").select(F.col("members").alias("a_members"), none).mapInArrow(run, kind)
+    within = leaves.filter("low <> high").select(F.col("members").alias("a_members"), none).mapInArrow(lean(run), kind)
     # A tree of one leaf ends there.
     leaves = leaves.filter("NOT lone")
     levels, ups = [scratch.table("level0", leaves.select(*_NODE, *_HAS))], []
@@ -402,7 +402,7 @@ def _traverse(members: DataFrame, percent: int, scratch: Scratch, n: int) -> Dat
     pairs = pairs.filter("a_part <> b_part OR a_number <> b_number")
     for s in "ab":
         pairs = pairs.join(sides(leaves, s, [*_NODE, "members"]), [f"{s}_{c}" for c in _NODE])
-    across = pairs.select("a_members", "b_members").mapInArrow(run, kind)
+    across = pairs.select("a_members", "b_members").mapInArrow(lean(run), kind)
     return within.union(across).distinct()
 
 
@@ -429,7 +429,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "jaccard"), width(spark)
     d = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    read = scratch.table("read", d.mapInArrow(_read(words, percent, 4 * n), _ROWS_SQL))
+    read = scratch.table("read", d.mapInArrow(lean(_read(words, percent, 4 * n)), _ROWS_SQL))
     met = scratch.table("met", read.filter("kind = 2").select("deal", "n", "data").groupBy("deal").applyInArrow(_meet(), _ROWS_SQL))
     # Keys are most of what was written and have served; the rest is small.
     read = scratch.table("rest", read.filter("kind <> 2"))
@@ -445,7 +445,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
 
     def tokens(wanted: DataFrame) -> DataFrame:
         run, kind = _tokens(words)
-        return texts.join(stands.join(wanted, F.col("sid") == F.col("of")).select("stand", "sid"), "stand").select("sid", "text").mapInArrow(run, kind).dropDuplicates(["sid"])
+        return texts.join(stands.join(wanted, F.col("sid") == F.col("of")).select("stand", "sid"), "stand").select("sid", "text").mapInArrow(lean(run), kind).dropDuplicates(["sid"])
 
     sets = read.filter("kind = 4").select(F.col("a").alias("sid"), "n", "data").join(wanted, F.col("sid") == F.col("of"), "left_semi")
     sets = scratch.table("sets", sets.dropDuplicates(["sid"]))
@@ -457,7 +457,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = scratch.table("apart", apart.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select(F.col("a").alias("x"), F.col("b").alias("y")))
     run, kind = _unpack()
-    shared = scratch.table("shared", rows.filter("kind = 3").select("data").mapInArrow(run, kind))
+    shared = scratch.table("shared", rows.filter("kind = 3").select("data").mapInArrow(lean(run), kind))
     mixed = scratch.table("mixed", shared.join(apart, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select(F.col("key").alias("of_key")).distinct())
     shared = shared.join(mixed, F.col("key") == F.col("of_key"))
     members = scratch.table("listed", shared.select("key", F.col("a").alias("sid")).union(shared.select("key", "b")).distinct())
@@ -472,8 +472,8 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     known = scratch.table("hung", known.withColumn("component", F.coalesce("component", "sid")))
     more = scratch.table("more", _traverse(members.join(known, "sid"), percent, scratch, n).join(pairs, ["a", "b"], "left_anti"))
     scratch.drop("leaves", "members", "hung")
-    links = scratch.table("links", links.union(_verify(more, sets, tokens, percent, scratch, "likelier")))
-    scratch.drop("likelier_tokens")
+    # What the first links joined comes as stars.
+    links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verify(more, sets, tokens, percent, scratch, "likelier"))
     joined = components(links, scratch, "second")
     known = stands.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
     known = scratch.table("known", known)

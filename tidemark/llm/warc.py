@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import files
-from tidemark.llm.scratch import Scratch, width
+from tidemark.llm.scratch import Scratch, lean, width
 
 #: Compressed bytes of records in one archive, and of neighbouring records fetched by one read.
 ROLL, FETCH = 32 << 20, 4 << 20
@@ -198,7 +198,7 @@ def write_archives(pages: DataFrame, folder: str, *, ident: str = "page_id", url
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "path string, records long, bytes long")
+    return rows.mapInArrow(lean(run), "path string, records long, bytes long")
 
 
 def read_archives(archives: DataFrame, *, path: str = "path", fetch: int = FETCH) -> DataFrame:
@@ -256,8 +256,8 @@ def read_archives(archives: DataFrame, *, path: str = "path", fetch: int = FETCH
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([(x, pa.string()) for x in ("record_id", "record_type", "url", "payload_digest")] + [("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())])
-    parts = archives.select(path).mapInArrow(ranges, "path string, start long, length long").repartition(width(archives.sparkSession), "path", "start")
-    return parts.mapInArrow(fetched, "record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers_to string, payload binary")
+    parts = archives.select(path).mapInArrow(lean(ranges), "path string, start long, length long").repartition(width(archives.sparkSession), "path", "start")
+    return parts.mapInArrow(lean(fetched), "record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers_to string, payload binary")
 
 
 def op5_warc(spark, sf_dir):
