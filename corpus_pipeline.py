@@ -20,9 +20,9 @@ WORDS, PERCENT = 5, 80
 
 
 def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, taught by the labels, keeps."""
+    """Documents that the classifier, taught by the labels, holds to be good and not toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels).filter("kept").select(*COLUMNS)
+    return quality.classify(docs, labels, keep=COLUMNS).filter("kept").select(*COLUMNS)
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
