@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import period, period_end
@@ -66,6 +66,24 @@ def answers(events: dict[str, DataFrame], policy: Policy) -> dict[str, DataFrame
     return out
 
 
+def together(events: DataFrame, policy: Policy, names: list[str], newest: list[str] | None = None) -> DataFrame:
+    """(by, period, a column for each of names): answers of one group from one aggregate of the events.
+
+    newest adds <value>_newest for each value named: its last one over all periods of the key, merged from
+    the groups' own last ones.
+    """
+    asked = [policy.precompute(n) for n in names]
+    p = asked[0]
+    if any(group_of(x) != group_of(p) or x.func == "quantile" for x in asked):
+        raise ValueError(f"{', '.join(names)} are not answers of one group")
+    shared, by = state(events, policy, p), by_columns(p)
+    over = Window.partitionBy(*p.by)
+    for v in newest or []:
+        shared = shared.withColumn(f"{v}_newest", F.max_by(f"{v}_last", rollup.place("last_ts", "last_seq")).over(over))
+    value = lambda x: {"count": F.col("n"), "avg": F.col(f"{x.field}_sum") / F.col("n")}.get(x.func, F.col(f"{x.field}_{x.func}") if x.field else None)
+    return shared.filter("n > 0").select(*by, *(value(x).alias(x.name) for x in asked), *(f"{v}_newest" for v in newest or []))
+
+
 def quota(limits: DataFrame, used: DataFrame, policy: Policy, q: Quota) -> DataFrame:
     """(by, period, used, lim, remaining, reached) for keys that have a limit.
 

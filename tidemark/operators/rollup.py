@@ -1,7 +1,7 @@
 """Window summaries at several resolutions, and their merge.
 
-The finest rollup aggregates the events; each coarser one merges the coarsest finer one that divides it,
-so an event is aggregated once however many rollups there are. All buffers are numbers, so that Spark
+The finest rollup aggregates the events; the coarser ones that it divides merge its windows, so an event is
+read and aggregated once however many rollups there are. All buffers are numbers, so that Spark
 keeps to hash aggregation with a partial step before the shuffle: first and last order by (ts, seq)
 as one decimal. ``first_seq`` and ``last_seq`` are kept beside first_ts and last_ts so that ties still
 go by arrival after a merge.
@@ -51,15 +51,22 @@ def merge(df: DataFrame, by: list[str | Column], numbers: list[str]) -> DataFram
 
 
 def windows(events: DataFrame, s: Stream, an: Column | None = None) -> DataFrame:
-    """(res, w, keys, n, first_ts, last_ts, an, ...) for every rollup of the stream."""
-    made: dict[int, DataFrame] = {}
-    for r in s.rollups:
-        finer = max((f for f in made if r.res % f == 0), default=None)
-        if finer is None:
-            made[r.res] = summarize(events, [window_start(F.col("ts"), r.res).alias("w"), *s.key_names], s.numbers, an)
-        else:
-            made[r.res] = merge(made[finer].withColumn("__w", window_start(F.col("w"), r.res)).drop("w").withColumnRenamed("__w", "w"), ["w", *s.key_names], s.numbers)
-    return reduce(DataFrame.unionByName, (df.select(F.lit(res).cast("long").alias("res"), "*") for res, df in made.items()))
+    """(res, w, keys, n, first_ts, last_ts, an, ...) for every rollup of the stream.
+
+    Events are read once for each rollup that no finer one divides (mostly the finest alone); its windows are
+    then dealt to all lengths that it divides, and merged in one further step.
+    """
+    made, left = [], sorted({r.res for r in s.rollups})
+    while left:
+        own = [r for r in left if r % left[0] == 0]
+        fine = summarize(events, [window_start(F.col("ts"), own[0]).alias("w"), *s.key_names], s.numbers, an)
+        if len(own) > 1:
+            fine = fine.withColumn("res", F.explode(F.array(*(F.lit(r).cast("long") for r in own))))
+            fine = fine.withColumn("w", F.col("w") - F.pmod("w", "res"))
+            fine = merge(fine, ["res", "w", *s.key_names], s.numbers)
+        made.append(fine.select(F.lit(own[0]).cast("long").alias("res") if len(own) == 1 else "res", *(c for c in fine.columns if c != "res")))
+        left = [r for r in left if r not in own]
+    return reduce(DataFrame.unionByName, made)
 
 
 def coarser(df: DataFrame, every: int, by: list[str], numbers: list[str]) -> DataFrame:

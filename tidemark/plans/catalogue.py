@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.redact import redact
 from tidemark.functions.times import within_period
-from tidemark.operators import anomaly, answers, dejavu, events, exact, rollup, samples, sketch, traces
+from tidemark.operators import anomaly, answers, dejavu, events, exact, joins, rollup, samples, sketch, traces
 from tidemark.plans import scenarios as sc
 from tidemark.policy import parse
 from tidemark.sources import loglines, otlp
@@ -83,9 +83,9 @@ def deviation(spark, sf):
     return win.select("w", "endpoint", F.round(rollup.deviation("ms"), 6).alias("sd"))
 
 
-_TRADES_SQL = """WITH t AS (
-  SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS seq, floor(epoch(l_shipdate))::BIGINT AS ts, l_returnflag || l_linestatus AS symbol,
-    l_extendedprice / l_quantity AS price, l_quantity::BIGINT AS size, l_partkey, l_suppkey FROM lineitem) """
+_DEALS_SQL = """WITH t AS (
+  SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS seq, floor(epoch(l_shipdate))::BIGINT AS ts, l_returnflag || l_linestatus AS paper,
+    l_extendedprice / l_quantity AS rate, l_quantity::BIGINT AS lots, l_partkey, l_suppkey FROM lineitem) """
 
 
 def _cut(x):
@@ -93,19 +93,19 @@ def _cut(x):
     return F.floor(x * 1000000 + 0.37) / 1000000
 
 
-@query("candles", _TRADES_SQL + """SELECT ts // 604800 * 604800 AS w, symbol, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low,
-  arg_max(price, (ts, seq)) AS close, sum(size)::DOUBLE AS volume, floor(sum(price * size) / sum(size) * 1000000 + 0.37) / 1000000 AS vwap FROM t GROUP BY ALL""")
+@query("candles", _DEALS_SQL + """SELECT ts // 604800 * 604800 AS w, paper, arg_min(rate, (ts, seq)) AS open, max(rate) AS high, min(rate) AS low,
+  arg_max(rate, (ts, seq)) AS close, sum(lots)::DOUBLE AS volume, floor(sum(rate * lots) / sum(lots) * 1000000 + 0.37) / 1000000 AS mean FROM t GROUP BY ALL""")
 def candles(spark, sf):
-    s = sc.TRADES.streams[0]
-    win = rollup.windows(good(spark, sf, sc.TRADES, sc.trades), s).filter("res = 604800")
-    return win.select("w", "symbol", F.col("price_first").alias("open"), F.col("price_max").alias("high"), F.col("price_min").alias("low"), F.col("price_last").alias("close"), F.col("size_sum").alias("volume"), _cut(F.col("notional_sum") / F.col("size_sum")).alias("vwap"))
+    s = sc.DEALS.streams[0]
+    win = rollup.windows(good(spark, sf, sc.DEALS, sc.deals), s).filter("res = 604800")
+    return win.select("w", "paper", F.col("rate_first").alias("open"), F.col("rate_max").alias("high"), F.col("rate_min").alias("low"), F.col("rate_last").alias("close"), F.col("lots_sum").alias("volume"), _cut(F.col("worth_sum") / F.col("lots_sum")).alias("mean"))
 
 
-@query("derived", _TRADES_SQL + "SELECT symbol, round(sum(price * size), 2) AS notional, max(price * size) AS top FROM t GROUP BY ALL")
+@query("derived", _DEALS_SQL + "SELECT paper, round(sum(rate * lots), 2) AS worth, max(rate * lots) AS top FROM t GROUP BY ALL")
 def derived(spark, sf):
     """A derived value, summed: the projection is folded into the aggregate."""
-    df = good(spark, sf, sc.TRADES, sc.trades)
-    return df.groupBy("symbol").agg(F.round(F.sum("notional"), 2).alias("notional"), F.max("notional").alias("top"))
+    df = good(spark, sf, sc.DEALS, sc.deals)
+    return df.groupBy("paper").agg(F.round(F.sum("worth"), 2).alias("worth"), F.max("worth").alias("top"))
 
 
 # Answers.
@@ -138,8 +138,8 @@ _simple("requests_hour", "count(*)", "endpoint", "hour")
 _simple("sum_day", "sum(ms)", "endpoint", "day")
 _simple("max_month", "max(ms)", "", "month")
 _simple("requests_total", "count(*)")
-for _n, _v, _p in (("last_price", "arg_max(price, (ts, seq))", ""), ("day_open", "arg_min(price, (ts, seq))", "day"), ("day_high", "max(price)", "day"), ("day_low", "min(price)", "day"), ("day_volume", "sum(size)", "day"), ("day_turnover", "sum(price * size)", "day"), ("day_trades", "count(*)", "day")):
-    _simple(_n, _v, "symbol", _p, _TRADES_SQL, "t", sc.TRADES, sc.trades)
+for _n, _v, _p in (("newest_rate", "arg_max(rate, (ts, seq))", ""), ("opening", "arg_min(rate, (ts, seq))", "day"), ("highest", "max(rate)", "day"), ("lowest", "min(rate)", "day"), ("lots_day", "sum(lots)", "day"), ("worth_day", "sum(rate * lots)", "day"), ("deals_day", "count(*)", "day")):
+    _simple(_n, _v, "paper", _p, _DEALS_SQL, "t", sc.DEALS, sc.deals)
 
 _G, _LN = 1.01 / 0.99, 0.020000666706669435
 _BUCKET = f"CASE WHEN ms > 0 THEN ceil(ln(ms) / {_LN})::BIGINT ELSE -1000000 END"
@@ -248,103 +248,94 @@ def anomaly_counts(spark, sf):
 
 # Exact streams.
 
-_LABELS = f"""WITH RECURSIVE u AS ({sc.USAGE_SQL}),
+_LABELS = f"""WITH RECURSIVE u AS ({sc.METER_SQL}),
 r AS (SELECT *, row_number() OVER (ORDER BY seq) AS k, (ts // 86400 + 1) * 86400 + 21600 AS closes FROM u),
 f AS (
   SELECT 0::BIGINT AS k, NULL::BIGINT AS newest, NULL::VARCHAR AS label, NULL::VARCHAR AS id, ''::VARCHAR AS recent
   UNION ALL
-  SELECT r.k, CASE WHEN x.label IS NULL THEN greatest(coalesce(f.newest, r.ts), r.ts) ELSE f.newest END, x.label, r.request_id,
-    CASE WHEN x.label IS NULL THEN right(f.recent || ',' || r.request_id || ',', 2000) ELSE f.recent END
+  SELECT r.k, CASE WHEN x.label IS NULL THEN greatest(coalesce(f.newest, r.ts), r.ts) ELSE f.newest END, x.label, r.ticket,
+    CASE WHEN x.label IS NULL THEN f.recent || ',' || r.ticket || ',' ELSE f.recent END
   FROM f JOIN r ON r.k = f.k + 1, LATERAL (SELECT CASE WHEN r.ts > {sc.WALL} + 600 THEN 'ahead' WHEN r.ts < f.newest - 172800 THEN 'late'
-    WHEN f.newest >= r.closes THEN 'closed' WHEN contains(f.recent, ',' || r.request_id || ',') THEN 'repeat' END AS label) x) """
+    WHEN f.newest >= r.closes THEN 'closed' WHEN contains(f.recent, ',' || r.ticket || ',') THEN 'repeat' END AS label) x) """
 
 
 def labelled(spark, sf):
-    return exact.label(good(spark, sf, sc.USAGE, sc.usage), sc.USAGE.streams[0], wall=sc.WALL)
+    return exact.label(good(spark, sf, sc.METER, sc.meter), sc.METER.streams[0], wall=sc.WALL)
 
 
-@query("exact_refused", _LABELS + "SELECT f.label AS reason, customer, model, count(*) AS n FROM f JOIN r ON f.k = r.k WHERE f.label IS NOT NULL GROUP BY ALL")
+@query("exact_refused", _LABELS + "SELECT f.label AS reason, account, tariff, count(*) AS n FROM f JOIN r ON f.k = r.k WHERE f.label IS NOT NULL GROUP BY ALL")
 def exact_refused(spark, sf):
-    return exact.refused(labelled(spark, sf), sc.USAGE.streams[0])
+    return exact.refused(labelled(spark, sf), sc.METER.streams[0])
 
 
 _DAY = "strftime(make_timestamp(r.ts * 1000000), '%Y-%m-%d')"
 
 
-@query("exact_answers", _LABELS + f"SELECT customer, {_DAY} AS period, sum(input_tokens + output_tokens)::DOUBLE AS value FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL")
+@query("exact_answers", _LABELS + f"SELECT account, {_DAY} AS period, sum(units_in + units_out)::DOUBLE AS value FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL")
 def exact_answers(spark, sf):
-    return answers.answers({"usage": exact.accepted(labelled(spark, sf))}, sc.USAGE)["tokens_day"]
+    return answers.answers({"meter": exact.accepted(labelled(spark, sf))}, sc.METER)["units_day"]
 
 
-@query("quota", _LABELS + f""", q AS (SELECT customer, {_DAY} AS period, sum(input_tokens + output_tokens)::DOUBLE AS used FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL)
-SELECT customer, period, used, lim, lim - used AS remaining, (used >= lim)::INT AS reached FROM q
-JOIN (SELECT c_custkey AS customer, round(abs(c_acctbal))::DOUBLE AS lim FROM customer WHERE c_custkey < 10) USING (customer)""")
+@query("quota", _LABELS + f""", q AS (SELECT account, {_DAY} AS period, sum(units_in + units_out)::DOUBLE AS used FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL)
+SELECT account, period, used, lim, lim - used AS remaining, (used >= lim)::INT AS reached FROM q
+JOIN (SELECT c_custkey AS account, round(abs(c_acctbal))::DOUBLE AS lim FROM customer) USING (account)""")
 def quota(spark, sf):
     used = exact_answers(spark, sf)
-    limits = sc.table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), F.round(F.abs("c_acctbal")).alias("lim"))
-    return answers.quota(limits, used, sc.USAGE, sc.USAGE.quotas[0])
+    limits = sc.table(spark, sf, "customer").select(F.col("c_custkey").alias("account"), F.round(F.abs("c_acctbal")).alias("lim"))
+    return answers.quota(limits, used, sc.METER, sc.METER.quotas[0])
 
 
-@query("invoices", _LABELS + f""", d AS (SELECT customer, {_DAY} AS period, count(*) AS requests, sum(input_tokens)::BIGINT AS i, sum(output_tokens)::BIGINT AS o FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL),
-p AS (SELECT c_custkey AS customer, n_name AS plan, 400 + n_nationkey AS price, 5 * n_regionkey AS discount FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT customer, plan, period, requests, ((i * price + o * 1600) * (100 - discount) // 100 + 5000)::BIGINT // 10000 AS cents FROM d JOIN p USING (customer)""")
+@query("invoices", _LABELS + f""", d AS (SELECT account, {_DAY} AS period, count(*) AS tickets, sum(units_in)::BIGINT AS i, sum(units_out)::BIGINT AS o FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL),
+p AS (SELECT c_custkey AS account, n_name AS plan, 400 + n_nationkey AS price, 5 * n_regionkey AS discount FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT account, plan, period, tickets, ((i * price + o * 1600) * (100 - discount) // 100 + 5000)::BIGINT // 10000 AS cents FROM d JOIN p USING (account)""")
 def invoices(spark, sf):
     """Whole-number money: nano-dollars by line, a floored discount, one rounding to cents. Prices are
     a dimension that Spark broadcasts where it is small."""
-    got = answers.answers({"usage": exact.accepted(labelled(spark, sf))}, sc.USAGE)
-    lines = got["requests_day"].withColumnRenamed("value", "requests").join(got["input_day"].withColumnRenamed("value", "i"), ["customer", "model", "period"]).join(got["output_day"].withColumnRenamed("value", "o"), ["customer", "model", "period"])
-    daily = lines.groupBy("customer", "period").agg(F.sum("requests").cast("long").alias("requests"), F.sum(F.col("i").cast("long")).alias("i"), F.sum(F.col("o").cast("long")).alias("o"))
+    lines = answers.together(exact.accepted(labelled(spark, sf)), sc.METER, ["tickets_day", "in_day", "out_day"])
+    daily = lines.groupBy("account", "period").agg(F.sum("tickets_day").cast("long").alias("tickets"), F.sum(F.col("in_day").cast("long")).alias("i"), F.sum(F.col("out_day").cast("long")).alias("o"))
     plans = sc.table(spark, sf, "customer").join(sc.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    plans = plans.select(F.col("c_custkey").alias("customer"), F.col("n_name").alias("plan"), (400 + F.col("n_nationkey")).alias("price"), (5 * F.col("n_regionkey")).alias("discount"))
+    plans = plans.select(F.col("c_custkey").alias("account"), F.col("n_name").alias("plan"), (400 + F.col("n_nationkey")).alias("price"), (5 * F.col("n_regionkey")).alias("discount"))
     cents = F.expr("((i * price + o * 1600) * (100 - discount) div 100 + 5000) div 10000")
-    return daily.join(plans, "customer").select("customer", "plan", "period", "requests", cents.alias("cents"))
+    return daily.join(plans, "account").select("account", "plan", "period", "tickets", cents.alias("cents"))
 
 
-@query("reconcile", _LABELS + f"SELECT customer, {_DAY} AS period, sum(input_tokens)::BIGINT AS raw_input, 0::BIGINT AS difference FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL")
+@query("reconcile", _LABELS + f"SELECT account, {_DAY} AS period, sum(units_in)::BIGINT AS raw_input, 0::BIGINT AS difference FROM f JOIN r ON f.k = r.k WHERE f.label IS NULL GROUP BY ALL")
 def reconcile(spark, sf):
     """Raw events against the answers made of them."""
     rows = exact.accepted(labelled(spark, sf))
-    raw = rows.groupBy("customer", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd").alias("period")).agg(F.sum("input_tokens").alias("raw_input"))
-    kept = answers.answers({"usage": rows}, sc.USAGE)["input_day"].groupBy("customer", "period").agg(F.sum("value").cast("long").alias("kept"))
-    return raw.join(kept, ["customer", "period"]).select("customer", "period", "raw_input", (F.col("raw_input") - F.col("kept")).alias("difference"))
+    raw = rows.groupBy("account", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd").alias("period")).agg(F.sum("units_in").alias("raw_input"))
+    kept = answers.answers({"meter": rows}, sc.METER)["in_day"].groupBy("account", "period").agg(F.sum("value").cast("long").alias("kept"))
+    return raw.join(kept, ["account", "period"]).select("account", "period", "raw_input", (F.col("raw_input") - F.col("kept")).alias("difference"))
 
 
 # Joins, windows and sets that views and tools are made of.
 
-@query("quote_board", _TRADES_SQL + f"""SELECT symbol, {_PERIODS['day'].replace('ts', 't.ts')} AS period, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low,
-  floor(sum(price * size) / sum(size) * 1000000 + 0.37) / 1000000 AS vwap, any_value(l.last) AS last FROM t JOIN (SELECT symbol, arg_max(price, (ts, seq)) AS last FROM t GROUP BY symbol) l USING (symbol) GROUP BY ALL""")
+@query("quote_board", _DEALS_SQL + f"""SELECT paper, {_PERIODS['day'].replace('ts', 't.ts')} AS period, arg_min(rate, (ts, seq)) AS open, max(rate) AS high, min(rate) AS low,
+  floor(sum(rate * lots) / sum(lots) * 1000000 + 0.37) / 1000000 AS mean, any_value(l.last) AS last FROM t JOIN (SELECT paper, arg_max(rate, (ts, seq)) AS last FROM t GROUP BY paper) l USING (paper) GROUP BY ALL""")
 def quote_board(spark, sf):
-    got = answers.answers({"trades": good(spark, sf, sc.TRADES, sc.trades)}, sc.TRADES)
-    board = got["day_open"].withColumnRenamed("value", "open")
-    for name, column in (("day_high", "high"), ("day_low", "low"), ("day_volume", "volume"), ("day_turnover", "turnover")):
-        board = board.join(got[name].withColumnRenamed("value", column), ["symbol", "period"])
-    board = board.join(got["last_price"].withColumnRenamed("value", "last"), "symbol")
-    return board.select("symbol", "period", "open", "high", "low", _cut(F.col("turnover") / F.col("volume")).alias("vwap"), "last")
+    """All answers of the board from the one table of state by paper and day; the newest rate is merged from it."""
+    board = answers.together(good(spark, sf, sc.DEALS, sc.deals), sc.DEALS, ["opening", "highest", "lowest", "lots_day", "worth_day"], newest=["rate"])
+    return board.select("paper", "period", F.col("opening").alias("open"), F.col("highest").alias("high"), F.col("lowest").alias("low"), _cut(F.col("worth_day") / F.col("lots_day")).alias("mean"), F.col("rate_newest").alias("last"))
 
 
 @query("as_of", f"""{_E}, w AS (SELECT ts // 3600 * 3600 AS w, endpoint, arg_max(ms, (ts, seq)) AS last FROM e GROUP BY ALL)
 SELECT e.seq, e.endpoint, w.w, w.last FROM e ASOF JOIN w ON e.endpoint = w.endpoint AND e.ts // 3600 * 3600 > w.w WHERE e.ms > 300""")
 def as_of(spark, sf):
-    """For each large event the last hourly window that ended before it: one sort by (key, time) in place of a range join."""
+    """For each large event the last hourly window that ended before it."""
     df = good(spark, sf)
-    win = rollup.windows(df, sc.LATENCY.streams[0]).filter("res = 3600").select("endpoint", F.col("w").alias("t"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("seq"), "w", F.col("ms_last").alias("last"))
-    asked = df.filter("ms > 300").select("endpoint", (F.col("ts") - F.pmod("ts", F.lit(3600))).alias("t"), F.lit(-1).alias("side"), "seq", F.lit(None).cast("long").alias("w"), F.lit(None).cast("double").alias("last"))
-    over = Window.partitionBy("endpoint").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, -1)
-    both = win.unionByName(asked)
-    found = both.select("seq", "endpoint", F.last("w", ignorenulls=True).over(over).alias("w"), F.last("last", ignorenulls=True).over(over).alias("last"), "side")
-    return found.filter("side = -1 AND w IS NOT NULL").drop("side")
+    win = rollup.windows(df, sc.LATENCY.streams[0]).filter("res = 3600").select("endpoint", "w", F.col("ms_last").alias("last"))
+    asked = df.filter("ms > 300").select("endpoint", "seq", (F.col("ts") - F.pmod("ts", F.lit(3600))).alias("before"))
+    return joins.as_of(asked, win, ["endpoint"], "before", "w").select("seq", "endpoint", "w", "last").filter("w IS NOT NULL")
 
 
 @query("range_join", f"""{_E}, w AS (SELECT ts // 600 * 600 AS w, endpoint, count(*) AS n FROM e GROUP BY ALL), i AS (SELECT seq AS incident, ts AS since FROM e WHERE ms > 400)
 SELECT incident, endpoint, sum(n)::BIGINT AS n FROM i JOIN w ON w.w >= since - 3600 AND w.w < since GROUP BY ALL""")
 def range_join(spark, sf):
-    """Windows of the hour before each incident: an equi-join on ten-minute slots, exact since windows start on them."""
+    """Windows of the hour before each incident."""
     df = good(spark, sf)
     win = df.groupBy((F.col("ts") - F.pmod("ts", F.lit(600))).alias("w"), "endpoint").agg(F.count(F.lit(1)).alias("n"))
-    asked = df.filter("ms > 400").select(F.col("seq").alias("incident"), F.col("ts").alias("since"))
-    first = F.expr("(since - 3600 + 599) div 600 * 600")
-    asked = asked.withColumn("w", F.explode(F.sequence(first, F.col("since") - 1, F.lit(600))))
-    return asked.join(win, "w").groupBy("incident", "endpoint").agg(F.sum("n").alias("n"))
+    asked = df.filter("ms > 400").select(F.col("seq").alias("incident"), (F.col("ts") - 3600).alias("start"), F.col("ts").alias("end"))
+    return joins.in_range(asked, win, "start", "end", "w", 600).groupBy("incident", "endpoint").agg(F.sum("n").alias("n"))
 
 
 @query("completed_keys", f"""{_E}, k AS (SELECT DISTINCT endpoint FROM e UNION SELECT DISTINCT c_mktsegment FROM customer), n AS (SELECT endpoint, count(*) AS n FROM e WHERE ms > 200 GROUP BY 1)
@@ -356,12 +347,12 @@ def completed_keys(spark, sf):
     return keys.join(n, "endpoint", "left").select("endpoint", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("seen_ids", f"WITH u AS ({sc.USAGE_SQL}) SELECT seq, request_id FROM u WHERE seq >= 500 AND EXISTS (SELECT 1 FROM u o WHERE o.request_id = u.request_id AND o.seq < 500)")
+@query("seen_ids", f"WITH u AS ({sc.METER_SQL}) SELECT seq, ticket FROM u WHERE EXISTS (SELECT 1 FROM u o WHERE o.ticket = u.ticket AND o.seq < u.seq)")
 def seen_ids(spark, sf):
     """Arrivals whose identifier an earlier one had."""
-    u = sc.usage(spark, sf).select("seq", "request_id")
-    first = F.min("seq").over(Window.partitionBy("request_id"))
-    return u.withColumn("first", first).filter("seq > first").select("seq", "request_id")
+    u = sc.meter(spark, sf).select("seq", "ticket")
+    first = F.min("seq").over(Window.partitionBy("ticket"))
+    return u.withColumn("first", first).filter("seq > first").select("seq", "ticket")
 
 
 @query("trending", f"""SELECT event_type, count(DISTINCT user_id) AS people, count(*) AS n, sum(CASE WHEN value > 100 THEN 1 ELSE 0 END)::BIGINT AS large
@@ -378,13 +369,13 @@ def busiest(spark, sf):
     return sc.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(12)
 
 
-@query("crossing", """WITH r AS (SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)
-SELECT user_id, min(event_id) AS event_id FROM r WHERE spent >= 1000 GROUP BY user_id""")
+@query("crossing", """WITH r AS (SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent, ts FROM events)
+SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM r WHERE spent >= 1000 GROUP BY user_id""")
 def crossing(spark, sf):
     """The event with which each user's running sum first reached a limit."""
     over = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     r = sc.table(spark, sf, "events").withColumn("spent", F.sum("value").over(over))
-    return r.filter("spent >= 1000").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    return r.filter("spent >= 1000").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
 @query("median_minute", f"""{_E}, m AS (SELECT endpoint, ts // 43200 * 43200 AS h, (ts % 43200) // 720 AS minute, count(*) AS n FROM e GROUP BY ALL),
@@ -481,7 +472,7 @@ def minutes(spark, sf):
     return m.withColumn("n", F.col("n") * (1 + 40 * (F.expr("w div 3600 % 5 = 0").cast("long"))))
 
 
-_INC = "i AS (SELECT event_id AS id, floor(epoch(ts))::BIGINT AS started FROM events WHERE event_id % 50 = 3)"
+_INC = "i AS (SELECT event_id AS id, floor(epoch(ts))::BIGINT AS started FROM events)"
 
 
 def _prints_sql() -> str:
@@ -508,7 +499,7 @@ def incident_fingerprints(spark, sf):
     return prints(spark, sf).withColumn("score", F.round("score", 9))
 
 
-@query("deja_vu", _prints_sql() + """, n AS (SELECT service, level, template, avg(score) AS s FROM fp WHERE incident < 5000 GROUP BY ALL), nn AS (SELECT sqrt(sum(s * s)) AS norm FROM n),
+@query("deja_vu", _prints_sql() + """, n AS (SELECT service, level, template, avg(score) AS s FROM fp WHERE incident IN (SELECT id FROM i WHERE started > (SELECT max(started) FROM i) - 86400) GROUP BY ALL), nn AS (SELECT sqrt(sum(s * s)) AS norm FROM n),
 fn AS (SELECT incident, sqrt(sum(score * score)) AS own, count(*) AS keys FROM fp GROUP BY incident), d AS (SELECT incident, sum(s * score) AS dot, count(*) AS shared FROM n JOIN fp USING (service, level, template) GROUP BY incident)
 SELECT fn.incident, round(coalesce(dot, 0) / (norm * own), 9) AS similarity, coalesce(shared, 0) AS shared, keys FROM fn JOIN nn ON norm > 0 LEFT JOIN d ON fn.incident = d.incident""")
 def deja_vu(spark, sf):
