@@ -80,9 +80,13 @@ _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[c for c in range(128) if not chr(c).isalnum()]] = 32
 
 
+def hashes_of(text: str | None) -> np.ndarray:
+    """Hashes of the words of a whole text, without punctuation and case."""
+    return word_hashes(_BLANK[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)])[0]
+
+
 def word_set(text: str | None) -> np.ndarray:
-    """Sorted hashes of the distinct words of a whole text, without punctuation and case."""
-    return np.unique(word_hashes(_BLANK[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)])[0])
+    return np.unique(hashes_of(text))
 
 
 def telling(sets: list[np.ndarray], y: np.ndarray, most: int = WORDS) -> np.ndarray:
@@ -98,13 +102,22 @@ def telling(sets: list[np.ndarray], y: np.ndarray, most: int = WORDS) -> np.ndar
     return np.sort(words[order[chi[order] > 0]])
 
 
-def described(text: str | None, words: np.ndarray | None) -> np.ndarray:
-    """Layout, and which of words a text has; byte pairs where there are no words."""
-    if words is None:
-        return features(text)
-    own = word_set(text)
-    at = np.minimum(np.searchsorted(own, words), max(0, len(own) - 1))
-    return np.concatenate([features(text)[:LAYOUT], own[at] == words if len(own) else np.zeros(len(words))])
+def described(texts: list[str | None], models: list) -> list[np.ndarray]:
+    """For each model layout, and which of its words a text has; byte pairs where it has no words."""
+    out = [[] for _ in models]
+    for text in texts:
+        x, own = features(text), None
+        for rows, words in zip(out, models):
+            if words is None:
+                rows.append(x)
+                continue
+            if own is None:
+                own = hashes_of(text)
+            has = np.zeros(len(words))
+            at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+            has[at[words[at] == own]] = 1
+            rows.append(np.concatenate([x[:LAYOUT], has]))
+    return [np.stack(rows).astype("<f4").astype(float) for rows in out]
 
 
 def probability(x: np.ndarray, model) -> np.ndarray:
@@ -192,10 +205,9 @@ def _score(models: list, schema: list[str]):
         for batch in batches:
             texts, scores = batch.column("qc_text"), [np.full(batch.num_rows, 0.5) for _ in models]
             for at in range(0, batch.num_rows, 256):
-                some = [t.as_py() for t in texts[at : at + 256]]
-                for p, model in zip(scores, models):
-                    if model:
-                        p[at : at + 256] = probability(np.stack([described(t, model[0]) for t in some]).astype("<f4").astype(float), model[1])
+                good = [k for k, model in enumerate(models) if model]
+                for k, x in zip(good, described([t.as_py() for t in texts[at : at + 256]], [models[k][0] for k in good])):
+                    scores[k][at : at + 256] = probability(x, models[k][1])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema[: len(schema) - len(models)]), *map(pa.array, scores)], names=schema)
 
     return run
@@ -261,10 +273,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, ident: str = "doc_id", text:
         known[score] = scratch.table(f"{score}_labels", good.groupBy(F.col(ident).cast("long").alias("qc_id")).agg(F.min(F.col(name).cast("double")).alias("y")))
         models[score] = train(keyed, known[score], ident="qc_id", text="qc_text", label="y", host="qc_host", path="qc_path", rows=rows)
     names = [*columns, "qc_id", "qc_host", "qc_path"]
-    schema = keyed.select(*names).withColumns({c: F.lit(0.0) for c in asked}).schema
-    # Written once: sites are made of the scores, and rows get their sites' means after.
-    scored = scratch.table("scored", keyed.select(*names, "qc_text").mapInArrow(lean(_score(list(models.values()), schema.names)), schema))
-    out = scored
+    made = lambda names: keyed.select(*names, "qc_text").mapInArrow(lean(_score(list(models.values()), [*names, *asked])), keyed.select(*names).withColumns({c: F.lit(0.0) for c in asked}).schema)
+    # Sites are made of the scores, and rows get their sites' means after. Scores are written once; rows that go
+    # on with their texts are scored again, which costs less than to write all texts.
+    slim = names[len(columns) :]
+    scored = scratch.table("scored", made(slim if text in columns else names))
+    out = made(names) if text in columns else scored
     for score, (mean, result) in {"doc_score": ("host_mean", "quality"), "toxic_score": ("qc_mean", "toxic")}.items():
         if score not in asked:
             out = out.withColumns({"toxic_score": F.lit(0.0), "toxic": F.lit(0.0)})
