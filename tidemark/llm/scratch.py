@@ -85,12 +85,14 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.tables: dict[str, str] = {}
+        self.made: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """df, written and to be read again."""
+        self.made.add(name)
         with small_batches(self.spark):
             df.write.parquet(self.path(name))
         self.release()
@@ -102,17 +104,23 @@ class Scratch:
         with small_batches(self.spark):
             df.write.format("parquet").bucketBy(buckets, *keys).option("path", self.path(name)).saveAsTable(called)
         self.tables[name] = called
+        self.made.add(name)
         self.release()
         return self.spark.table(called)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
+            self.made.discard(name)
             if name in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*(self.made - {*names}))
+
     def release(self) -> None:
         """Shuffle files of ended jobs go when the driver forgets their plans; see to it now and then."""
         if time.monotonic() - _last[0] >= PAUSE:

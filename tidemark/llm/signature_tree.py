@@ -42,7 +42,7 @@ from tidemark.llm.shingles import mix, set_hash, shingle_sets
 #: level above it drops (so 2 ** FANOUT nodes have one parent).
 LONGS, FOLDED, LEAF, FANOUT = 64, 16, 128, 4
 #: Bytes of text whose keys a task holds at a time, rows that it turns into objects at a time, pairs of sets
-#: whose bitmaps it compares at a time, and pairs that one copy of a set's tokens serves.
+#: whose bitmaps it compares at a time, and pairs that one copy of a set's text serves.
 HELD, ROWS, PAIRS, SHARE = 8 << 20, 500, 1 << 16, 64
 
 
@@ -123,8 +123,8 @@ def _shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.Recor
 
 
 def _read(words: int, percent: int, deals: int):
-    """Documents to rows: kind 0 names a document's set, 1 and 3 as above, 2 holds keys of one deal, 4 a set's
-    bitmaps."""
+    """Documents (doc_id, text, th) to rows: kind 0 names a document's set (a) beside th (b), 1 and 3 as above, 2
+    holds keys of one deal, 4 a set's bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,7 +161,7 @@ def _read(words: int, percent: int, deals: int):
                     if size >= HELD:
                         yield from flush()
                         seen, keys, names, size = set(), [], [], 0
-            yield _rows(0, len(texts), doc_id=batch.column(0), n=counts, a=sets)
+            yield _rows(0, len(texts), doc_id=batch.column(0), n=counts, a=sets, b=batch.column(2))
             if new:
                 a, n, data = map(list, zip(*new))
                 yield _rows(4, len(new), a=a, n=n, data=data)
@@ -187,22 +187,6 @@ def _meet():
     return run
 
 
-def _tokens(words: int):
-    """(sid, tokens) of documents that stand for their set; others with that identifier are passed over."""
-    schema = pa.schema([("sid", pa.int64()), ("tokens", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            texts, wanted, out = batch.column("text").to_pylist(), batch.column("sid").to_pylist(), []
-            for sid, s in zip(wanted, shingle_sets(texts, words)):
-                if len(s) and set_hash(s) == sid:
-                    out.append((sid, s.astype("<u8").tobytes()))
-            if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out)))), schema=schema)
-
-    return run, "sid long, tokens binary"
-
-
 def _may_link(percent: int, overlap, a, b):
     """Can sets of at least a and b tokens be linked that share no more than overlap?"""
     return overlap * (100 + percent) >= percent * (a + b)
@@ -223,27 +207,33 @@ def _likely(percent: int):
     return run, "a long, b long"
 
 
-def _compare(percent: int):
-    """The linked ones of pairs, by all of their tokens."""
+def _compare(words: int, percent: int):
+    """The linked ones of pairs, by all of their shingles."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = [batch.column(s).to_pylist() for s in "ab"]
+            # A set that is in many pairs of a batch is made once.
+            first = {}
+            for side, of in zip("ab", names):
+                first |= {sid: (f"{side}_text", k) for k, sid in enumerate(of) if sid not in first}
+            sets = dict(zip(first, shingle_sets([batch.column(c)[k].as_py() for c, k in first.values()], words)))
             linked = []
-            for x, y in zip(batch.column("a_tokens"), batch.column("b_tokens")):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            for a, b in zip(*names):
+                x, y = sets[a], sets[b]
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked.append(_may_link(percent, same, len(x), len(y)))
+                linked.append(_may_link(percent, int(np.count_nonzero(both[1:] == both[:-1])), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(s).filter(pa.array(linked, pa.bool_())) for s in "ab"], schema=schema)
 
     return run, "a long, b long"
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, tokens, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The linked ones of pairs: first by sizes and bitmaps, which are small, then by all tokens of the rest.
-    A set in many pairs has its tokens in copies, SHARE pairs each, so that its pairs spread over tasks."""
+def _verify(pairs: DataFrame, sets: DataFrame, texts, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The linked ones of pairs: first by sizes and bitmaps, which are small, then by the texts of the rest, which
+    are smaller than their shingles' hashes. A set in many pairs has its text in copies, SHARE pairs each, so
+    that its pairs spread over tasks."""
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"{side}_n"), F.substring("data", 1, 8 * LONGS).alias(f"{side}_bits")), side)
     run, kind = _likely(percent)
@@ -251,17 +241,20 @@ def _verify(pairs: DataFrame, sets: DataFrame, tokens, percent: int, scratch: Sc
     n = width(pairs.sparkSession)
     asked = pairs.select(F.col("a").alias("of")).unionAll(pairs.select("b")).groupBy("of").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("copies"))
     asked = scratch.table(f"{name}_asked", asked)
-    found = tokens(asked.select("of")).join(asked, F.col("sid") == F.col("of")).select("sid", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "tokens")
-    # Bucketed by set and copy: pairs come to the tokens, which are not shuffled again.
-    found = scratch.bucketed(f"{name}_tokens", found.repartition(n, "sid", "copy"), n, "sid", "copy")
+    # Bucketed by set: pairs come to the texts, which are not shuffled again.
+    found = scratch.bucketed(f"{name}_texts", texts(asked.select("of")).repartition(n, "sid").dropDuplicates(["sid"]), n, "sid")
     many = asked.filter("copies > 1")
-    for side, other in ("ab", "ba"):
-        copies = many.select(F.col("of").alias(side), F.col("copies").alias(f"{side}_copies"))
-        pairs = pairs.join(copies, side, "left").withColumn(f"{side}_copy", F.coalesce(F.pmod(F.xxhash64(other), F.col(f"{side}_copies")), F.lit(0)).cast("int"))
+    copied = found.join(many, F.col("sid") == F.col("of")).select("sid", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "text")
     for side in "ab":
-        pairs = pairs.join(found.select(F.col("sid").alias(side), F.col("copy").alias(f"{side}_copy"), F.col("tokens").alias(f"{side}_tokens")), [side, f"{side}_copy"])
-    run, kind = _compare(percent)
-    return pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(lean(run), kind)
+        pairs = pairs.join(many.select(F.col("of").alias(side), F.col("copies").alias(f"{side}_copies")), side, "left")
+    for side, other in ("ab", "ba"):
+        own = [F.col("sid").alias(side), F.col("text").alias(f"{side}_text")]
+        few = pairs.filter(F.col(f"{side}_copies").isNull()).drop(f"{side}_copies").join(found.select(*own), side)
+        hot = pairs.filter(F.col(f"{side}_copies").isNotNull()).withColumn("copy", F.pmod(F.xxhash64(other), F.col(f"{side}_copies")).cast("int"))
+        hot = hot.drop(f"{side}_copies").join(copied.select(*own, "copy"), [side, "copy"]).drop("copy")
+        pairs = few.unionByName(hot)
+    run, kind = _compare(words, percent)
+    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(lean(run), kind)
 
 
 #: What a leaf holds of each set: its name, component, size and folded bitmap, in longs.
@@ -428,29 +421,29 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     """
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "jaccard"), width(spark)
-    d = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    d = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     read = scratch.table("read", d.mapInArrow(lean(_read(words, percent, 4 * n)), _ROWS_SQL))
     met = scratch.table("met", read.filter("kind = 2").select("deal", "n", "data").groupBy("deal").applyInArrow(_meet(), _ROWS_SQL))
     # Keys are most of what was written and have served; the rest is small.
-    read = scratch.table("rest", read.filter("kind <> 2"))
+    named = scratch.table("named", read.filter("kind = 0").select("doc_id", "n", F.col("a").alias("sid"), F.col("b").alias("th")))
+    read = scratch.table("rest", read.filter("kind NOT IN (0, 2)"))
     scratch.drop("read")
-    named = read.filter("kind = 0").select("doc_id", "n", F.col("a").alias("sid"))
     rows = read.filter("kind IN (1, 3)").select("kind", "a", "b", "data").union(met.select("kind", "a", "b", "data"))
     pairs = scratch.table("pairs", rows.filter("kind = 1").select("a", "b").distinct())
-    # One document stands for each set that has to be compared.
+    # One document stands for each set that has to be compared: rows equal in identifier and text are one.
     wanted = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
-    stands = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("stand"))
-    stands = scratch.table("stands", stands)
-    texts = d.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("stand"), "text")
+    none = F.lit(-(1 << 63))
+    stands = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", none).alias("d"), "th")).alias("stand"))
+    stands = scratch.table("stands", stands.select("sid", "least", F.col("stand.d").alias("stand"), F.col("stand.th").alias("th")))
+    own = d.select(F.coalesce("doc_id", none).alias("stand"), "th", "text")
 
-    def tokens(wanted: DataFrame) -> DataFrame:
-        run, kind = _tokens(words)
-        return texts.join(stands.join(wanted, F.col("sid") == F.col("of")).select("stand", "sid"), "stand").select("sid", "text").mapInArrow(lean(run), kind).dropDuplicates(["sid"])
+    def texts(wanted: DataFrame) -> DataFrame:
+        return own.join(stands.join(wanted, F.col("sid") == F.col("of")).select("stand", "th", "sid"), ["stand", "th"]).select("sid", "text")
 
     sets = read.filter("kind = 4").select(F.col("a").alias("sid"), "n", "data").join(wanted, F.col("sid") == F.col("of"), "left_semi")
     sets = scratch.table("sets", sets.dropDuplicates(["sid"]))
-    links = scratch.table("linked", _verify(pairs, sets, tokens, percent, scratch, "likely"))
-    scratch.drop("likely_tokens")
+    links = scratch.table("linked", _verify(pairs, sets, texts, words, percent, scratch, "likely"))
+    scratch.drop("likely_texts")
     joined = scratch.table("joined", components(links, scratch, "first"))
     of = lambda s: joined.select(F.col("node").alias(s), F.col("component").alias(f"{s}_in"))
     # A tree all of whose neighbours lie in one component has one at its root.
@@ -473,12 +466,13 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     more = scratch.table("more", _traverse(members.join(known, "sid"), percent, scratch, n).join(pairs, ["a", "b"], "left_anti"))
     scratch.drop("leaves", "members", "hung")
     # What the first links joined comes as stars.
-    links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verify(more, sets, tokens, percent, scratch, "likelier"))
+    links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verify(more, sets, texts, words, percent, scratch, "likelier"))
     joined = components(links, scratch, "second")
     known = stands.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
     known = scratch.table("known", known)
     least = scratch.table("least", known.groupBy("component").agg(F.min("least").alias("component_id")))
     final = scratch.table("final", known.join(least, "component").select(F.col("sid").alias("of"), "component_id"))
+    scratch.keep("named", "final")
     out = named.filter("sid IS NOT NULL").join(final, F.col("sid") == F.col("of")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(named.filter("sid IS NULL").select("doc_id", "n", "doc_id"))
 
