@@ -108,6 +108,34 @@ def test_otlp_records(spark):
     assert {r.reason: r.n for r in bad.collect()} == {"no time": 1, "not readable": 1}
     again = spark.createDataFrame([(1, "x", 0), (2, "x", 3000), (3, "y", 3000), (4, "x", 9000)], "seq long, body string, received long")
     assert sorted(r.seq for r in otlp.new_requests(again, "logs").collect()) == [1, 3, 4]
+    # A refused copy does not renew the memory.
+    third = spark.createDataFrame([(1, "x", 0), (2, "x", 3000), (3, "x", 6000), (4, "x", 9000)], "seq long, body string, received long")
+    assert sorted(r.seq for r in otlp.new_requests(third, "logs").collect()) == [1, 3]
+    known = otlp.new_requests(third, "logs").filter("seq = 3").select("digest", "received")
+    assert sorted(r.seq for r in otlp.new_requests(third.filter("seq = 4"), "logs", known).collect()) == []
+
+
+def test_times_of_lines(spark):
+    from tidemark.sources import loglines
+
+    given = ["2026-01-02T03:04:05,123Z", "2026-01-02T03:04:05.123Z", "2026-01-02 03:04:05,5", "2026-01-02T03:04:05+01:00", "1767323045", "nothing"]
+    got = [x.s for x in spark.createDataFrame(list(enumerate(given)), "k int, t string").orderBy("k").select(loglines.seconds(F.col("t")).alias("s")).collect()]
+    t = 1767323045
+    assert got == [t, t, t if got[2] is not None else None, t - 3600, t, None]
+
+
+def test_lines_are_numbered_over_blocks_of_files(spark, tmp_path):
+    from tidemark.sources import files
+
+    (tmp_path / "a.txt").write_text("".join(f"a{k}\n" for k in range(5000)))
+    (tmp_path / "b.txt").write_text("b0\n\nb2")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = sorted(map(tuple, files.numbered_lines(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate([*(f"a{k}" for k in range(5000)), "b0", "", "b2"]))
 
 
 def point(series, t, start, total):

@@ -79,6 +79,8 @@ def prepare(df: DataFrame, s: Stream) -> tuple[DataFrame, DataFrame]:
         refuse(c.isNull(), f"{name} is null")
         if kind == "long" and given[name] in ("double", "float"):
             refuse((c != F.floor(c)) | F.isnan(c) | (F.abs(c) > EXACT), f"{name} is not a whole number")
+        if kind == "long" and given[name].startswith("decimal"):
+            refuse(c != F.floor(c), f"{name} is not a whole number")
         out = out.withColumn(f"__{name}", c.try_cast(kind))
         refuse(F.col(f"__{name}").isNull(), f"{name} is not {kind}")
     for v in s.values:

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.numbering import numbered
+
 WILD = "<*>"
 CHILDREN = 100
 
@@ -85,12 +87,20 @@ class Miner:
         return t
 
 
-def mine(lines: DataFrame, similarity: float = 0.5, depth: int = 4) -> tuple[DataFrame, DataFrame]:
+def mine(lines: DataFrame, similarity: float = 0.5, depth: int = 4, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines with template, templates) of lines (seq, ts, service, level, masked, line).
 
-    templates has template, service, level, text, initial, n, first_ts, last_ts and example, the first line.
+    templates has template, service, level, text, initial, n, first_ts, last_ts and example, the first line. known
+    is what an earlier batch gave: its templates are restored, in the order they were made in, before the first
+    new line is looked at; their numbers stay and new ones go on from the largest.
     """
-    keyed = lines.withColumn("__key", F.to_json(F.struct("service", "level"))).repartition("__key").sortWithinPartitions("__key", "seq")
+    spark = lines.sparkSession
+    old = known if known is not None else spark.createDataFrame([], KNOWN)
+    key = F.to_json(F.struct("service", "level"))
+    rest = [c for c in lines.columns if c not in ("seq", "masked")]
+    new = lines.select(key.alias("__key"), F.lit(1).alias("__new"), "seq", "masked", F.lit(None).cast("string").alias("__had"), F.lit(0).cast("long").alias("__n"), F.struct(*rest).alias("__rest"))
+    kept = old.select(key, F.lit(0), F.col("template"), F.col("initial"), F.col("text"), F.col("n"), F.lit(None).cast(new.schema["__rest"].dataType))
+    keyed = new.union(kept).repartition("__key").sortWithinPartitions("__key", "__new", "seq")
     columns = keyed.columns
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in keyed.schema] + [T.StructField("__local", T.LongType()), T.StructField("__text", T.StringType())])
 
@@ -98,17 +108,32 @@ def mine(lines: DataFrame, similarity: float = 0.5, depth: int = 4) -> tuple[Dat
         key, miner = None, None
         for batch in batches:
             local, text = [], []
-            for k, masked in zip(batch.column("__key").to_pylist(), batch.column("masked").to_pylist()):
+            for k, fresh, masked, had, n in zip(*(batch.column(c).to_pylist() for c in ("__key", "__new", "masked", "__had", "__n"))):
                 if k != key:
                     key, miner = k, Miner(similarity, depth)
-                t = miner.add((masked or "").split())
+                tokens = (masked or "").split()
+                t = miner.add(tokens) if fresh else miner.restore(tokens, had.split(), n)
                 local.append(t.number)
                 text.append(" ".join(t.tokens))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(local, pa.int64()), pa.array(text, pa.string())], names=[*columns, "__local", "__text"])
 
     mined = keyed.mapInArrow(run, schema)
-    found = mined.groupBy("__key", "__local").agg(F.first("service").alias("service"), F.first("level").alias("level"), F.max_by("__text", "seq").alias("text"), F.min_by("masked", "seq").alias("initial"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by("line", "seq").alias("example"), F.min("seq").alias("__first"))
-    # One row a template: their numbers follow one global order.
-    found = found.withColumn("template", F.row_number().over(Window.orderBy("__first")).cast("long"))
-    numbers = found.select("__key", "__local", "template")
-    return mined.join(numbers, ["__key", "__local"]).drop("__key", "__local", "__text"), found.drop("__key", "__local", "__first")
+    rows = mined.filter("__new = 1").select("__key", "__local", "__text", "seq", "masked", "__rest.*")
+    found = rows.groupBy("__key", "__local").agg(F.first("service").alias("service"), F.first("level").alias("level"), F.max_by("__text", "seq").alias("text"), F.min_by("masked", "seq").alias("initial"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by("line", "seq").alias("example"), F.min("seq").alias("__first"))
+    had = mined.filter("__new = 0").select("__key", "__local", F.col("seq").alias("template"))
+    found = found.join(had, ["__key", "__local"], "left")
+    most = old.agg(F.max("template")).first()[0] or 0
+    # New templates are numbered over all miners by their first line.
+    fresh = numbered(found.filter("template IS NULL").drop("template"), "template", "__first", after=most)
+    again = found.filter("template IS NOT NULL").drop("__first")
+    old = old.select(*KEPT)
+    grown = again.select(*KEPT, F.lit(1).alias("__late")).union(old.withColumn("__late", F.lit(0))).groupBy("template").agg(
+        *(F.min_by(c, "__late").alias(c) for c in ("service", "level", "initial", "example")), F.max_by("text", "__late").alias("text"), F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    numbers = fresh.select("__key", "__local", "template").union(again.select("__key", "__local", "template"))
+    out = rows.join(numbers, ["__key", "__local"]).select(*lines.columns, "template")
+    return out, fresh.select(*KEPT).union(grown.select(*KEPT))
+
+
+#: What is kept of a template.
+KEPT = ["template", "service", "level", "text", "initial", "n", "first_ts", "last_ts", "example"]
+KNOWN = "template long, service string, level string, text string, initial string, n long, first_ts long, last_ts long, example string"

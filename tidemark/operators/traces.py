@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.redact import redact
+from tidemark.operators.numbering import numbered
 
 #: Seconds for which a call's input is served from the provider's cache to the next call.
 CACHED = 300
@@ -80,11 +81,22 @@ def pieces(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     uses = uses.union(runs.select("run", F.lit(-1).cast("long"), F.lit("tools"), "tools_tokens", tools, found)).withColumn("hash", F.sha2(F.col("body").cast("binary"), 256))
     order = F.struct("run", "k")
     kept = uses.groupBy("hash").agg(F.min(order).alias("first"), *(F.min_by(c, order).alias(c) for c in ("body", "source", "tokens", "secrets")), F.count(F.lit(1)).alias("uses"))
-    numbers = kept.select("hash", "first").withColumn("piece", F.row_number().over(Window.orderBy("first")).cast("long"))
+    numbers = numbered(kept.select("hash", "first"), "piece", "first")
     kept = kept.join(numbers.select("hash", "piece"), "hash").select("piece", "hash", "source", "tokens", "secrets", "body", "uses")
     return kept, uses.join(numbers.select("hash", "piece"), "hash").select("run", "k", "piece")
 
 
+def weighed(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """rows of call_rows with bytes and sha256 of the request, as it is rebuilt."""
+    request = rebuild(rows, kept).select("call_id", F.octet_length("request").cast("long").alias("bytes"), F.sha2(F.col("request").cast("binary"), 256).alias("sha256"))
+    return rows.join(request, "call_id")
+
+
+def day_order(runs: DataFrame) -> DataFrame:
+    """Calls of all runs as they come in on a day: by time, and by run and number where times are equal; from 1."""
+    return numbered(calls(runs), "seq", "ts", "run", "call")
+
+
 def call_rows(runs: DataFrame) -> DataFrame:
     """(call_id, run, model, call, messages, tools, reply): a call as the pieces of its request and its reply."""
     _, uses = pieces(runs)

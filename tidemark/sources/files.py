@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.events import TYPES, fields
+from tidemark.operators.numbering import numbered
 from tidemark.policy import Stream
 
 
@@ -29,7 +30,8 @@ def csv(lines: DataFrame, s: Stream, numbered: bool = False) -> tuple[DataFrame,
 def json_lines(lines: DataFrame, s: Stream, default: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, refused) of lines (seq, value): an object a line by field name, of which those for the
     stream are taken: its name in stream, or none where the stream is the default. sent is their seq."""
-    kinds = {"string": T.StringType(), "long": T.DoubleType(), "double": T.DoubleType()}
+    # Whole numbers come as decimals: as reals those beyond 2**53 would not be told apart.
+    kinds = {"string": T.StringType(), "long": T.DecimalType(38, 16), "double": T.DoubleType()}
     schema = T.StructType([T.StructField("stream", T.StringType()), T.StructField("seq", T.LongType()), *(T.StructField(n, kinds[k]) for n, k in fields(s)), T.StructField("_bad", T.StringType())])
     read = lines.filter("trim(value) <> '' AND NOT startswith(trim(value), '#')").withColumn("j", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("j").isNull() | F.col("j._bad").isNotNull()
@@ -38,20 +40,25 @@ def json_lines(lines: DataFrame, s: Stream, default: bool = True) -> tuple[DataF
     return rows, read.filter(bad).select("seq", F.lit("not a JSON object").alias("reason"))
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Lines with the file and block they come from, and an order within the block. A large file is many blocks."""
+    at = F.col("_metadata")
+    return df.select("value", at["file_path"].alias("__file"), at["file_block_start"].alias("__block"), F.monotonically_increasing_id().alias("__row"))
+
+
+def in_order(placed: DataFrame, after: int = -1) -> DataFrame:
+    """(seq, value) of lines as _placed gives them: by file name, then by line, from after + 1 on."""
+    return numbered(placed, "seq", "__file", "__block", "__row", after=after).select("seq", "value")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, value) of text files: by file name, then by line. Offsets of lines within a file are not kept
-    by the text reader, so each file is one task; many files are many tasks."""
-    files = spark.read.text(path, wholetext=True).withColumn("__f", F.input_file_name())
-    lines = files.select("__f", F.posexplode(F.split("value", "\n")).alias("k", "value"))
-    order = files.select("__f").distinct().orderBy("__f")
-    names = [r[0] for r in order.collect()]  # one row a file
-    place = F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k)))) if names else F.create_map()
-    return lines.select((F.element_at(place, F.col("__f")).cast("long") * F.lit(2**32) + F.col("k")).alias("seq"), "value")
+    """(seq, value) of text files, from 0: by file name, then by line. Files are read in blocks by many tasks."""
+    return in_order(_placed(spark.read.text(path)))
 
 
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of text files; seq counts within a micro-batch by file time and position."""
-    return spark.readStream.text(path)
+    """A stream of text files for ingest.stream_into, which numbers its lines by in_order, batch after batch."""
+    return _placed(spark.readStream.text(path))
 
 
 def typed(df: DataFrame, s: Stream) -> DataFrame:
@@ -60,4 +67,4 @@ def typed(df: DataFrame, s: Stream) -> DataFrame:
     return df.select("seq", *cast, *(["line"] if "line" in df.columns else []))
 
 
-__all__ = ["TYPES", "csv", "json_lines", "numbered_lines", "stream_lines", "typed"]
+__all__ = ["TYPES", "csv", "in_order", "json_lines", "numbered_lines", "stream_lines", "typed"]

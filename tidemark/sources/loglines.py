@@ -11,13 +11,13 @@ from tidemark.policy import Logs, Stream, log_pattern
 
 # Fixed value: what a key=value pair is; a value in double quotes may hold spaces.
 PAIR = r'(^|\s)([A-Za-z_][A-Za-z0-9_.]*)=("[^"]*"|\S*)'
-#: Times of lines, tried in turn; a zone is UTC where none is given.
-TIMES = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][XXX]", "yyyy-MM-dd'T'HH:mm:ss[,SSSSSS][,SSS]", "yyyy-MM-dd HH:mm:ss[,SSSSSS][,SSS]"]
+#: Times of lines, tried in turn; a zone is UTC where none is given. A comma before the fraction is a point.
+TIMES = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][XXX]"]
 
 
 def seconds(stamp: Column) -> Column:
     """Whole seconds of a line's time, or null: a number of seconds, or a date and time."""
-    stamp = F.trim(stamp)
+    stamp = F.regexp_replace(F.trim(stamp), r"(:[0-9]{2}),([0-9])", "$1.$2")
     number = F.when(stamp.rlike(r"^[0-9][0-9.eE]*$"), stamp.try_cast("double").cast("long"))
     return F.coalesce(number, *(F.unix_timestamp(F.try_to_timestamp(stamp, F.lit(f))) for f in TIMES))
 
@@ -49,12 +49,12 @@ def parse(lines: DataFrame, logs: Logs) -> tuple[DataFrame, DataFrame]:
     return good.filter("ts IS NOT NULL"), unread
 
 
-def learn(parsed: DataFrame, logs: Logs) -> tuple[DataFrame, DataFrame]:
-    """(parsed with template, templates)."""
+def learn(parsed: DataFrame, logs: Logs, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parsed with template, templates), going on from the templates known."""
     for name in ("service", "level"):
         if name not in parsed.columns:
             parsed = parsed.withColumn(name, F.lit(""))
-    return templates.mine(parsed, logs.similarity, logs.depth)
+    return templates.mine(parsed, logs.similarity, logs.depth, known)
 
 
 def route(parsed: DataFrame, s: Stream) -> DataFrame:
@@ -65,7 +65,9 @@ def route(parsed: DataFrame, s: Stream) -> DataFrame:
     """
     df = parsed
     for name in {*(n for n, _ in s.where), *s.key_names, *(v.name for v in s.values)} - set(parsed.columns):
-        df = df.withColumn(name, pair(F.col("message"), name))
+        # Records of OpenTelemetry bring attributes beside the message's pairs, and these come first.
+        own = pair(F.col("message"), name)
+        df = df.withColumn(name, F.coalesce(F.col("fields")[name], own) if "fields" in parsed.columns else own)
     df = where(df, s)
     for f in [*s.keys, *s.values]:
         df = df.withColumn(f.name, F.col(f.name).try_cast(TYPES[f.type])).filter(F.col(f.name).isNotNull())

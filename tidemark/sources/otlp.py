@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.events import TYPES
 from tidemark.policy import Stream
+from tidemark.sources import loglines
 
 _VALUE = "struct<stringValue:string,boolValue:string,intValue:string,doubleValue:double,arrayValue:string,kvlistValue:string>"
 _ATTR = f"array<struct<key:string,value:{_VALUE}>>"
@@ -15,6 +19,8 @@ _HISTOGRAM = f"array<struct<timeUnixNano:string,startTimeUnixNano:string,count:s
 _METRIC = f"struct<name:string,gauge:struct<dataPoints:{_NUMBER}>,sum:struct<aggregationTemporality:int,isMonotonic:boolean,dataPoints:{_NUMBER}>,histogram:struct<aggregationTemporality:int,dataPoints:{_HISTOGRAM}>,summary:struct<dataPoints:array<string>>,exponentialHistogram:struct<dataPoints:array<string>>>"
 LOGS = f"struct<resourceLogs:array<struct<resource:struct<attributes:{_ATTR}>,scopeLogs:array<struct<scope:struct<name:string,attributes:{_ATTR}>,logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{_VALUE},attributes:{_ATTR}>>>>>>>"
 METRICS = f"struct<resourceMetrics:array<struct<resource:struct<attributes:{_ATTR}>,scopeMetrics:array<struct<scope:struct<name:string,attributes:{_ATTR}>,metrics:array<{_METRIC}>>>>>>"
+#: Places that a request's records or points have in the order of arrival.
+PLACES = 2**32
 #: A series without a point for so long is forgotten.
 FORGET = 7 * 86400
 
@@ -63,13 +69,37 @@ def _seconds(nanos: Column) -> Column:
     return F.floor(nanos.cast("decimal(20,0)") / 1_000_000_000).cast("long")
 
 
+#: Seconds for which a request is remembered, from the copy that was taken.
+REMEMBER = 3600
+
+
 def new_requests(requests: DataFrame, signal: str, known: DataFrame | None = None) -> DataFrame:
-    """requests (seq, body, received) without those whose body came within the last hour; adds digest."""
+    """requests (seq, body, received) whose body was not taken within the last hour; adds digest.
+
+    A copy that is refused does not renew the memory, so each digest's times are folded in order; only they
+    pass through the fold, one digest at a time and without holding more than the last one taken. known is
+    (digest, received) of what earlier batches took.
+    """
     df = requests.withColumn("digest", F.sha2(F.concat(F.lit(signal).cast("binary"), F.lit(b"\x00"), F.col("body").cast("binary")), 256))
+    times = df.select("digest", "received", "seq")
     if known is not None:
-        df = df.unionByName(known.select("digest", "received", F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("body")))
-    before = F.lag("received").over(Window.partitionBy("digest").orderBy("received", "seq"))
-    return df.withColumn("__before", before).filter("seq >= 0 AND (__before IS NULL OR received - __before > 3600)").drop("__before")
+        times = times.unionByName(known.select("digest", "received", F.lit(-1).cast("long").alias("seq")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, last = None, None
+        for batch in batches:
+            taken = []
+            for d, t, seq in zip(*(c.to_pylist() for c in batch.columns)):
+                if d != digest:
+                    digest, last = d, None
+                if last is None or t - last > REMEMBER:
+                    last = t
+                    if seq >= 0:
+                        taken.append(seq)
+            yield pa.RecordBatch.from_pydict({"seq": taken}, schema=pa.schema([("seq", pa.int64())]))
+
+    taken = times.repartition("digest").sortWithinPartitions("digest", "received", "seq").mapInArrow(run, "seq long")
+    return df.join(taken, "seq")
 
 
 def log_records(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +111,7 @@ def log_records(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     r = r.select("seq", "a", "b", "c", _seconds(time).alias("ts"), attributes(F.col("resource.attributes"), F.col("scope.attributes"), F.col("x.attributes")).alias("fields"), F.coalesce(F.nullif("x.severityText", F.lit("")), severity(F.col("x.severityNumber"))).alias("level"), text_of(F.col("x.body")).alias("message"))
     r = r.withColumn("service", F.col("fields")["service_name"])
     bad = bad.union(r.filter("ts IS NULL").select(F.lit("no time")))
-    good = r.filter("ts IS NOT NULL").withColumn("seq", F.row_number().over(Window.partitionBy("seq").orderBy("a", "b", "c")) + F.col("seq") * F.lit(2**20))
+    good = r.filter("ts IS NOT NULL").withColumn("seq", F.row_number().over(Window.partitionBy("seq").orderBy("a", "b", "c")) + F.col("seq") * F.lit(PLACES))
     return good.select("seq", "ts", "service", "level", "message", "fields"), bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -98,34 +128,74 @@ def points(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts.append(p.select("seq", "a", "b", "c", "d", "metric", F.lit(kind).alias("kind"), "cumulative", "monotonic", _seconds(F.col("p.timeUnixNano")).alias("ts"), F.col("p.timeUnixNano").cast("decimal(20,0)").alias("time"), F.col("p.startTimeUnixNano").cast("decimal(20,0)").alias("start"), attributes(F.col("resource.attributes"), F.col("scope.attributes"), F.col("p.attributes")).alias("fields"), (null("double") if kind == "histogram" else number).alias("value"), *(c.alias(n) for c, n in zip(own, ("count", "sum", "min", "max")))))
     all_ = parts[0].union(parts[1]).union(parts[2])
     order = Window.partitionBy("seq").orderBy("a", "b", "c", "kind", "d")
-    all_ = all_.withColumn("seq", F.row_number().over(order) + F.col("seq") * F.lit(2**20)).drop("a", "b", "c", "d")
+    all_ = all_.withColumn("seq", F.row_number().over(order) + F.col("seq") * F.lit(PLACES)).drop("a", "b", "c", "d")
     bad = j.filter("j.resourceMetrics IS NULL").select(F.lit("not readable").alias("reason"))
     for kind in ("summary", "exponentialHistogram"):
         bad = bad.union(m.select(F.explode(f"m.{kind}.dataPoints")).select(F.lit(f"{kind} is not taken")))
     return all_, bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def deltas(rows: DataFrame, began: int) -> DataFrame:
+#: What is kept of a cumulative series: its newest point.
+LAST = "series string, time decimal(20,0), ts long, start decimal(20,0), total double, sum double"
+
+
+def series_of() -> Column:
+    return F.sha2(F.concat_ws("\x00", "metric", F.to_json(F.map_entries("fields"))), 256)
+
+
+def _newer(rows: DataFrame) -> DataFrame:
+    """Points with series, without cumulative ones that are not newer than the newest before them."""
+    before = Window.partitionBy("series").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("__high", F.max("time").over(before)).filter("NOT cumulative OR __high IS NULL OR time > __high").drop("__high")
+
+
+def _with_last(rows: DataFrame, last: DataFrame | None) -> DataFrame:
+    """rows with series, and the kept points of their series as rows of their own, before all others."""
+    df = rows.withColumn("series", series_of()).withColumn("__kept", F.lit(False))
+    if last is None:
+        return df
+    mine = last.join(df.select("series").distinct(), "series", "left_semi")
+    mine = mine.select("series", "time", "ts", "start", F.col("total").alias("value"), F.col("sum"), F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("cumulative"), F.lit(True).alias("__kept"))
+    return df.unionByName(mine, allowMissingColumns=True)
+
+
+def last_points(rows: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """What deltas of the next batch go on from: the newest point of each cumulative series, of rows and of last.
+
+    Series without a point for FORGET seconds before the newest of all are dropped.
+    """
+    df = rows.filter("cumulative").select(series_of().alias("series"), "time", "ts", "start", F.coalesce("value", "count").alias("total"), "sum")
+    if last is not None:
+        df = df.unionByName(last)
+    df = df.groupBy("series").agg(F.max_by(F.struct("time", "ts", "start", "total", "sum"), "time").alias("p")).select("series", "p.*")
+    newest = df.agg(F.max("ts").alias("__newest"))  # one row
+    return df.crossJoin(F.broadcast(newest)).filter(F.col("__newest") - F.col("ts") <= FORGET).drop("__newest")
+
+
+def deltas(rows: DataFrame, began: int, last: DataFrame | None = None) -> DataFrame:
     """Points with cumulative values as what happened since the series' last point.
 
-    began is when the stream began to take the metric (seconds). A point not newer than the newest before it
-    is ignored. A first point, or one after FORGET seconds, counts in full if its series started after began
-    and else sets where counting starts; so does one after a restart (a later start, or a monotonic total
-    that fell), which counts in full.
+    began is when the stream began to take the metric (seconds), last what last_points gave after the batch
+    before. A point not newer than the newest before it is ignored. A first point, or one after FORGET seconds,
+    counts in full if its series started after began and else sets where counting starts; so does one after a
+    restart (a later start, or a monotonic total that fell), which counts in full.
     """
-    series = F.sha2(F.concat_ws("\x00", "metric", F.to_json(F.map_entries("fields"))), 256)
-    df = rows.withColumn("series", series)
-    before = Window.partitionBy("series").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__high", F.max("time").over(before)).filter("NOT cumulative OR __high IS NULL OR time > __high")
+    df = _newer(_with_last(rows, last))
     line = Window.partitionBy("series").orderBy("seq")
     a = F.coalesce("value", "count")
     df = df.withColumns({"__a": a, "__pa": F.lag(a).over(line), "__ps": F.lag("sum").over(line), "__pt": F.lag("ts").over(line), "__pstart": F.lag("start").over(line)})
     fresh = F.col("__pt").isNull() | (F.col("ts") - F.col("__pt") > FORGET)
     restart = (F.col("start") > F.col("__pstart")) | (F.col("monotonic") & (F.col("__a") < F.col("__pa")))
     whole = F.when(fresh, F.col("start") >= F.lit(began).cast("decimal(20,0)") * 1_000_000_000).otherwise(F.coalesce(restart, F.lit(False)))
-    df = df.filter(~F.col("cumulative") | whole | ~fresh)
+    df = df.filter(~F.col("__kept") & (~F.col("cumulative") | whole | ~fresh))
     less = lambda c, p: F.when(~F.col("cumulative") | whole, F.col(c)).otherwise(F.col(c) - F.col(p))
-    return df.withColumns({"value": less("value", "__pa"), "count": less("count", "__pa"), "sum": less("sum", "__ps"), "min": F.when(~F.col("cumulative"), F.col("min")), "max": F.when(~F.col("cumulative"), F.col("max"))}).drop("__high", "__a", "__pa", "__ps", "__pt", "__pstart")
+    return df.withColumns({"value": less("value", "__pa"), "count": less("count", "__pa"), "sum": less("sum", "__ps"), "min": F.when(~F.col("cumulative"), F.col("min")), "max": F.when(~F.col("cumulative"), F.col("max"))}).drop("__kept", "__a", "__pa", "__ps", "__pt", "__pstart")
+
+
+def routed(records: DataFrame, s: Stream) -> DataFrame:
+    """Events of a stream from logs, of records: attributes by name, or else the message's key=value pairs."""
+    line = F.concat_ws(" ", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), "level", "service", "message")
+    return loglines.route(records.withColumn("line", line), s)
 
 
 def metric_events(rows: DataFrame, s: Stream) -> tuple[DataFrame, DataFrame]:
@@ -150,4 +220,4 @@ def metric_events(rows: DataFrame, s: Stream) -> tuple[DataFrame, DataFrame]:
     return out.filter(~missing), out.filter(missing).select(F.lit("a key or value is missing").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-__all__ = ["attributes", "deltas", "log_records", "metric_events", "new_requests", "points", "severity"]
+__all__ = ["attributes", "deltas", "last_points", "log_records", "metric_events", "new_requests", "points", "routed", "severity"]

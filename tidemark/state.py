@@ -26,6 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     return _unset.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
 
 
@@ -40,6 +43,8 @@ class Manifest:
     now: int | None = None
     clocks: dict = field(default_factory=dict)
     senders: dict = field(default_factory=dict)
+    #: The last number given to an arrival by a stream of files.
+    seq: int = -1
     migrations: list = field(default_factory=list)
 
 

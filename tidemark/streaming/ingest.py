@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.operators import anomaly, answers, events, exact, rollup, samples, sketch
 from tidemark.policy import FOREVER, Policy, Stream, parse
+from tidemark.sources import files, loglines, otlp
 from tidemark.state import Manifest, Store, shared_folder
 
 WEEK = 7 * 86400
@@ -23,7 +24,8 @@ def _cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def _one(store: Store, manifest: Manifest, policy: Policy, s: Stream, rows: DataFrame, wall: int | None) -> None:
     spark, name, keys = store.spark, s.name, s.key_names
-    good, bad = events.prepare(events.where(rows, s), s)
+    # Streams from logs and metrics were held against their conditions when their rows were routed.
+    good, bad = events.prepare(rows if s.from_logs or s.from_metrics else events.where(rows, s), s)
     good = _cut(spark, good, name)
     store.upsert(manifest, f"{name}_rejected", bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n")), lambda d: d.groupBy("reason").agg(F.sum("n").alias("n")))
     if s.exact:
@@ -73,17 +75,58 @@ def _one(store: Store, manifest: Manifest, policy: Policy, s: Stream, rows: Data
         store.append(manifest, f"{name}_raw", plain)
 
 
-def ingest(store: Store, rows: dict[str, DataFrame], *, batch: int | None = None, wall: int | None = None, senders: DataFrame | None = None) -> Manifest:
-    """Applies rows (by stream, each with seq) and commits. A batch that was applied before changes nothing."""
+def _new_of_senders(store: Store, manifest: Manifest, rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """rows without those that a sender sent again. Where they have source and sent, a sender's numbers count over
+    all streams of the batch and all batches before; what it sent last is kept with the commit."""
+    told = {name: df for name, df in rows.items() if {"source", "sent"} <= set(df.columns)}
+    if not told:
+        return rows
+    spark = store.spark
+    sent = None
+    for name, df in told.items():
+        one = df.select("source", "sent", "seq", F.lit(name).alias("__stream"))
+        sent = one if sent is None else sent.unionByName(one)
+    committed = spark.createDataFrame(list(manifest.senders.items()), "source string, sent long")  # one row a sender
+    new = _cut(spark, events.unsent(sent, committed), "sent")
+    for r in new.filter("source IS NOT NULL").groupBy("source").agg(F.max("sent").alias("sent")).collect():  # one row a sender
+        manifest.senders[r.source] = r.sent
+    return rows | {name: df.join(new.filter(F.col("__stream") == name).select("seq"), "seq", "left_semi").drop("source", "sent") for name, df in told.items()}
+
+
+def ingest(store: Store, rows: dict[str, DataFrame], *, batch: int | None = None, wall: int | None = None, lines: DataFrame | None = None, records: DataFrame | None = None, points: DataFrame | None = None) -> Manifest:
+    """Applies rows (by stream, each with seq) and commits. A batch that was applied before changes nothing.
+
+    Rows with source and sent are taken once for each sender's number. lines are log lines (seq, value), records
+    log records of OpenTelemetry and points its metric points: they go to the policy's streams from logs and
+    from metrics, and the templates learned and the newest points are kept with the state.
+    """
     manifest = store.read()
     if batch is not None and batch <= manifest.batch:
         return manifest
     policy = parse(manifest.policy)
+    rows = _new_of_senders(store, manifest, rows)
+    if lines is not None:
+        parsed, unread = loglines.parse(lines, policy.logs)
+        parsed, found = loglines.learn(parsed, policy.logs, store.table(manifest, "templates"))
+        parsed = _cut(store.spark, parsed, "lines")
+        store.replace(manifest, "templates", found)
+        count = unread.agg(F.count(F.lit(1)).alias("n")).select(F.lit("unread").alias("reason"), "n")
+        store.upsert(manifest, "lines_rejected", count, lambda d: d.groupBy("reason").agg(F.sum("n").alias("n")))
+        rows = rows | {s.name: loglines.route(parsed, s) for s in policy.streams if s.from_logs}
+    if records is not None:
+        rows = rows | {s.name: otlp.routed(records, s) for s in policy.streams if s.from_logs}
+    if points is not None:
+        last = store.table(manifest, "points_last")
+        began = store.table(manifest, "points_began")
+        if began is None:
+            first = points.agg(F.min("ts")).first()[0]
+            began = store.spark.createDataFrame([(first,)], "ts long")
+            store.replace(manifest, "points_began", began)
+        fresh = _cut(store.spark, otlp.deltas(points, began.first()[0] or 0, last), "points")
+        store.replace(manifest, "points_last", otlp.last_points(points, last))
+        rows = rows | {s.name: otlp.metric_events(fresh, s)[0] for s in policy.streams if s.from_metrics}
     for name, df in rows.items():
         _one(store, manifest, policy, policy.stream(name), df, wall)
-    if senders is not None:  # one row a sender
-        for r in senders.groupBy("source").agg(F.max("sent").alias("sent")).filter("source IS NOT NULL").collect():
-            manifest.senders[r.source] = max(r.sent, manifest.senders.get(r.source, r.sent))
     if batch is not None:
         manifest.batch = batch
     manifest.version += 1
@@ -91,6 +134,24 @@ def ingest(store: Store, rows: dict[str, DataFrame], *, batch: int | None = None
     return manifest
 
 
+def set_limits(store: Store, quota: str, limits: DataFrame) -> Manifest:
+    """The limits (keys of the quota's answer, lim) that a quota is held against from now on; each key once."""
+    manifest = store.read()
+    policy = parse(manifest.policy)
+    q = next((q for q in policy.quotas if q.name == quota), None)
+    if q is None:
+        raise ValueError(f"there is no quota {quota}; there are {', '.join(q.name for q in policy.quotas)}")
+    by = policy.precompute(q.precompute).by
+    limits = limits.select(*by, F.col("lim").cast("double").alias("lim"))
+    most = limits.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) > 1:
+        raise ValueError(f"{quota} has more than one limit for a key")
+    store.replace(manifest, f"{quota}_limit", limits)
+    manifest.version += 1
+    store.swap(manifest)
+    return manifest
+
+
 def distill(store: Store, now: int | None = None) -> Manifest:
     """Rewrites what has outlived its time at now (the newest event counted, if not given)."""
     manifest = store.read()
@@ -117,10 +178,20 @@ def distill(store: Store, now: int | None = None) -> Manifest:
 def stream_into(store: Store, stream: DataFrame, route, checkpoint: str, wall: int | None = None) -> DataStreamWriter:
     """A streaming query that ingests each micro-batch; route(df) gives {stream name: rows with seq}.
 
-    Spark may hand over a batch twice; its number, committed with the state, keeps it from counting twice.
+    Spark may hand over a batch twice; its number, committed with the state, keeps it from counting twice. Lines
+    of files.stream_lines get their seq here, from the last one committed on.
     """
 
     def each(df: DataFrame, batch: int) -> None:
+        if "__file" in df.columns:
+            manifest = store.read()
+            if batch <= manifest.batch:
+                return
+            df = _cut(store.spark, files.in_order(df, manifest.seq), "lines")
+            top = df.agg(F.max("seq")).first()[0]
+            if top is not None:
+                manifest.seq = top
+                store.swap(manifest)  # numbers may be left out, but are never given twice
         ingest(store, route(df), batch=batch, wall=wall)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
