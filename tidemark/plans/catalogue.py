@@ -451,12 +451,6 @@ def log_contains(spark, sf):
     return lines(spark, sf).filter(F.contains(F.lower("value"), F.lower(F.lit("MISS for item user=7 ")))).select("seq")
 
 
-@query("log_templates")
-def log_templates(spark, sf):
-    good_lines, _ = loglines.parse(lines(spark, sf), LOGS.logs)
-    return loglines.learn(good_lines, LOGS.logs)[1]
-
-
 # Incidents.
 
 _MIN = """WITH m AS (SELECT floor(epoch(ts))::BIGINT // 60 * 60 AS w, event_type AS service, CASE WHEN event_id % 7 = 0 THEN 'DEBUG' ELSE 'INFO' END AS level,

@@ -133,6 +133,18 @@ def get_windows(store: Store, stream: str, start: int, end: int, every: int | No
     return Answer(df.drop("first_seq", "last_seq").orderBy("w", *by), limit, notes)
 
 
+def newest_windows(store: Store, stream: str, res: int, limit: int = WINDOWS) -> Answer:
+    """The newest window of each key in the rollup of res seconds: one pass, the largest w and what goes with it."""
+    manifest = store.read()
+    s = parse(manifest.policy).stream(stream)
+    if s is None or s.rollup(res) is None:
+        raise ValueError(f"{stream} keeps no windows of {format_duration(res)}")
+    df = store.table(manifest, f"{stream}_win").filter(F.col("res") == res)
+    rest = [c for c in df.columns if c not in s.key_names]
+    newest = df.groupBy(*s.key_names).agg(F.max_by(F.struct(*rest), "w").alias("x"))
+    return Answer(newest.select(*s.key_names, "x.*").orderBy(*s.key_names), limit, [])
+
+
 def get_kept(store: Store, stream: str, kind: str, start: int | None = None, end: int | None = None, where: dict | None = None, contains: str | None = None, limit: int = ROWS) -> Answer:
     """Events kept whole: kind is raw, samples, anomalies or templates; contains looks in the line, without case."""
     manifest = store.read()
