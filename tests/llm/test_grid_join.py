@@ -37,3 +37,10 @@ def test_equals_brute_force(spark, dims):
 
 def test_empty(spark):
     assert grid_join.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_lengths_beyond_the_range_of_squares(spark):
+    """Vectors of doubles whose squares overflow or vanish are compared like any other."""
+    rows = [(1, [3e200, 4e200], 1), (2, [3.0, 4.0], 1), (3, [3e-200, 4e-200], 1), (4, [-3e200, 4e200], 1), (5, [float("inf"), 1.0], 1)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in grid_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}

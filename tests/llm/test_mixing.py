@@ -26,3 +26,11 @@ def test_mean_rate_and_weights(spark):
     assert abs(n["a"] - 3000) < 250 and abs(n["b"] - 1000) < 150
     assert mixing.mix_sources(docs, {"none": 1.0}).count() == 0
     assert mixing.mix_sources(docs.filter("doc_id < 0")).count() == 0
+
+
+def test_many_sources_are_joined_by_a_shuffle(spark):
+    """The same rows whether the rates go to the documents or meet them, one source with most rows."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "'text' as text", "if(id % 3 = 0, concat('s', id % 90), if(id % 7 = 1, null, 'hot')) as source")
+    table = mixing.rates(docs, None, "source", "text", 0.5, 1.0)
+    few, many = (mixing.with_rates(docs, table, "source", "doc_id", few=n).select("doc_id", "mx_source", "mx_parts", "mx_cdf").collect() for n in (100, 0))
+    assert len(few) == 3000 and sorted(few) == sorted(many) if all(x.mx_source for x in few) else {(x.doc_id, x.mx_source, tuple(x.mx_cdf)) for x in few} == {(x.doc_id, x.mx_source, tuple(x.mx_cdf)) for x in many} and len(many) == 3000

@@ -53,10 +53,21 @@ def test_stages_against_plain_python(spark, sf, tmp_path):
 
 
 def test_run_takes_nulls_and_empty_tables(spark, tmp_path):
-    kind = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, "plain words that say little", "en", "a", 5), (1, "plain words that say little", "en", "a", 5), (2, None, None, None, None), (None, "", "en", "a", 0)]
+    """Every row that is left, with a clashing extra column in the tables; the classifier has no usable labels."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, quality int"
+    rows = [(1, "plain words that say little", "en", "a", 5, 0), (1, "plain words that say little", "en", "a", 5, 0), (2, None, None, None, None, 0), (None, "", "en", "a", 0, 0), (4, "plain words that say little", "en", "a", 5, 0)]
     for name, data in (("some", rows), ("none", [])):
         spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([(1, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
-    assert cp.run(spark, f"{tmp_path}/some").columns == ["doc_id", "n_tokens", "tokens"]
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for k, (_, stage) in enumerate(cp.STAGES[:3]):
+        docs = stage(spark, docs, f"{tmp_path}/some").cache()
+        # 4 is a copy of 1; rows that share the identifier that stays all stay, as do those without one.
+        assert sorted((x.doc_id or 0, x.text) for x in docs.collect() if x.text) == [(1, rows[0][1]), (1, rows[0][1]), *([(4, rows[0][1])] if k == 0 else [])]
+        assert docs.columns == cp.COLUMNS and docs.filter("doc_id = 2 OR doc_id IS NULL").count() == 2
+    enc = bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    last = cp.run(spark, f"{tmp_path}/some")
+    assert last.columns == ["doc_id", "n_tokens", "tokens"]
+    want = {1: enc.encode_ordinary(rows[0][1]), 2: [], None: []}
+    assert all(np.frombuffer(bytes(x.tokens), "<u4").tolist() == want[x.doc_id] and x.n_tokens == len(want[x.doc_id]) for x in last.collect())
     assert cp.run(spark, f"{tmp_path}/none").count() == 0

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import shingles, signature_tree
@@ -127,7 +128,7 @@ def test_links_that_only_the_trees_find(spark, monkeypatch):
 def test_nodes_bound_all_that_hangs_below(spark):
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 1 << 63, int(r.integers(20, 60))).astype(np.uint64)) for _ in range(300)]
-    rows = [(int(k % 3), int(k % 7), len(s), k, signature_tree.bitmap(s)[signature_tree.LONGS :].tobytes()) for k, s in enumerate(sets)]
+    rows = [(int(k % 3), int(k % 7), len(s), k, signature_tree.bitmap(s)[: signature_tree.FOLDED].tobytes()) for k, s in enumerate(sets)]
     members = spark.createDataFrame([(*x[:4], bytearray(x[4])) for x in rows], "key long, component long, n long, sid long, fold binary")
     order = ["key", "component", "n", "sid"]
     run, kind = signature_tree._leaves()
@@ -141,3 +142,17 @@ def test_nodes_bound_all_that_hangs_below(spark):
         assert not x.lone or len(m) == sum(k % 3 == x.key for k in range(300))
         seen += m[:, 0].tolist()
     assert sorted(seen) == list(range(300))
+
+
+def test_bitmaps_bound_the_overlap_at_any_size():
+    r = np.random.default_rng(6)
+    for n in (1, 40, 3000, 20000):
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        kept = int(len(x) * 0.9)
+        like = np.unique(np.concatenate([x[:kept], r.integers(0, 1 << 63, len(x) // 20 + 1).astype(np.uint64)]))
+        far = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        batch = {"a": [1, 1], "b": [2, 3], "a_n": [len(x)] * 2, "b_n": [len(like), len(far)], "a_bits": [signature_tree.bitmap(x)[signature_tree.FOLDED :].tobytes()] * 2, "b_bits": [signature_tree.bitmap(v)[signature_tree.FOLDED :].tobytes() for v in (like, far)]}
+        run, _ = signature_tree._likely(80)
+        passed = [b for out in run(iter([pa.RecordBatch.from_pydict(batch)])) for b in out.column("b").to_pylist()]
+        both = len(np.intersect1d(x, like))
+        assert 3 not in passed and (2 in passed or 100 * both < 80 * (len(x) + len(like) - both))

@@ -38,8 +38,9 @@ from tidemark.llm.components import components
 from tidemark.llm.scratch import Scratch, lean, width
 from tidemark.llm.shingles import mix, set_hash, shingle_sets
 
-#: Longs in a bitmap, and in one folded for the trees, sets in a leaf, and bits of a node's number that each
-#: level above it drops (so 2 ** FANOUT nodes have one parent).
+#: Longs in a bitmap at least (a large set has as many as give it two bits a token), and in one folded for the
+#: trees, sets in a leaf, and bits of a node's number that each level above it drops (so 2 ** FANOUT nodes have
+#: one parent).
 LONGS, FOLDED, LEAF, FANOUT = 64, 16, 128, 4
 #: Bytes of text whose keys a task holds at a time, rows that it turns into objects at a time, pairs of sets
 #: whose bitmaps it compares at a time, and pairs that one copy of a set's text serves.
@@ -81,11 +82,15 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """64 * LONGS bits, one for each token, and the same folded to 64 * FOLDED."""
-    bits = np.zeros(64 * LONGS, np.uint8)
-    bits[(mix(s + np.uint64(1)) % np.uint64(64 * LONGS)).astype(np.int64)] = 1
-    whole = np.packbits(bits).view("<i8")
-    return np.concatenate([whole, np.bitwise_or.reduce(whole.reshape(-1, FOLDED))])
+    """64 * FOLDED bits, one for each token, and as many more as the set's size asks for. The longer is the
+    shorter one unfolded: halves of a bitmap, put together by OR, are a bitmap of half the length."""
+    longs = LONGS
+    while 64 * longs < 2 * len(s):
+        longs *= 2
+    bits = np.zeros(64 * longs, np.uint8)
+    bits[(mix(s + np.uint64(1)) % np.uint64(64 * longs)).astype(np.int64)] = 1
+    whole = np.packbits(bits, bitorder="little").view("<i8")
+    return np.concatenate([np.bitwise_or.reduce(whole.reshape(-1, FOLDED)), whole])
 
 
 def popcount(bits: np.ndarray) -> np.ndarray:
@@ -199,9 +204,16 @@ def _likely(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [batch.column(f"{s}_n").to_numpy() for s in "ab"]
-            bits = [np.frombuffer(b"".join(batch.column(f"{s}_bits").to_pylist()), "<i8").reshape(-1, LONGS) for s in "ab"]
-            hidden = np.minimum(*(k - popcount(v) for k, v in zip(n, bits)))
-            ok = _may_link(percent, popcount(bits[0] & bits[1]) + hidden, *n) & (100 * np.minimum(*n) >= percent * np.maximum(*n))
+            bits = [batch.column(f"{s}_bits").to_pylist() for s in "ab"]
+            lengths = np.array([[len(v) for v in side] for side in bits], np.int64).reshape(2, -1)
+            ok = 100 * np.minimum(*n) >= percent * np.maximum(*n)
+            for pair in np.unique(lengths[:, ok], axis=1).T:
+                at = np.flatnonzero(ok & (lengths == pair[:, None]).all(0))
+                x, y = (np.frombuffer(b"".join([side[k] for k in at]), "<i8").reshape(len(at), -1, int(pair.min()) // 8) for side in bits)
+                x, y = np.bitwise_or.reduce(x, 1), np.bitwise_or.reduce(y, 1)
+                sizes = [v[at] for v in n]
+                hidden = np.minimum(sizes[0] - popcount(x), sizes[1] - popcount(y))
+                ok[at] = _may_link(percent, popcount(x & y) + hidden, *sizes)
             yield pa.RecordBatch.from_arrays([batch.column(s).filter(pa.array(ok)) for s in "ab"], schema=schema)
 
     return run, "a long, b long"
@@ -235,7 +247,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, texts, words: int, percent: int,
     are smaller than their shingles' hashes. A set in many pairs has its text in copies, SHARE pairs each, so
     that its pairs spread over tasks."""
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"{side}_n"), F.substring("data", 1, 8 * LONGS).alias(f"{side}_bits")), side)
+        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"{side}_n"), F.substring("data", 8 * FOLDED + 1, 1 << 30).alias(f"{side}_bits")), side)
     run, kind = _likely(percent)
     pairs = scratch.table(name, pairs.mapInArrow(lean(run), kind))
     n = width(pairs.sparkSession)
@@ -461,7 +473,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     trees = scratch.table("trees", trees.select("of_key", F.monotonically_increasing_id().alias("number")))
     members = scratch.table("members", members.join(trees, F.col("key") == F.col("of_key")).select(F.col("number").alias("key"), "sid"))
     scratch.drop("shared", "mixed", "listed", "trees")
-    known = sets.select("sid", "n", F.substring("data", 8 * LONGS + 1, 8 * FOLDED).alias("fold")).join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    known = sets.select("sid", "n", F.substring("data", 1, 8 * FOLDED).alias("fold")).join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
     known = scratch.table("hung", known.withColumn("component", F.coalesce("component", "sid")))
     more = scratch.table("more", _traverse(members.join(known, "sid"), percent, scratch, n).join(pairs, ["a", "b"], "left_anti"))
     scratch.drop("leaves", "members", "hung")
