@@ -71,11 +71,12 @@ class Baseline:
 def judge(events: DataFrame, s: Stream, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(events with unusual and z, baselines with keys, n, m, var, prev).
 
-    state is the baselines before these events. The two results are computed from one pass: materialize or
-    cache the first if both are used.
+    state is the baselines before these events. Only keys, the value and seq pass through the fold, which holds
+    one baseline at a time but sees a key's values one after the other: one key is one task's work. What is
+    unusual, few by its nature, comes back to the events by seq, which is unique.
     """
     rule, keys = s.anomalies, s.key_names
-    base = events.withColumns({"__old": F.lit(1), "__n": F.lit(0).cast("long"), "__m": F.lit(0.0), "__var": F.lit(0.0), "__prev": F.lit(None).cast("double")})
+    base = events.select("seq", *keys, rule.field).withColumns({"__old": F.lit(1), "__n": F.lit(0).cast("long"), "__m": F.lit(0.0), "__var": F.lit(0.0), "__prev": F.lit(None).cast("double")})
     if state is not None:
         seeds = state.select(*keys, F.lit(0).alias("__old"), F.col("n").alias("__n"), F.col("m").alias("__m"), F.col("var").alias("__var"), F.col("prev").alias("__prev"))
         base = base.unionByName(seeds, allowMissingColumns=True)
@@ -109,7 +110,8 @@ def judge(events: DataFrame, s: Stream, state: DataFrame | None = None) -> tuple
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(flags, pa.bool_()), pa.array(zs, pa.float64())], names=[*columns, "unusual", "z"])
 
     judged = base.mapInArrow(run, schema)
-    kept = judged.filter("__old = 1").drop("__old", "__key", "__n", "__m", "__var", "__prev")
+    flags = judged.filter("__old = 1 AND unusual").select("seq", "unusual", "z")
+    kept = events.join(flags, "seq", "left").select(*events.columns, F.coalesce("unusual", F.lit(False)).alias("unusual"), "z")
     place = F.when(F.col("__old") == 0, F.lit(-1)).otherwise(F.col("seq"))
     last = judged.groupBy(*keys).agg(F.max_by(F.struct(F.col("__n").alias("n"), F.col("__m").alias("m"), F.col("__var").alias("var"), F.col("__prev").alias("prev")), place).alias("__b")).select(*keys, "__b.*")
     return kept, last

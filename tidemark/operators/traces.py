@@ -17,6 +17,20 @@ CACHED = 300
 RUN = "run string, repo string, model string, start long, tools string, tools_tokens long, messages array<struct<raw:string,role:string,source:string,tokens:long,at:long>>"
 
 
+def read_runs(spark, path: str) -> DataFrame:
+    """Runs from JSON lines, plain or compressed (by the file's ending): an object a run, with its identifier as id.
+
+    A run without an identifier or messages, or two with one identifier, is an error.
+    """
+    given = spark.read.schema(RUN.replace("run string", "id string")).json(path).withColumnRenamed("id", "run")
+    bad = given.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("messages").isNotNull()).alias("whole")).filter("run IS NULL OR n > 1 OR NOT whole")
+    found = bad.orderBy("run").limit(1).collect()
+    if found:
+        x = found[0]
+        raise ValueError(f"run {x.run} is there {x.n} times" if x.run is not None and x.n > 1 else f"run {x.run} has no identifier or no messages")
+    return given
+
+
 def messages(runs: DataFrame) -> DataFrame:
     """One row a message, with its place, and before it: sent, the time of the message before."""
     m = runs.select("run", "repo", "model", "start", "tools", "tools_tokens", F.posexplode("messages").alias("at_k", "m")).select("run", "repo", "model", "start", "tools", "tools_tokens", F.col("at_k").alias("k"), "m.*")

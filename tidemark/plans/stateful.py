@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashes import fnv1a
 from tidemark.operators import dejavu, events, exact, traces
 from tidemark.plans import scenarios as sc
 from tidemark.plans.catalogue import _BUCKET, _DAY, _E, _G, _L, _LABELS, _MIN, _PERIODS, _T, LOGS, _cut, lines, minutes, otlp_requests, query, runs
@@ -57,6 +58,21 @@ def fresh(spark: SparkSession, policy: str) -> Store:
     return store
 
 
+_kept: dict[tuple[str, str, str], Store] = {}
+
+
+def kept_state(make):
+    """A state is made once for a session and a folder of tables; queries only read it."""
+
+    def found(spark: SparkSession, sf: str) -> Store:
+        key = (spark.sparkContext.applicationId, sf, make.__name__)
+        if key not in _kept:
+            _kept[key] = make(spark, sf)
+        return _kept[key]
+
+    return found
+
+
 def halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows up to the middle arrival, and those after it."""
     low, high = df.agg(F.min("seq"), F.max("seq")).first()
@@ -64,6 +80,7 @@ def halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("seq") <= middle), df.filter(F.col("seq") > middle)
 
 
+@kept_state
 def timed(spark, sf) -> Store:
     store = fresh(spark, TIMINGS)
     for k, part in enumerate(halves(sc.latency(spark, sf))):
@@ -199,6 +216,7 @@ def policy_defaults(spark, sf):
 
 # Exact streams kept as state.
 
+@kept_state
 def metered(spark, sf) -> Store:
     """Every sender's rows come twice; limits are set before the first of them."""
     store = fresh(spark, METER)
@@ -268,6 +286,7 @@ precompute clicks = count(web) by user
 """
 
 
+@kept_state
 def logged(spark, sf) -> Store:
     store = fresh(spark, _SHOP)
     for part in halves(lines(spark, sf)):
@@ -401,3 +420,48 @@ precompute input_day = sum(calls.input_tokens) by repo per day
     return tools.get_answer(store, "input_day").rows
 
 
+
+
+@query("runs_read", _T + "SELECT run, count(*) AS messages, sum(tokens)::BIGINT AS tokens FROM m GROUP BY run")
+def runs_read(spark, sf):
+    """Runs written as compressed JSON lines and read back."""
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    runs(spark, sf).withColumnRenamed("run", "id").write.option("compression", "gzip").json(path)
+    return traces.messages(traces.read_runs(spark, path)).groupBy("run").agg(F.count(F.lit(1)).alias("messages"), F.sum("tokens").alias("tokens"))
+
+
+@query("state_keys", f"{_E} SELECT 'timings' AS stream, 'endpoint' AS key, count(DISTINCT endpoint) AS values, min(endpoint) AS least, max(endpoint) AS most, min(ts) AS first, max(ts) AS last FROM e")
+def state_keys(spark, sf):
+    """How many values a key has, and from when to when."""
+    return tools.describe_keys(timed(spark, sf))
+
+
+@query("hashed_ids", """SELECT event_id, list_reduce([2166136261::BIGINT] || list_transform(range(1, length(event_type || user_id) + 1), lambda i: ascii(substr(event_type || user_id, i, 1))::BIGINT),
+  lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS id FROM events""")
+def hashed_ids(spark, sf):
+    """Identifiers made of text by FNV-1a."""
+    return sc.table(spark, sf, "events").select("event_id", fnv1a(F.concat("event_type", F.col("user_id").cast("string"))).alias("id"))
+
+
+def otlp_other(spark, sf) -> DataFrame:
+    """A request an event: a delta histogram, or for every fourth a summary, which is not taken."""
+    i, t = F.col("event_id"), (F.lit(1704067200) + F.col("event_id")).cast("string")
+    attrs = F.format_string('[{"key":"user.id","value":{"intValue":"%d"}}]', F.col("user_id"))
+    point = F.concat(F.lit('{"timeUnixNano":"'), t, F.lit('000000000","count":"'), (i % 3).cast("string"), F.lit('","sum":'), (i * 2).cast("string"), F.lit('.0,"min":1.0,"max":9.0,"attributes":'), attrs, F.lit("}"))
+    kind = F.when(i % 4 == 0, F.concat(F.lit('"summary":{"dataPoints":['), point, F.lit("]}"))).otherwise(F.concat(F.lit('"histogram":{"aggregationTemporality":1,"dataPoints":['), point, F.lit("]}")))
+    body = F.concat(F.lit('{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"took",'), kind, F.lit("}]}]}]}"))
+    return sc.table(spark, sf, "events").select(i.alias("seq"), F.when(i % 10 == 9, F.lit("{")).otherwise(body).alias("body"))
+
+
+@query("otlp_histograms", "SELECT user_id, (event_id % 3)::DOUBLE AS count, (event_id * 2)::DOUBLE AS sum, 9.0::DOUBLE AS max FROM events WHERE event_id % 4 <> 0 AND event_id % 10 <> 9 AND event_id % 3 > 0")
+def otlp_histograms(spark, sf):
+    """Histograms fill values by their names; those of no events are passed over."""
+    s = parse('stream took from metrics "took" { key user_id integer value count real value sum real value max real rollup 1m keep 1d }').streams[0]
+    pts, _ = otlp.points(otlp_other(spark, sf))
+    return otlp.metric_events(otlp.deltas(pts, 0), s)[0].select("user_id", "count", "sum", "max")
+
+
+@query("otlp_refused", "SELECT CASE WHEN event_id % 10 = 9 THEN 'not readable' ELSE 'summary is not taken' END AS reason, count(*) AS n FROM events WHERE event_id % 10 = 9 OR event_id % 4 = 0 GROUP BY ALL")
+def otlp_refused(spark, sf):
+    """What of metric requests is not taken, by reason."""
+    return otlp.points(otlp_other(spark, sf))[1]

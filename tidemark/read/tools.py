@@ -7,6 +7,8 @@ asked for and reach back far enough, and merges its summaries and sketches.
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from tidemark.policy import FOREVER, Policy, Rollup, Stream, format_duration, pa
 from tidemark.state import Manifest, Store
 
 ROWS, WINDOWS, POINTS = 500, 1000, 60
+#: Seconds that one statement may take.
+PATIENCE = 5.0
 
 
 @dataclass
@@ -27,9 +31,33 @@ class Answer:
     rows: DataFrame
     limit: int
     notes: list[str]
+    #: Seconds after which taking the rows is given up; None waits.
+    patience: float | None = None
 
     def take(self) -> tuple[list, bool]:
-        got = self.rows.limit(self.limit + 1).collect()
+        context = self.rows.sparkSession.sparkContext
+        if self.patience is None:
+            got = self.rows.limit(self.limit + 1).collect()
+            return got[: self.limit], len(got) > self.limit
+        tag = f"tidemark-{uuid.uuid4().hex}"
+        late = threading.Event()
+
+        def give_up() -> None:
+            late.set()
+            context.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(self.patience, give_up)
+        context.addJobTag(tag)
+        timer.start()
+        try:
+            got = self.rows.limit(self.limit + 1).collect()
+        except Exception as e:
+            if late.is_set():
+                raise TimeoutError(f"the query took more than {self.patience:g} seconds") from e
+            raise
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
         return got[: self.limit], len(got) > self.limit
 
 
@@ -180,7 +208,7 @@ def read_only(store: Store, statement: str) -> None:
         raise ValueError("only a query is allowed")
 
 
-def query(store: Store, statement: str, limit: int = ROWS) -> Answer:
+def query(store: Store, statement: str, limit: int = ROWS, patience: float | None = PATIENCE) -> Answer:
     """One read-only SQL statement over the state's tables and answers, each a temporary view by its name."""
     manifest = store.read()
     policy = parse(manifest.policy)
@@ -189,7 +217,7 @@ def query(store: Store, statement: str, limit: int = ROWS) -> Answer:
     read_only(store, statement)
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return Answer(store.spark.sql(statement.strip().rstrip(";")), limit, [])
+    return Answer(store.spark.sql(statement.strip().rstrip(";")), limit, [], patience)
 
 
 def describe(store: Store) -> str:
@@ -209,7 +237,28 @@ def describe(store: Store) -> str:
         out.append(f"answer {p.name} = {p.called}({p.stream}{'.' + p.field if p.field else ''})" + (f" by {', '.join(p.by)}" if p.by else "") + (f" per {p.per}" if p.per else ""))
     out += [f"quota {q.name} of {q.precompute}" for q in policy.quotas]
     out += [f"migrated: {m}" for m in manifest.migrations]
-    return "\n".join(out)
+    return "\n".join([*out, "policy:", manifest.policy.strip()])
+
+
+def describe_keys(store: Store) -> DataFrame:
+    """(stream, key, values, least, most, first, last) of each key of streams with windows: how many values it
+    has, the first and last of them in order as text, and the times of its first and last event."""
+    manifest = store.read()
+    out = None
+    for s in parse(manifest.policy).streams:
+        win = store.table(manifest, f"{s.name}_win")
+        if win is None or not s.key_names:
+            continue
+        win = win.filter(F.col("res") == max(r.res for r in s.rollups))
+        each = win.select("first_ts", "last_ts", F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in s.key_names))).alias("x"))
+        # One row a value first, so that counting values needs no second sort of all windows.
+        each = each.groupBy("x.key", "x.value").agg(F.min("first_ts").alias("first"), F.max("last_ts").alias("last"))
+        one = each.groupBy("key").agg(F.count(F.lit(1)).alias("values"), F.min("value").alias("least"), F.max("value").alias("most"), F.min("first").alias("first"), F.max("last").alias("last"))
+        one = one.select(F.lit(s.name).alias("stream"), "*")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no stream keeps windows by key")
+    return out
 
 
 def catalogue(policy: Policy) -> list[dict]:
