@@ -4,7 +4,8 @@ Texts are cut into pre-tokens by the tokenizer's pattern, in blocks of neighbour
 keeps the positions of its pre-tokens as indices into the list of its own distinct words; only those
 words are shuffled, dealt by their hash, so that each distinct word of the corpus is encoded exactly
 once. The ids go back to the blocks that asked for them and are put in place by position. Decoding
-joins ids with the table of token bytes, which has one row a token of the vocabulary: a fixed size.
+joins ids with the table of token bytes, which has one row a token of the vocabulary: of a fixed size, it is
+held by every worker, and the join is a lookup in it.
 
 What is shuffled grows with the number of blocks times the distinct words of a block, not with the
 pre-tokens; a word that is everywhere is one entry a block.
@@ -189,8 +190,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, ident: str = "doc_
     """(ident, tokens, decoded) of every row of docs, or with digests (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
     tokens are little-endian unsigned 32-bit ids, decoded the bytes that they stand for. Null text is
-    empty and gives no tokens; null and repeated identifiers give a row each; other columns are not
-    read. Special tokens in a text are ordinary text.
+    empty and gives no tokens; null and repeated identifiers, and repeated rows, give a row each; a text of any
+    length is taken whole; other columns are not read; an empty table gives an empty table. Special tokens in a
+    text are ordinary text.
     """
     spark = docs.sparkSession
     scratch, deals = Scratch(spark, "bpe"), 4 * width(spark)

@@ -206,7 +206,7 @@ def read_archives(archives: DataFrame, *, path: str = "path", fetch: int = FETCH
 
     Digest and length of a response are computed from its payload; those of a revisit are its header's,
     and its payload is null. Archives without an index are scanned once for their gzip members. Null
-    paths are skipped.
+    paths are skipped, other columns are not read, and an empty table gives an empty table.
     """
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
