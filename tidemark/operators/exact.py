@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import period_end
 from tidemark.policy import Stream
-from tidemark.state import shared_folder
+from tidemark.state import remove, shared_folder
 
 #: Each round puts at least the first wrong label right, and in practice all but what hangs on it; a stream on
 #: which so many did not do is an error, not a guess.
@@ -79,6 +79,7 @@ def label(events: DataFrame, s: Stream, *, wall: int | None = None, clock: int |
             now = now.when(F.col("ts") < F.col("newest") - s.late, "late")
         now = now.when(F.col("newest") >= period_end(F.col("ts"), s.period) + s.close, "closed").when(repeat, "repeat")
         df, marks = _marked(stood.withColumn("label", now).select(df.columns), f"{folder}/{k}")
+        remove(spark, f"{folder}/{k - 1}")
         if marks == before:
             return events.join(df.select("seq", "label"), "seq").select(*events.columns, "label")
         before = marks

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FORMAT = 1
+#: Parts that a table which is only added to has before they are put together.
+MANY = 64
 _unset: dict[str, str] = {}
 
 
@@ -32,6 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _unset.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """An intermediate table that has served."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @dataclass
 class Manifest:
     policy: str
@@ -119,7 +127,10 @@ class Store:
             both.unpersist()
 
     def append(self, manifest: Manifest, name: str, df: DataFrame) -> None:
+        """df beside what the table has; after MANY such parts they become one, so the manifest stays short."""
         self.replace(manifest, name, df, f"v{manifest.version + 1}", keep_rest=True)
+        if len(manifest.tables[name]["parts"]) > MANY:
+            self.replace(manifest, name, self.table(manifest, name), f"to{manifest.version + 1}")
 
     def sizes(self, manifest: Manifest) -> DataFrame:
         """(name, rows, bytes) of every table."""
