@@ -288,7 +288,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, ident: str = "doc_id", text:
         out = out.join(means.withColumnsRenamed({"host_mean": mean, "path_mean": mean.replace("host", "path") if mean == "host_mean" else "qc_path_mean"}), ["qc_host", "qc_path"])
         below = F.col("path_mean" if score == "doc_score" else "qc_path_mean")
         p = 1 / (1 + F.exp(-(_odds(F.col(score)) + F.lit(w) * (_odds(below) - _odds(F.lit(prior))))))
-        out = out.withColumn(result, p if models[score] or score == "doc_score" else F.lit(0.0))
+        # Labels that are all alike teach nothing, neither of a text nor of a site.
+        out = out.withColumn(result, p if models[score] else F.lit(0.5 if score == "doc_score" else 0.0))
     out = out.withColumn("kept", (F.col("quality") >= threshold) & (F.col("toxic") < threshold))
     return out.select(*columns, "doc_score", "host_mean", "path_mean", "quality", "toxic_score", "toxic", "kept")
 
