@@ -126,6 +126,10 @@ class Scratch:
         if time.monotonic() - _last[0] >= PAUSE:
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()
+            # What the driver's own arrays left behind goes back, too.
+            pa.default_memory_pool().release_unused()
+            if libc := _libc():
+                libc.malloc_trim(0)
             _last[0] = time.monotonic()
 
 
