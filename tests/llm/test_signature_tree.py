@@ -156,3 +156,56 @@ def test_bitmaps_bound_the_overlap_at_any_size():
         passed = [b for out in run(iter([pa.RecordBatch.from_pydict(batch)])) for b in out.column("b").to_pylist()]
         both = len(np.intersect1d(x, like))
         assert 3 not in passed and (2 in passed or 100 * both < 80 * (len(x) + len(like) - both))
+
+
+def test_long_texts_under_common_trees_do_not_all_pass(spark, monkeypatch):
+    r, rows = random.Random(8), []
+    passage = [f"p{k}" for k in range(1500)]
+    for k in range(40):
+        rows.append((k, " ".join(passage + [f"w{r.randrange(10**9)}" for _ in range(1000)])))
+    rows += [(100, rows[3][1] + " end"), (101, " ".join(rows[5][1].split()[40:]))]
+    made, table = {}, signature_tree.Scratch.table
+
+    def counted(self, name, df):
+        out = table(self, name, df)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(signature_tree.Scratch, "table", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in signature_tree.jaccard_components(docs, words=4, percent=85).collect()}
+    assert got == {k: {100: 3, 101: 5}.get(k, k) for k, _ in rows}
+    # They do share trees: there is something to let pass.
+    assert made["members"] > 100 and made["more"] <= len(rows)
+
+
+def test_a_pair_comes_from_few_trees_and_from_one_at_least():
+    r = np.random.default_rng(9)
+    s = np.unique(r.integers(0, 1 << 63, 200).astype(np.uint64))
+    bits = np.frombuffer(signature_tree.bitmap(s)[: signature_tree.FOLDED].tobytes(), "<i8")
+    trees = {k: sorted(r.choice(60, int(r.integers(3, 30)), replace=False).tolist()) for k in range(20)}
+    first = {k: [*v, *[signature_tree.NONE] * signature_tree.EARLIER][: signature_tree.EARLIER] for k, v in trees.items()}
+    run, _ = signature_tree._cross(85, signature_tree.EARLIER)
+    longs, found, shared = signature_tree.FOLDED, [], []
+    for t in range(60):
+        inside = [k for k, v in trees.items() if t in v]
+        shared += [(a, b) for a in inside for b in inside if a < b]
+        leaf = np.array([[k, k, len(s), *first[k], *bits] for k in inside], "<i8").tobytes()
+        batch = pa.RecordBatch.from_pydict({"tree": [t], "a_members": [leaf], "b_members": pa.array([None], pa.binary()), "a_longs": [longs], "b_longs": [longs]})
+        found += [(a, b) for out in run(iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
+    assert set(found) == set(shared) and len(found) < len(shared) / 2
+
+
+def test_leaves_of_other_lengths_meet():
+    r = np.random.default_rng(10)
+    x = np.unique(r.integers(0, 1 << 63, 1050).astype(np.uint64))
+    sets = [x, x[:1000], np.unique(r.integers(0, 1 << 63, 1000).astype(np.uint64))]
+    hang, _ = signature_tree._hang()
+    (hung,) = hang(iter([pa.RecordBatch.from_pydict({"sid": [0, 1, 2], "n": [len(v) for v in sets], "data": [signature_tree.bitmap(v).tobytes() for v in sets]})]))
+    folds = hung.column("fold").to_pylist()
+    assert [len(f) // 8 for f in folds] == [2 * signature_tree.FOLDED, signature_tree.FOLDED, signature_tree.FOLDED]
+    leaves = [b"".join(np.array([k, k, len(sets[k])], "<i8").tobytes() + folds[k] for k in of) for of in ([0], [1, 2])]
+    run, _ = signature_tree._cross(85)
+    batch = pa.RecordBatch.from_pydict({"tree": [7], "a_members": [leaves[0]], "b_members": [leaves[1]], "a_longs": [2 * signature_tree.FOLDED], "b_longs": [signature_tree.FOLDED]})
+    (out,) = run(iter([batch]))
+    assert (out.column("a").to_pylist(), out.column("b").to_pylist()) == ([0], [1])

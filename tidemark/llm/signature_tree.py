@@ -9,7 +9,8 @@ nodes of two trees have no part in common and are never compared.
 
 The tree. Its leaves hold up to LEAF sets in order of component, size and name; FANOUT nodes have one parent,
 up to one root. A node has the bitwise OR of its sets' token bitmaps, the range of their sizes, the most
-tokens that a bitmap hides and the range of their components.
+tokens that a bitmap hides and the range of their components. Bitmaps of nodes have one length; those of the
+sets in a leaf grow with its smallest set, for a long set fills a short bitmap, which then lets all pass.
 
 The join. Every tree is first read along its lowest level, each set against the next one, and the links found
 give components (within a task's rows, of which only the smallest goes on, so that a hot tree crosses the
@@ -17,7 +18,9 @@ shuffle once a task). Then each tree is traversed against itself from the root.
 only if the largest overlap that their bitmaps allow and their sizes admit a link and they are not both of
 one same component; at the root that drops trees whose sets are all joined already. Pairs of sets that the
 leaves let pass are compared in full. So every linked pair was compared or lies in one component: no link
-between components is lost, and a group of near copies costs comparisons in proportion to its size.
+between components is lost, and a group of near copies costs comparisons in proportion to its size. A linked
+pair passes in each tree that its sets share, the first of them included; so it is left out where the first
+trees of both sets, which are listed with them, name an earlier one.
 
 Equal sets are one, under their hash, from the start. Shingles and sets are named by 64-bit hashes: what is
 found is exact but for their collisions, which no pattern of the words brings about.
@@ -30,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,8 @@ from tidemark.llm.shingles import mix, set_hash, shingle_sets
 #: trees, sets in a leaf, and bits of a node's number that each level above it drops (so 2 ** FANOUT nodes have
 #: one parent).
 LONGS, FOLDED, LEAF, FANOUT = 64, 16, 128, 4
+#: Trees that are listed with a set, the first ones that it hangs in, and what fills the list of a set in fewer.
+EARLIER, NONE = 8, (1 << 63) - 1
 #: Bytes of text whose keys a task holds at a time, rows that it turns into objects at a time, pairs of sets
 #: whose bitmaps it compares at a time, and pairs that one copy of a set's text serves.
 HELD, ROWS, PAIRS, SHARE = 8 << 20, 500, 1 << 16, 64
@@ -269,20 +275,48 @@ def _verify(pairs: DataFrame, sets: DataFrame, texts, words: int, percent: int,
     return pairs.select("a", "b", "a_text", "b_text").mapInArrow(lean(run), kind)
 
 
-#: What a leaf holds of each set: its name, component, size and folded bitmap, in longs.
+#: What a leaf holds of each set whose bitmap is as short as can be: its name, component, size and bitmap, in longs.
 _MEMBER = 3 + FOLDED
 
 
-def _leaves():
+def _shorter(bits: np.ndarray, longs: int) -> np.ndarray:
+    """Bitmaps, one a row, folded to longs."""
+    return bits if bits.shape[1] == longs else np.bitwise_or.reduce(bits.reshape(len(bits), -1, longs), axis=1)
+
+
+def _hang():
+    """(sid, n, data) to (sid, n, fold): the bitmap that hangs in the trees, of a bit a token at least."""
+    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("fold", pa.binary())])
+
+    def fold(n: int, data: bytes) -> bytes:
+        longs = FOLDED
+        while 64 * longs < n:
+            longs *= 2
+        return data[: 8 * FOLDED] if longs == FOLDED else _shorter(np.frombuffer(data, "<i8", -1, 8 * FOLDED)[None], longs).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds = [fold(n, data) for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(folds, pa.binary())], schema=schema)
+
+    return run, "sid long, n long, fold binary"
+
+
+_LEAF = pa.schema([*((c, pa.int64()) for c in ("key", "part", "number", "least", "most", "hidden", "low", "high")), ("signature", pa.list_(pa.int64())), ("members", pa.binary()), ("longs", pa.int64()), ("lone", pa.bool_())])
+_LEAF_SQL = "key long, part long, number long, least long, most long, hidden long, low long, high long, signature array<long>, members binary, longs long, lone boolean"
+
+
+def _leaves(earlier: int = 0):
     """Sets in order of (key, component, n) to leaves: members, OR of bitmaps, and the ranges of sizes, of
-    components and of what a bitmap hides. lone: the leaf is all of its tree."""
-    schema = pa.schema([*((c, pa.int64()) for c in ("key", "part", "number", "least", "most", "hidden", "low", "high")), ("signature", pa.list_(pa.int64())), ("members", pa.binary()), ("lone", pa.bool_())])
+    components and of what a bitmap hides. lone: the leaf is all of its tree. A member is its name, component
+    and size, the first trees that it hangs in (as many as earlier) and its bitmap, folded to the longs of the
+    shortest one in the leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, before = TaskContext.get().partitionId(), 0, None
-        keys, rows = np.empty(0, np.int64), np.empty((0, _MEMBER), np.int64)
+        keys, rows, bits = np.empty(0, np.int64), np.empty((0, 3 + earlier), np.int64), []
 
-        def given(keys: np.ndarray, rows: np.ndarray, starts: np.ndarray, following) -> pa.RecordBatch:
+        def given(keys: np.ndarray, rows: np.ndarray, bits: list[bytes], starts: np.ndarray, following) -> pa.RecordBatch:
             ends = np.append(starts[1:], len(keys))
             own, n = keys[starts], rows[:, 2]
             # The first and the last tree of a partition may go on in another one.
@@ -290,39 +324,54 @@ def _leaves():
             lone[0] &= before is not None
             lone[-1] &= following is not None
             over = lambda f, x: pa.array(f.reduceat(x, starts))
-            signature = np.bitwise_or.reduceat(rows[:, 3:], starts, axis=0)
-            offsets = np.append(starts, ends[-1]).astype(np.int32) * (8 * _MEMBER)
-            members = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows, "<i8"))])
+            lengths = np.array([len(x) // 8 for x in bits])
+            short = np.empty((len(bits), FOLDED), np.int64)
+            for length in np.unique(lengths):
+                at = np.flatnonzero(lengths == length)
+                short[at] = _shorter(np.frombuffer(b"".join([bits[k] for k in at]), "<i8").reshape(len(at), length), FOLDED)
+            signature = np.bitwise_or.reduceat(short, starts, axis=0)
+            longs, shortest, members = np.minimum.reduceat(lengths, starts), np.column_stack([rows, short]).astype("<i8"), []
+            for x, y, z in zip(starts.tolist(), ends.tolist(), longs.tolist()):
+                if z == FOLDED:
+                    members.append(shortest[x:y].tobytes())
+                else:
+                    own_bits = [_shorter(np.frombuffer(v, "<i8")[None], z) for v in bits[x:y]]
+                    members.append(np.column_stack([rows[x:y], np.concatenate(own_bits)]).astype("<i8").tobytes())
             lists = pa.ListArray.from_arrays(np.arange(0, signature.size + 1, FOLDED, dtype=np.int32), signature.ravel())
             numbers = np.arange(number, number + len(starts))
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(starts), part)), pa.array(numbers), over(np.minimum, n), over(np.maximum, n), over(np.maximum, n - popcount(rows[:, 3:])), over(np.minimum, rows[:, 1]), over(np.maximum, rows[:, 1]), lists, members, pa.array(lone)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(starts), part)), pa.array(numbers), over(np.minimum, n), over(np.maximum, n), over(np.maximum, n - popcount(short)), over(np.minimum, rows[:, 1]), over(np.maximum, rows[:, 1]), lists, pa.array(members, pa.binary()), pa.array(longs), pa.array(lone)], schema=_LEAF)
 
         for batch in batches:
-            bits = np.frombuffer(b"".join(batch.column("fold").to_pylist()), "<i8").reshape(-1, FOLDED)
-            more = np.column_stack([*(batch.column(c).to_numpy() for c in ("sid", "component", "n")), bits])
-            keys, rows = np.concatenate([keys, batch.column("key").to_numpy()]), np.concatenate([rows, more])
+            more = [batch.column(c).to_numpy() for c in ("sid", "component", "n")]
+            if earlier:
+                more.append(batch.column("earlier").flatten().to_numpy().reshape(-1, earlier))
+            bits += batch.column("fold").to_pylist()
+            keys, rows = np.concatenate([keys, batch.column("key").to_numpy()]), np.concatenate([rows, np.column_stack(more)])
             new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             starts = np.flatnonzero((np.arange(len(keys)) - np.repeat(new, np.diff(np.append(new, len(keys))))) % LEAF == 0)
             if len(starts) > 1:
                 # The last leaf may not be full.
                 cut = starts[-1]
-                yield given(keys[:cut], rows[:cut], starts[:-1], keys[cut])
+                yield given(keys[:cut], rows[:cut], bits[:cut], starts[:-1], keys[cut])
                 number, before = number + len(starts) - 1, keys[cut - 1]
-                keys, rows = keys[cut:], rows[cut:]
+                keys, rows, bits = keys[cut:], rows[cut:], bits[cut:]
         if len(keys):
-            yield given(keys, rows, np.array([0]), None)
+            yield given(keys, rows, bits, np.array([0]), None)
 
-    return run, "key long, part long, number long, least long, most long, hidden long, low long, high long, signature array<long>, members binary, lone boolean"
+    return run, _LEAF_SQL
 
 
-def _cross(percent: int):
-    """Pairs of sets of two leaves (of one, where b_members is null) that lie in different components and that
-    sizes and bitmaps let pass."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
-    def met(held: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
-        """All leaves held at once: pairs are numbered through, leaf by leaf."""
-        first, second, same = zip(*held)
+def _cross(percent: int, earlier: int = 0):
+    """Pairs of sets of two leaves of a tree (of one, where b_members is null) that lie in different components,
+    that sizes and bitmaps let pass and that no earlier tree is known to have."""
+    head = 3 + earlier
+
+    def met(held: list[tuple[int, np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
+        """All leaves held at once, their bitmaps of one length: pairs are numbered through, leaf by leaf."""
+        trees, first, second, same = zip(*held)
         sizes = [np.array([len(x) for x in side]) for side in (first, second)]
         counts = sizes[0] * sizes[1]
         of = np.repeat(np.arange(len(held)), counts)
@@ -330,33 +379,70 @@ def _cross(percent: int):
         i, j = k // sizes[1][of], k % sizes[1][of]
         keep = ~np.array(same)[of] | (i < j)
         i, j = ((v + (np.cumsum(size) - size)[of])[keep] for v, size in zip((i, j), sizes))
+        tree = np.array(trees, np.int64)[of[keep]]
         x, y = np.concatenate(first), np.concatenate(second)
         least, most = np.minimum(x[i, 2], y[j, 2]), np.maximum(x[i, 2], y[j, 2])
         keep = (x[i, 1] != y[j, 1]) & (100 * least >= percent * most)
-        i, j = i[keep], j[keep]
-        hidden = np.minimum(*(v[:, 2][w] - popcount(v[:, 3:])[w] for v, w in ((x, i), (y, j))))
-        keep = _may_link(percent, popcount(x[i, 3:] & y[j, 3:]) + hidden, x[i, 2], y[j, 2])
-        i, j = x[i[keep], 0], y[j[keep], 0]
+        i, j, tree = i[keep], j[keep], tree[keep]
+        hidden = [v[:, 2] - popcount(v[:, head:]) for v in (x, y)]
+        step = max(1, PAIRS * FOLDED // (x.shape[1] - head))
+        keep = np.ones(len(i), bool)
+        for at in range(0, len(i), step):
+            p, q = i[at : at + step], j[at : at + step]
+            overlap = popcount(x[p, head:] & y[q, head:]) + np.minimum(hidden[0][p], hidden[1][q])
+            keep[at : at + step] = _may_link(percent, overlap, x[p, 2], y[q, 2])
+        i, j, tree = i[keep], j[keep], tree[keep]
+        before = np.zeros(len(i), bool)
+        for c in range(3, head):
+            before |= (x[i, c] < tree) & (x[i, c][:, None] == y[j, 3:head]).any(1)
+        i, j = x[i[~before], 0], y[j[~before], 0]
         pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=_PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: dict[int, list] = {}
+        size: dict[int, int] = {}
         for batch in batches:
-            for a, b in zip(*(batch.column(c).to_pylist() for c in ("a_members", "b_members"))):
-                x = np.frombuffer(a, "<i8").reshape(-1, _MEMBER)
-                y = x if b is None else np.frombuffer(b, "<i8").reshape(-1, _MEMBER)
-                held.append((x, y, b is None))
-                size += len(x) * len(y)
-                if size >= PAIRS:
-                    yield met(held)
-                    held, size = [], 0
-        if held:
-            yield met(held)
+            for tree, a, b, *longs in zip(*(batch.column(c).to_pylist() for c in ("tree", "a_members", "b_members", "a_longs", "b_longs"))):
+                x, y = (np.frombuffer(v, "<i8").reshape(-1, head + z) if v is not None else None for v, z in zip((a, b), longs))
+                if y is None:
+                    least, y = longs[0], x
+                elif longs[0] != longs[1]:
+                    least = min(longs)
+                    x, y = (np.column_stack([v[:, :head], _shorter(np.ascontiguousarray(v[:, head:]), least)]) for v in (x, y))
+                else:
+                    least = longs[0]
+                held.setdefault(least, []).append((tree, x, y, b is None))
+                size[least] = size.get(least, 0) + len(x) * len(y) * least // FOLDED
+                if size.get(least, 0) >= PAIRS:
+                    yield met(held.pop(least))
+                    del size[least]
+        for left in held.values():
+            yield met(left)
 
     return run, "a long, b long"
 
 
+def _grow(percent: int, earlier: int):
+    """Sets in order to leaves as of _leaves, without those that are all of their tree, and the pairs (a, b) that
+    lie within one leaf, whose rows have nothing else."""
+    leaves, kind = _leaves(earlier)
+    cross, pair = _cross(percent, earlier)
+    schema = pa.schema([*_LEAF, *_PAIR])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in leaves(batches):
+            several = batch.filter(pc.not_equal(batch.column("low"), batch.column("high")))
+            own = [several.column(c) for c in ("key", "members", "longs")]
+            met = pa.RecordBatch.from_arrays([own[0], own[1], pa.nulls(several.num_rows, pa.binary()), own[2], own[2]], ["tree", "a_members", "b_members", "a_longs", "b_longs"])
+            for pairs in cross(iter([met])):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(pairs.num_rows, f.type) for f in _LEAF), *pairs.columns], schema=schema)
+            more = batch.filter(pc.invert(batch.column("lone")))
+            yield pa.RecordBatch.from_arrays([*more.columns, *(pa.nulls(more.num_rows, f.type) for f in _PAIR)], schema=schema)
+
+    return run, f"{kind}, {pair}"
+
+
 _NODE = ["key", "part", "number"]
 _HAS = ["least", "most", "hidden", "low", "high", "signature"]
 
@@ -372,17 +458,15 @@ def _goes_down(percent: int) -> Column:
 def _traverse(members: DataFrame, percent: int, scratch: Scratch, n: int) -> DataFrame:
     """Pairs from the signature trees of all keys, each traversed against itself from its root.
 
-    members is (key, component, n, sid, fold). Leaves are numbered within a partition; parents drop bits of
-    that number, and above it of the partition's, so that no level needs a count over a whole tree.
+    members is (key, component, n, sid, fold, earlier). Leaves are numbered within a partition; parents drop bits
+    of that number, and above it of the partition's, so that no level needs a count over a whole tree. A tree of
+    one leaf ends there.
     """
     order = ["key", "component", "n", "sid"]
-    run, kind = _leaves()
-    leaves = scratch.table("leaves", members.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, "fold").mapInArrow(lean(run), kind))
-    run, kind = _cross(percent)
-    none = F.lit(None).cast("binary").alias("b_members")
-    within = leaves.filter("low <> high").select(F.col("members").alias("a_members"), none).mapInArrow(lean(run), kind)
-    # A tree of one leaf ends there.
-    leaves = leaves.filter("NOT lone")
+    run, kind = _grow(percent, EARLIER)
+    grown = scratch.table("leaves", members.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, "fold", "earlier").mapInArrow(lean(run), kind))
+    within = grown.filter("a IS NOT NULL").select("a", "b")
+    leaves = grown.filter("key IS NOT NULL")
     levels, ups = [scratch.table("level0", leaves.select(*_NODE, *_HAS))], []
     top = levels[0].agg(F.max("part"), F.max("number")).first()
     part, number = (x or 0 for x in top)
@@ -406,8 +490,9 @@ def _traverse(members: DataFrame, percent: int, scratch: Scratch, n: int) -> Dat
         pairs = scratch.table(f"down{k}", pairs.filter((first <= second) & _goes_down(percent)).select(*ids))
     pairs = pairs.filter("a_part <> b_part OR a_number <> b_number")
     for s in "ab":
-        pairs = pairs.join(sides(leaves, s, [*_NODE, "members"]), [f"{s}_{c}" for c in _NODE])
-    across = pairs.select("a_members", "b_members").mapInArrow(lean(run), kind)
+        pairs = pairs.join(sides(leaves, s, [*_NODE, "members", "longs"]), [f"{s}_{c}" for c in _NODE])
+    run, kind = _cross(percent, EARLIER)
+    across = pairs.select(F.col("a_key").alias("tree"), "a_members", "b_members", "a_longs", "b_longs").mapInArrow(lean(run), kind)
     return within.union(across).distinct()
 
 
@@ -473,7 +558,10 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     trees = scratch.table("trees", trees.select("of_key", F.monotonically_increasing_id().alias("number")))
     members = scratch.table("members", members.join(trees, F.col("key") == F.col("of_key")).select(F.col("number").alias("key"), "sid"))
     scratch.drop("shared", "mixed", "listed", "trees")
-    known = sets.select("sid", "n", F.substring("data", 1, 8 * FOLDED).alias("fold")).join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    first = members.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("key")), 1, EARLIER).alias("earlier"))
+    first = first.withColumn("earlier", F.concat("earlier", F.array_repeat(F.lit(NONE), EARLIER - F.size("earlier"))))
+    run, kind = _hang()
+    known = sets.select("sid", "n", "data").mapInArrow(lean(run), kind).join(first, "sid").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
     known = scratch.table("hung", known.withColumn("component", F.coalesce("component", "sid")))
     more = scratch.table("more", _traverse(members.join(known, "sid"), percent, scratch, n).join(pairs, ["a", "b"], "left_anti"))
     scratch.drop("leaves", "members", "hung")
