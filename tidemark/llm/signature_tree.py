@@ -33,7 +33,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -248,14 +247,19 @@ def _compare(words: int, percent: int):
     return run, "a long, b long"
 
 
+def _passing(pairs: DataFrame, sets: DataFrame, bits: Column, percent: int) -> DataFrame:
+    """Pairs that the sizes and these bitmaps of their sets let pass."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"{side}_n"), bits.alias(f"{side}_bits")), side)
+    run, kind = _likely(percent)
+    return pairs.mapInArrow(lean(run), kind)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, texts, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The linked ones of pairs: first by sizes and bitmaps, which are small, then by the texts of the rest, which
     are smaller than their shingles' hashes. A set in many pairs has its text in copies, SHARE pairs each, so
     that its pairs spread over tasks."""
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"{side}_n"), F.substring("data", 8 * FOLDED + 1, 1 << 30).alias(f"{side}_bits")), side)
-    run, kind = _likely(percent)
-    pairs = scratch.table(name, pairs.mapInArrow(lean(run), kind))
+    pairs = scratch.table(name, _passing(pairs, sets, F.substring("data", 8 * FOLDED + 1, 1 << 30), percent))
     n = width(pairs.sparkSession)
     asked = pairs.select(F.col("a").alias("of")).unionAll(pairs.select("b")).groupBy("of").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("copies"))
     asked = scratch.table(f"{name}_asked", asked)
@@ -432,12 +436,12 @@ def _grow(percent: int, earlier: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in leaves(batches):
-            several = batch.filter(pc.not_equal(batch.column("low"), batch.column("high")))
+            several = batch.filter(pa.array(batch.column("low").to_numpy() != batch.column("high").to_numpy()))
             own = [several.column(c) for c in ("key", "members", "longs")]
             met = pa.RecordBatch.from_arrays([own[0], own[1], pa.nulls(several.num_rows, pa.binary()), own[2], own[2]], ["tree", "a_members", "b_members", "a_longs", "b_longs"])
             for pairs in cross(iter([met])):
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(pairs.num_rows, f.type) for f in _LEAF), *pairs.columns], schema=schema)
-            more = batch.filter(pc.invert(batch.column("lone")))
+            more = batch.filter(pa.array(~batch.column("lone").to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([*more.columns, *(pa.nulls(more.num_rows, f.type) for f in _PAIR)], schema=schema)
 
     return run, f"{kind}, {pair}"
@@ -539,7 +543,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
 
     sets = read.filter("kind = 4").select(F.col("a").alias("sid"), "n", "data").join(wanted, F.col("sid") == F.col("of"), "left_semi")
     sets = scratch.table("sets", sets.dropDuplicates(["sid"]))
-    links = scratch.table("linked", _verify(pairs, sets, texts, words, percent, scratch, "likely"))
+    run, kind = _hang()
+    folds = scratch.table("folds", sets.select("sid", "n", "data").mapInArrow(lean(run), kind))
+    # Short bitmaps end most pairs; whole ones are sent for the others alone.
+    few = scratch.table("few", _passing(pairs, folds, F.col("fold"), percent))
+    links = scratch.table("linked", _verify(few, sets, texts, words, percent, scratch, "likely"))
     scratch.drop("likely_texts")
     joined = scratch.table("joined", components(links, scratch, "first"))
     of = lambda s: joined.select(F.col("node").alias(s), F.col("component").alias(f"{s}_in"))
@@ -560,11 +568,10 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     scratch.drop("shared", "mixed", "listed", "trees")
     first = members.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("key")), 1, EARLIER).alias("earlier"))
     first = first.withColumn("earlier", F.concat("earlier", F.array_repeat(F.lit(NONE), EARLIER - F.size("earlier"))))
-    run, kind = _hang()
-    known = sets.select("sid", "n", "data").mapInArrow(lean(run), kind).join(first, "sid").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    known = folds.join(first, "sid").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left")
     known = scratch.table("hung", known.withColumn("component", F.coalesce("component", "sid")))
     more = scratch.table("more", _traverse(members.join(known, "sid"), percent, scratch, n).join(pairs, ["a", "b"], "left_anti"))
-    scratch.drop("leaves", "members", "hung")
+    scratch.drop("leaves", "members", "hung", "folds")
     # What the first links joined comes as stars.
     links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verify(more, sets, texts, words, percent, scratch, "likelier"))
     joined = components(links, scratch, "second")
