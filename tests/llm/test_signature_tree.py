@@ -78,6 +78,27 @@ def test_linked_sets_always_meet(percent):
             assert a & b
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sets_without_a_common_token_share_no_tree(percent):
+    """Else trees grow with the table, and what is compared with its square."""
+    r = np.random.default_rng(percent)
+    for n in (40, 130, 200, 1000):
+        keys = np.concatenate([np.unique(signature_tree.part_keys(np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)), percent)) for _ in range(300)])
+        counts = np.unique(keys, return_counts=True)[1]
+        # Sets with the most empty parts of all have a few of these left.
+        assert counts[counts > 1].sum() < 0.002 * len(keys) and counts.max() < 15
+
+
+@pytest.mark.parametrize("names", [3, 1 << 16, (1 << 16) + 1])
+def test_keys_and_their_sets_come_back_as_packed(names):
+    r = np.random.default_rng(names)
+    sets = r.permutation(np.append(np.arange(names), [0, 1])).astype(np.int64) - 5
+    keys = r.integers(0, 1 << 40, len(sets)).astype(np.uint64)
+    keys[:2] = 0, (1 << 40) - 1
+    got = signature_tree._unpacked(len(keys), signature_tree._pack(keys, sets))
+    assert np.array_equal(got[0], keys) and np.array_equal(got[1], sets)
+
+
 def test_hashes_of_words_do_not_depend_on_their_place():
     one, two = (list(shingles.shingle_sets(t, 4)) for t in (["The cat sat on the mat"], ["x" * 1000, "", None, "the CAT  sat\non the mat"]))
     assert np.array_equal(one[0], two[3]) and len(one[0]) == 3 and len(two[1]) == len(two[2]) == 0 and len(two[0]) == 1

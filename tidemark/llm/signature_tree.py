@@ -2,10 +2,14 @@
 
 Where sets are hung. Linked sets x and y differ in at most D shingles, a number that follows from their
 sizes. Shingles are dealt by hash into m > D parts, so at least one part is equal in both. Sizes are cut into
-ranges such that linked sets lie in one range or in neighbouring ones, and m is fixed for each range. m leaves
-SPARE parts over, so that an equal part is non-empty as well: only a set with more than SPARE empty parts is
-listed under those too. A set hangs in the tree of the hash of each of its parts, so linked sets share a tree;
-nodes of two trees have no part in common and are never compared.
+ranges such that linked sets lie in one range or in neighbouring ones, and m is fixed for each range. m is
+D + 1 and SPARE more, so linked sets have SPARE + 1 equal parts at least, and each set leaves out SPARE of its
+parts, those with the fewest tokens (by hash, where these are as many): of the parts equal in both, the one
+that comes last in this order has SPARE others before it in either set, so neither leaves it out. What is left
+out are empty parts and those of a token or two, which sets that have little in common share as well; else
+their trees would grow with the table, and what is compared with its square. A set hangs in the tree of the
+hash of each part left, so linked sets share a tree; nodes of two trees have no part in common and are never
+compared.
 
 The tree. Its leaves hold up to LEAF sets in order of component, size and name; FANOUT nodes have one parent,
 up to one root. A node has the bitwise OR of its sets' token bitmaps, the range of their sizes, the most
@@ -53,22 +57,23 @@ HELD, ROWS, PAIRS, SHARE = 8 << 20, 500, 1 << 16, 64
 
 
 @lru_cache(maxsize=8)
-def ranges(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """First size of each range, and parts that each deals shingles into (with its spare ones)."""
+def ranges(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First size of each range, parts that each deals shingles into, and how many of these are spare."""
     first = [1]
     while first[-1] < 1 << 40:
         first.append(100 * first[-1] // percent + 1)
     differ = [(100 - percent) * (b - 1 + c - 1) // (100 + percent) for b, c in zip(first[1:], first[2:])]
-    return np.array(first[: len(differ)]), np.array([d + 1 + (spare(d) if d else 0) for d in differ])
+    over = [spare(d) if d else 0 for d in differ]
+    return np.array(first[: len(differ)]), np.array([d + 1 + o for d, o in zip(differ, over)]), np.array(over)
 
 
 def spare(differ: int) -> int:
-    return 1 + differ // 50
+    return 1 + differ // 4
 
 
 def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """The keys of a set: the parts of its own range and of the one below."""
-    first, parts = ranges(percent)
+    first, parts, over = ranges(percent)
     own = int(np.searchsorted(first, len(s), "right")) - 1
     spread, weight, out = mix(s), mix(s ^ np.uint64(0x5851F42D4C957F2D)), []
     for zone in (own, own - 1):
@@ -79,10 +84,8 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, part, weight)
         filled = np.bincount(part, minlength=m)
-        empty = int((filled == 0).sum())
         keys = mix(sums + mix(np.arange(m, dtype=np.uint64) + (np.uint64(zone) << np.uint64(40))) + filled.astype(np.uint64))
-        differ = m - 1 if m == 1 else next(d for d in range(m - 1, -1, -1) if d + 1 + spare(d) <= m)
-        out.append(keys if m == 1 or empty >= m - differ else keys[filled > 0])
+        out.append(keys[np.lexsort((keys, filled))[int(over[zone]) :]])
     return np.concatenate(out)
 
 
@@ -132,9 +135,31 @@ def _shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.Recor
             yield _rows(3, 1, data=[np.stack([keys[at : at + (1 << 16)].view(np.int64), a[at : at + (1 << 16)], b[at : at + (1 << 16)]]).astype("<i8").tobytes()])
 
 
+def _pack(keys: np.ndarray, sets: np.ndarray) -> bytes:
+    """Keys of fewer than 40 bits in five bytes each, with their sets: a set's name once, then for each key the
+    place of its set's name."""
+    distinct, place = np.unique(sets, return_inverse=True)
+    short = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+    return np.array([len(distinct)], "<i8").tobytes() + distinct.astype("<i8").tobytes() + short.tobytes() + place.astype(_place(len(distinct))).tobytes()
+
+
+def _place(names: int) -> str:
+    return "<u2" if names <= 1 << 16 else "<u4"
+
+
+def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The n keys and their sets, as given to _pack."""
+    (d,) = np.frombuffer(data, "<i8", 1).tolist()
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :5] = np.frombuffer(data, np.uint8, 5 * n, 8 + 8 * d).reshape(n, 5)
+    return keys.view("<u8").ravel(), np.frombuffer(data, "<i8", d, 8)[np.frombuffer(data, _place(d), n, 8 + 8 * d + 5 * n)]
+
+
 def _read(words: int, percent: int, deals: int):
     """Documents (doc_id, text, th) to rows: kind 0 names a document's set (a) beside th (b), 1 and 3 as above, 2
-    holds keys of one deal, 4 a set's bitmaps."""
+    holds keys of one deal, 4 a set's bitmaps. A key is cut to as many bits as leave 40 within a deal: keys that
+    fall together hang their sets in one tree, where more is compared and nothing lost."""
+    spent = np.uint64(64 - 40 - (deals.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -144,17 +169,14 @@ def _read(words: int, percent: int, deals: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             counts = [len(k) for k in keys]
-            shared, a, b, sets, own = pairs_of(np.concatenate([np.empty(0, np.uint64), *keys]), np.repeat(np.array(names, np.int64), counts))
+            shared, a, b, sets, own = pairs_of(np.concatenate([np.empty(0, np.uint64), *keys]) >> spent, np.repeat(np.array(names, np.int64), counts))
             yield from _shared(shared, a, b)
             deal = (own % np.uint64(deals)).astype(np.int64)
             order = np.argsort(deal, kind="stable")
             deal, own, sets = deal[order], own[order], sets[order]
             cuts = np.flatnonzero(np.diff(deal)) + 1
             for part in np.split(np.arange(len(deal)), cuts) if len(deal) else []:
-                # A set's name once, then for each key the place of its set's name.
-                distinct, place = np.unique(sets[part], return_inverse=True)
-                data = np.array([len(distinct)], "<i8").tobytes() + distinct.astype("<i8").tobytes() + own[part].tobytes() + place.astype("<u4").tobytes()
-                yield _rows(2, 1, deal=[int(deal[part[0]])], n=[len(part)], data=[data])
+                yield _rows(2, 1, deal=[int(deal[part[0]])], n=[len(part)], data=[_pack(own[part] // np.uint64(deals), sets[part])])
 
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = batch.column(1).to_pylist()
@@ -180,17 +202,15 @@ def _read(words: int, percent: int, deals: int):
     return run
 
 
-def _meet():
+def _meet(deals: int):
     """All keys of one deal: sets that share one, as rows of kinds 1 and 3."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, sets = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for n, data in zip(table.column("n").to_pylist(), table.column("data")):
-            data = data.as_py()
-            (d,) = np.frombuffer(data, "<i8", 1)
-            names = np.frombuffer(data, "<i8", d, 8)
-            keys.append(np.frombuffer(data, "<u8", n, 8 + 8 * d))
-            sets.append(names[np.frombuffer(data, "<u4", n, 8 + 8 * d + 8 * n)])
+        for deal, n, data in zip(*(table.column(c) for c in ("deal", "n", "data"))):
+            short, own = _unpacked(n.as_py(), data.as_py())
+            keys.append(short * np.uint64(deals) + np.uint64(deal.as_py()))
+            sets.append(own)
         shared, a, b, _, _ = pairs_of(np.concatenate(keys), np.concatenate(sets))
         return pa.Table.from_batches(list(_shared(shared, a, b)), schema=_ROWS)
 
@@ -522,9 +542,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     """
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "jaccard"), width(spark)
+    # As few deals as tasks can share evenly: a set is named once in each that it has a key in.
+    deals = 2 * n
     d = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    read = scratch.table("read", d.mapInArrow(lean(_read(words, percent, 4 * n)), _ROWS_SQL))
-    met = scratch.table("met", read.filter("kind = 2").select("deal", "n", "data").groupBy("deal").applyInArrow(_meet(), _ROWS_SQL))
+    read = scratch.table("read", d.mapInArrow(lean(_read(words, percent, deals)), _ROWS_SQL))
+    met = scratch.table("met", read.filter("kind = 2").select("deal", "n", "data").groupBy("deal").applyInArrow(_meet(deals), _ROWS_SQL))
     # Keys are most of what was written and have served; the rest is small.
     named = scratch.table("named", read.filter("kind = 0").select("doc_id", "n", F.col("a").alias("sid"), F.col("b").alias("th")))
     read = scratch.table("rest", read.filter("kind NOT IN (0, 2)"))
