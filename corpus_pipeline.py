@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, pii, quality, signature_tree
 from tidemark.llm.scratch import Scratch
+from tidemark.llm.sieve import Sieve
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words in a shingle and per cent of similarity from which documents are near duplicates.
@@ -32,8 +33,14 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     that stays, all stay: which of them was meant cannot be told.
     """
     found = signature_tree.jaccard_components(docs, words=WORDS, percent=PERCENT)
-    stay = Scratch(spark, "stay").table("stay", found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("of")).distinct())
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select(*COLUMNS)
+    scratch = Scratch(spark, "stay")
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    go = scratch.table("go", found.groupBy(F.col("doc_id").alias("of")).agg(stays.alias("stays")).filter("NOT stays").select("of"))
+    # Most texts stay where they are: only those that may go are shuffled.
+    docs, key = docs.select(*COLUMNS), F.xxhash64(F.col("doc_id").cast("long"))
+    sieve = Sieve(scratch, "go_keys", go, F.xxhash64("of"))
+    may_go = sieve(docs, key).join(go, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti")
+    return sieve(docs, key, marked=False).union(may_go)
 
 
 def replace_private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

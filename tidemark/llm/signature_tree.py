@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import components
 from tidemark.llm.scratch import Scratch, lean, width
 from tidemark.llm.shingles import mix, set_hash, shingle_sets
+from tidemark.llm.sieve import Sieve
 
 #: Longs in a bitmap at least (a large set has as many as give it two bits a token), and in one folded for the
 #: trees, sets in a leaf, and bits of a node's number that each level above it drops (so 2 ** FANOUT nodes have
@@ -284,7 +285,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, texts, words: int, percent: int,
     asked = pairs.select(F.col("a").alias("of")).unionAll(pairs.select("b")).groupBy("of").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("copies"))
     asked = scratch.table(f"{name}_asked", asked)
     # Bucketed by set: pairs come to the texts, which are not shuffled again.
-    found = scratch.bucketed(f"{name}_texts", texts(asked.select("of")).repartition(n, "sid").dropDuplicates(["sid"]), n, "sid")
+    found = scratch.bucketed(f"{name}_texts", texts(asked.select("of"), f"{name}_rows").repartition(n, "sid").dropDuplicates(["sid"]), n, "sid")
     many = asked.filter("copies > 1")
     copied = found.join(many, F.col("sid") == F.col("of")).select("sid", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "text")
     for side in "ab":
@@ -554,16 +555,20 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     rows = read.filter("kind IN (1, 3)").select("kind", "a", "b", "data").union(met.select("kind", "a", "b", "data"))
     pairs = scratch.table("pairs", rows.filter("kind = 1").select("a", "b").distinct())
     # One document stands for each set that has to be compared: rows equal in identifier and text are one.
-    wanted = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
+    wanted = scratch.table("wanted", pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct())
     none = F.lit(-(1 << 63))
     stands = named.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", none).alias("d"), "th")).alias("stand"))
     stands = scratch.table("stands", stands.select("sid", "least", F.col("stand.d").alias("stand"), F.col("stand.th").alias("th")))
     own = d.select(F.coalesce("doc_id", none).alias("stand"), "th", "text")
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        return own.join(stands.join(wanted, F.col("sid") == F.col("of")).select("stand", "th", "sid"), ["stand", "th"]).select("sid", "text")
+    def texts(wanted: DataFrame, name: str) -> DataFrame:
+        """Texts are read where they lie, and only those that may be wanted are shuffled."""
+        key = F.xxhash64("stand", "th")
+        rows = scratch.table(name, stands.join(wanted, F.col("sid") == F.col("of")).select("stand", "th", "sid"))
+        return Sieve(scratch, f"{name}_keys", rows, key)(own, key).join(rows, ["stand", "th"]).select("sid", "text")
 
-    sets = read.filter("kind = 4").select(F.col("a").alias("sid"), "n", "data").join(wanted, F.col("sid") == F.col("of"), "left_semi")
+    sets = read.filter("kind = 4").select(F.col("a").alias("sid"), "n", "data")
+    sets = Sieve(scratch, "wanted_keys", wanted, F.col("of"))(sets, F.col("sid")).join(wanted, F.col("sid") == F.col("of"), "left_semi")
     sets = scratch.table("sets", sets.dropDuplicates(["sid"]))
     run, kind = _hang()
     folds = scratch.table("folds", sets.select("sid", "n", "data").mapInArrow(lean(run), kind))
