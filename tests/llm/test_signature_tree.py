@@ -230,3 +230,29 @@ def test_leaves_of_other_lengths_meet():
     batch = pa.RecordBatch.from_pydict({"tree": [7], "a_members": [leaves[0]], "b_members": [leaves[1]], "a_longs": [2 * signature_tree.FOLDED], "b_longs": [signature_tree.FOLDED]})
     (out,) = run(iter([batch]))
     assert (out.column("a").to_pylist(), out.column("b").to_pylist()) == ([0], [1])
+
+
+def test_keys_are_not_written_beside_their_shuffle(spark, monkeypatch):
+    """They are the most of what the join makes: what is written before the pairs is less than half of the keys."""
+    r = random.Random(12)
+    rows = [(k, " ".join(f"{r.randrange(16**8):x}" for _ in range(400))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = sum(len(signature_tree.part_keys(s, 85)) for s in shingles.shingle_sets([t for _, t in rows], 4))
+    written, table = {}, signature_tree.Scratch.table
+
+    class Known(Exception):
+        pass
+
+    def counted(self, name, df):
+        if name == "pairs":
+            raise Known
+        out = table(self, name, df)
+        # Bitmaps are a part of the sets that stays in proportion to them.
+        rows = out.filter("kind <> 4") if "kind" in out.columns else out
+        written[name] = sum(len(x.data or b"") for x in rows.collect()) if "data" in out.columns else 0
+        return out
+
+    monkeypatch.setattr(signature_tree.Scratch, "table", counted)
+    with pytest.raises(Known):
+        signature_tree.jaccard_components(docs, words=4, percent=85)
+    assert sum(written.values()) < 5 * keys / 2

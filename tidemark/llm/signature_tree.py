@@ -37,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,13 +128,13 @@ def _rows(kind: int, count: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({f.name: columns.get(f.name, pa.nulls(count, f.type)) if f.name != "kind" else [kind] * count for f in _ROWS}, schema=_ROWS)
 
 
-def _shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray, deal: int = 0) -> Iterator[pa.RecordBatch]:
     """Pairs once each (kind 1), and all keys that they share, packed (kind 3)."""
     if len(keys):
         pairs = np.unique(np.stack([a, b]), axis=1)
-        yield _rows(1, pairs.shape[1], a=pairs[0], b=pairs[1])
+        yield _rows(1, pairs.shape[1], deal=[deal] * pairs.shape[1], a=pairs[0], b=pairs[1])
         for at in range(0, len(keys), 1 << 16):
-            yield _rows(3, 1, data=[np.stack([keys[at : at + (1 << 16)].view(np.int64), a[at : at + (1 << 16)], b[at : at + (1 << 16)]]).astype("<i8").tobytes()])
+            yield _rows(3, 1, deal=[deal], data=[np.stack([keys[at : at + (1 << 16)].view(np.int64), a[at : at + (1 << 16)], b[at : at + (1 << 16)]]).astype("<i8").tobytes()])
 
 
 def _pack(keys: np.ndarray, sets: np.ndarray) -> bytes:
@@ -156,22 +157,48 @@ def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys.view("<u8").ravel(), np.frombuffer(data, "<i8", d, 8)[np.frombuffer(data, _place(d), n, 8 + 8 * d + 5 * n)]
 
 
-def _read(words: int, percent: int, deals: int):
-    """Documents (doc_id, text, th) to rows: kind 0 names a document's set (a) beside th (b), 1 and 3 as above, 2
-    holds keys of one deal, 4 a set's bitmaps. A key is cut to as many bits as leave 40 within a deal: keys that
-    fall together hang their sets in one tree, where more is compared and nothing lost."""
+def _read(words: int):
+    """Documents (doc_id, text, th) to rows: kind 0 names a document's set (a) beside th (b), 4 has a set's bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        size = 0
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            texts = batch.column(1).to_pylist()
+            counts, sets, new = [], [], []
+            for text, s in zip(texts, shingle_sets(texts, words)):
+                counts.append(len(s))
+                sets.append(set_hash(s) if len(s) else None)
+                if len(s) and sets[-1] not in seen:
+                    seen.add(sets[-1])
+                    new.append((sets[-1], len(s), bitmap(s).tobytes()))
+                    size += len(text)
+                    if size >= HELD:
+                        seen, size = set(), 0
+            yield _rows(0, len(texts), doc_id=batch.column(0), n=counts, a=sets, b=batch.column(2))
+            if new:
+                a, n, data = map(list, zip(*new))
+                yield _rows(4, len(new), a=a, n=n, data=data)
+
+    return run
+
+
+def _deal(words: int, percent: int, deals: int):
+    """Texts to rows: kind 2 holds keys of one deal, 1 and 3 are as above and go to any deal. A key is cut to as
+    many bits as leave 40 within a deal: keys that fall together hang their sets in one tree, where more is
+    compared and nothing lost."""
     spent = np.uint64(64 - 40 - (deals.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys: list[np.ndarray] = []
         names: list[int] = []
-        size = 0
+        size, turn = 0, TaskContext.get().partitionId()
 
         def flush() -> Iterator[pa.RecordBatch]:
             counts = [len(k) for k in keys]
             shared, a, b, sets, own = pairs_of(np.concatenate([np.empty(0, np.uint64), *keys]) >> spent, np.repeat(np.array(names, np.int64), counts))
-            yield from _shared(shared, a, b)
+            yield from _shared(shared, a, b, turn % deals)
             deal = (own % np.uint64(deals)).astype(np.int64)
             order = np.argsort(deal, kind="stable")
             deal, own, sets = deal[order], own[order], sets[order]
@@ -180,40 +207,33 @@ def _read(words: int, percent: int, deals: int):
                 yield _rows(2, 1, deal=[int(deal[part[0]])], n=[len(part)], data=[_pack(own[part] // np.uint64(deals), sets[part])])
 
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            texts = batch.column(1).to_pylist()
-            counts, sets, new = [], [], []
+            texts = batch.column(0).to_pylist()
             for text, s in zip(texts, shingle_sets(texts, words)):
-                counts.append(len(s))
-                sets.append(set_hash(s) if len(s) else None)
-                if len(s) and sets[-1] not in seen:
-                    seen.add(sets[-1])
-                    names.append(sets[-1])
+                if len(s) and (name := set_hash(s)) not in seen:
+                    seen.add(name)
+                    names.append(name)
                     keys.append(part_keys(s, percent))
-                    new.append((sets[-1], len(s), bitmap(s).tobytes()))
                     size += len(text)
                     if size >= HELD:
                         yield from flush()
-                        seen, keys, names, size = set(), [], [], 0
-            yield _rows(0, len(texts), doc_id=batch.column(0), n=counts, a=sets, b=batch.column(2))
-            if new:
-                a, n, data = map(list, zip(*new))
-                yield _rows(4, len(new), a=a, n=n, data=data)
+                        seen, keys, names, size, turn = set(), [], [], 0, turn + 1
         yield from flush()
 
     return run
 
 
 def _meet(deals: int):
-    """All keys of one deal: sets that share one, as rows of kinds 1 and 3."""
+    """All rows of one deal: sets that share a key of it, as rows of kinds 1 and 3, beside those that are there."""
 
     def run(table: pa.Table) -> pa.Table:
+        dealt, rest = (table.filter(pc.equal(table.column("kind"), 2) if own else pc.not_equal(table.column("kind"), 2)) for own in (True, False))
         keys, sets = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for deal, n, data in zip(*(table.column(c) for c in ("deal", "n", "data"))):
+        for deal, n, data in zip(*(dealt.column(c) for c in ("deal", "n", "data"))):
             short, own = _unpacked(n.as_py(), data.as_py())
             keys.append(short * np.uint64(deals) + np.uint64(deal.as_py()))
             sets.append(own)
         shared, a, b, _, _ = pairs_of(np.concatenate(keys), np.concatenate(sets))
-        return pa.Table.from_batches(list(_shared(shared, a, b)), schema=_ROWS)
+        return pa.Table.from_batches([*rest.select(_ROWS.names).cast(_ROWS).to_batches(), *_shared(shared, a, b)], schema=_ROWS)
 
     return run
 
@@ -546,13 +566,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     # As few deals as tasks can share evenly: a set is named once in each that it has a key in.
     deals = 2 * n
     d = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    read = scratch.table("read", d.mapInArrow(lean(_read(words, percent, deals)), _ROWS_SQL))
-    met = scratch.table("met", read.filter("kind = 2").select("deal", "n", "data").groupBy("deal").applyInArrow(_meet(deals), _ROWS_SQL))
-    # Keys are most of what was written and have served; the rest is small.
+    # Texts are read twice: keys, which are the most of what is made, are shuffled and never written besides.
+    met = d.select("text").mapInArrow(lean(_deal(words, percent, deals)), _ROWS_SQL).groupBy("deal").applyInArrow(_meet(deals), _ROWS_SQL)
+    rows = scratch.table("met", met.select("kind", "a", "b", "data"))
+    read = scratch.table("read", d.mapInArrow(lean(_read(words)), _ROWS_SQL))
     named = scratch.table("named", read.filter("kind = 0").select("doc_id", "n", F.col("a").alias("sid"), F.col("b").alias("th")))
-    read = scratch.table("rest", read.filter("kind NOT IN (0, 2)"))
-    scratch.drop("read")
-    rows = read.filter("kind IN (1, 3)").select("kind", "a", "b", "data").union(met.select("kind", "a", "b", "data"))
     pairs = scratch.table("pairs", rows.filter("kind = 1").select("a", "b").distinct())
     # One document stands for each set that has to be compared: rows equal in identifier and text are one.
     wanted = scratch.table("wanted", pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct())
