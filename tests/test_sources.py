@@ -162,6 +162,30 @@ def test_redaction(spark):
     assert row[1].n == 0 and row[1].m == "nothing" and row[2].m is None
 
 
+def test_incidents_of_a_minute_are_judged_once(spark):
+    """As many fingerprints are computed as there are minutes, and joined without a broadcast."""
+    import contextlib
+    import io
+
+    rows = [(w, "web", "INFO", 1, 1 + 40 * (w // 3600 % 3 == 0)) for w in range(0, 40000, 60) if w % 420]
+    df = spark.createDataFrame(rows, "w long, service string, level string, template long, n long")
+    incidents = spark.createDataFrame([(k, k * 7) for k in range(6000)], "id long, started long")
+    prints = dejavu.incident_fingerprints(df, incidents)
+    n, want = {w: x for w, *_, x in rows}, {}
+    for k in range(6000):
+        since = k * 7 // 60 * 60
+        now = (n.get(since, 0) + n.get(since + 60, 0)) / 2
+        hour = sorted((n.get(w, 0) for w in range(since - 3600, since, 60)), reverse=True)
+        usual = (hour[29] + hour[30]) / 2
+        if abs(now - usual) >= 6 and max((now + 2) / (usual + 2), (usual + 2) / (now + 2)) >= 3:
+            want[k] = (now, usual)
+    assert len(want) > 500 and {x.incident: (x.now_rate, x.usual_rate) for x in prints.collect()} == want
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        prints.explain()
+    joins = [x for x in out.getvalue().splitlines() if "Join [since" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_runs(spark):
     def m(role, source, tokens, at, raw):
         return (raw, role, source, tokens, at)

@@ -37,23 +37,45 @@ def fingerprint(minutes: DataFrame, now: int) -> DataFrame:
     return _stands_out(both.select(*KEY, F.when(F.col("fast") >= F.col("usual_rate"), F.col("fast")).otherwise(quiet).alias("now_rate"), "usual_rate"))
 
 
+#: Incidents are judged by stretches of so many seconds, to which the hour before and the minute after are added.
+STRETCH = 4 * 3600
+
+
+def minute_of(started: Column) -> Column:
+    return started - F.pmod(started, F.lit(60))
+
+
+def minute_fingerprints(minutes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(since, service, level, template, now_rate, usual_rate, score) of each minute asked (since): two minutes from
+    it on against the hour before.
+
+    A window goes to its stretch and at times to the one after; there a frame over the hour gives what is usual.
+    """
+    stretch = lambda at: F.floor(at / STRETCH)
+    w = F.col("w")
+    rows = minutes.filter("level <> 'DEBUG'").select(F.explode(F.sequence(stretch(w - 119), stretch(w + 3600))).alias("__s"), *KEY, "w", F.col("n").cast("long").alias("n"), F.lit(False).alias("__asked"))
+    asked = asked.select("since").distinct().withColumn("__s", stretch(F.col("since")))
+    judged = rows.select("__s", *KEY).distinct().join(asked, "__s").select("__s", *KEY, F.col("since").alias("w"), F.lit(None).cast("long").alias("n"), F.lit(True).alias("__asked"))
+    line = Window.partitionBy("__s", *KEY).orderBy("w")
+    # Minutes without lines are zero, so ranks 30 and 31 of sixty decide.
+    hour = F.sort_array(F.collect_list("n").over(line.rangeBetween(-3600, -1)), False)
+    df = rows.union(judged).withColumns({"__now": F.sum("n").over(line.rangeBetween(0, 119)), "__hour": hour}).filter("__asked")
+    rank = lambda k: F.coalesce(F.get("__hour", F.lit(k - 1)), F.lit(0))
+    return _stands_out(df.select(F.col("w").alias("since"), *KEY, (F.coalesce("__now", F.lit(0)) / 2.0).alias("now_rate"), ((rank(30) + rank(31)) / 2.0).alias("usual_rate")))
+
+
 def incident_fingerprints(minutes: DataFrame, incidents: DataFrame) -> DataFrame:
     """The first two minutes of incidents (id, started) against the hour before.
 
-    Windows are joined by the minute they start in, not by a range.
+    Incidents of one minute have one fingerprint, which is found once. The join is never a broadcast: both sides grow.
     """
-    i = incidents.select(F.col("id").alias("incident"), (F.col("started") - F.pmod("started", F.lit(60))).alias("since"))
-    i = i.withColumn("w", F.explode(F.sequence(F.col("since") - 3600, F.col("since") + 60, F.lit(60))))
-    rows = minutes.filter("level <> 'DEBUG'").join(i, "w")
-    by = ["incident", *KEY]
-    current = rows.filter("w >= since").groupBy(*by).agg((F.sum("n") / 2.0).alias("now_rate"))
-    both = current.join(_usual(rows.filter("w < since"), by), by, "full").fillna(0.0, ["now_rate", "usual_rate"])
-    return _stands_out(both)
+    i = incidents.select(F.col("id").alias("incident"), minute_of(F.col("started")).alias("since"))
+    return i.join(minute_fingerprints(minutes, i).hint("merge"), "since").drop("since")
 
 
 def save(prints: DataFrame, incidents: DataFrame, lines: DataFrame) -> DataFrame:
     """prints with example: the newest line of each template during its incident (an hour where it has no end)."""
-    i = incidents.select(F.col("id").alias("incident"), (F.col("started") - F.pmod("started", F.lit(60))).alias("since"), F.coalesce("ended", F.col("started") + 3600).alias("until"))
+    i = incidents.select(F.col("id").alias("incident"), minute_of(F.col("started")).alias("since"), F.coalesce("ended", F.col("started") + 3600).alias("until"))
     wanted = prints.join(i, "incident")
     newest = wanted.join(lines.select(*KEY, "ts", "seq", "line"), KEY).filter("ts >= since AND ts < until").groupBy("incident", *KEY).agg(F.max_by("line", F.struct("ts", "seq")).alias("example"))
     return prints.join(newest, ["incident", *KEY], "left")

@@ -34,6 +34,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _unset.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as an intermediate table of its own, for what is read more than once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """An intermediate table that has served."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
