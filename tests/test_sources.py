@@ -92,6 +92,36 @@ def test_templates(spark):
     assert firsts == sorted(firsts) and found.agg(F.sum("n")).first()[0] == len(messages)
 
 
+def test_equal_messages_pass_the_fold_once_a_block(spark, monkeypatch):
+    """Templates that change between equal messages, over many blocks and two batches, against a line at a time."""
+    import random
+
+    from tidemark.operators import templates
+
+    monkeypatch.setattr(templates, "BLOCK", 50)
+    rng = random.Random(4)
+    words = ["a", "b", "c", "<*>", "7", "e9"]
+    messages = ["", "   "] + [" ".join(rng.choice(words[: 2 + k // 150]) for _ in range(rng.randint(1, 5))) for k in range(600)]
+    rows = [(k * 3, 1000 + k * 7 % 91, "s" if k % 5 else None, "INFO", m, f"line {k}") for k, m in enumerate(messages)]
+    df = spark.createDataFrame(rows, "seq long, ts long, service string, level string, masked string, line string").repartition(3)
+    miners, want, kept = {}, {}, {}
+    for seq, ts, service, _, m, line in rows:
+        t = miners.setdefault(service, Miner()).add(m.split())
+        want[seq] = (service, t.number)
+        one = kept.setdefault((service, t.number), {"template": len(kept) + 1, "service": service, "level": "INFO", "initial": m, "n": 0, "first_ts": ts, "last_ts": ts, "example": line})
+        one |= {"n": one["n"] + 1, "first_ts": min(ts, one["first_ts"]), "last_ts": max(ts, one["last_ts"]), "text": " ".join(t.tokens)}
+    want = {seq: kept[x]["template"] for seq, x in want.items()}
+    got, found = templates.mine(df)
+    assert {x.seq: x.template for x in got.collect()} == want
+    assert sorted((x.asDict() for x in found.collect()), key=lambda x: x["template"]) == [{c: x[c] for c in templates.KEPT} for x in kept.values()]
+    first, early = templates.mine(df.filter("seq <= 777"))
+    second, both = templates.mine(df.filter("seq > 777"), known=early)
+    assert {x.seq: x.template for x in first.union(second).collect()} == want
+    assert sorted((x.asDict() for x in both.collect()), key=lambda x: x["template"]) == [{c: x[c] for c in templates.KEPT} for x in kept.values()]
+    plan = got._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "collect_list" not in plan  # lines do not pass the fold, what it gave is read
+
+
 def attr(key, **value):
     return {"key": key, "value": value}
 

@@ -108,8 +108,8 @@ def ingest(store: Store, rows: dict[str, DataFrame], *, batch: int | None = None
     rows = _new_of_senders(store, manifest, rows)
     if lines is not None:
         parsed, unread = loglines.parse(lines, policy.logs)
-        parsed, found = loglines.learn(parsed, policy.logs, store.table(manifest, "templates"))
-        parsed = _cut(store.spark, parsed, "lines")
+        # Read by the fold, for the templates' examples and by every stream.
+        parsed, found = loglines.learn(_cut(store.spark, parsed, "lines"), policy.logs, store.table(manifest, "templates"))
         store.replace(manifest, "templates", found)
         count = unread.agg(F.count(F.lit(1)).alias("n")).select(F.lit("unread").alias("reason"), "n")
         store.upsert(manifest, "lines_rejected", count, lambda d: d.groupBy("reason").agg(F.sum("n").alias("n")))
