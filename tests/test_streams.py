@@ -2,7 +2,7 @@
 
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -250,3 +250,26 @@ def test_exact_state_across_batches(spark, tmp_path):
     m = ingest.ingest(store, {"usage": df.filter("seq >= 2")})
     assert {(r.reason, r.customer, r.n) for r in store.table(m, "usage_refused").collect()} == {("repeat", "x", 1), ("late", "x", 1)}
     assert m.clocks["usage"] == START + 7 and m.now == START + 7
+
+
+def test_a_commit_of_many_weeks_is_as_many_jobs_as_one_of_few(spark, tmp_path):
+    """Windows of all weeks are written by one job, and events are read once for what is new of them."""
+    text = "stream s { key endpoint text value ms real rollup 1d keep forever quantiles ms }"
+    asked, jobs = 0, []
+    for weeks in (1, 30):
+        store = Store(spark, f"file://{tmp_path}/{weeks}")
+        store.create(text)
+        rows = [(k, START + k % weeks * 7 * 86400, "a" if k % 3 else "b", 1.0 + k) for k in range(90)]
+        df = spark.createDataFrame(rows, "seq long, ts long, endpoint string, ms double")
+        spark.sparkContext.setJobGroup(f"weeks {weeks}", "")
+        for part in (df.filter("seq < 45"), df.filter("seq >= 45")):
+            ingest.ingest(store, {"s": part})
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"weeks {weeks}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        manifest = store.read()
+        asked += len(manifest.tables["s_win"]["parts"])
+        win = store.table(manifest, "s_win").collect()
+        want = Counter((ts // 86400 * 86400, endpoint) for _, ts, endpoint, _ in rows)
+        assert len(win) == len(want) and {(x.w, x.endpoint): x.n for x in win} == want
+        assert store.table(manifest, "s_ms_sk").agg(F.sum("n")).first()[0] == 90
+    assert asked == 31 and jobs[1] <= jobs[0] + 10

@@ -122,16 +122,19 @@ class Store:
         if part is None:
             old = self.table(manifest, name)
             return self.replace(manifest, name, merge(delta if old is None else old.select(delta.columns).unionByName(delta)))
+        # What is new is written first: to ask which partitions it has would read the events a second time.
+        delta = written(delta, name)
         # Names of partitions, of which a batch of events touches few: one a rollup and week.
         touched = sorted(r[0] for r in delta.select(part).distinct().collect())
+        if not touched:
+            return
         old = self.table(manifest, name, set(touched))
-        both = merge(delta if old is None else old.select(delta.columns).unionByName(delta)).withColumn("__part", part)
-        both = both.persist()
-        try:
-            for p in touched:
-                self.replace(manifest, name, both.filter(F.col("__part") == p).drop("__part"), p, keep_rest=True)
-        finally:
-            both.unpersist()
+        both = merge(delta if old is None else old.select(delta.columns).unionByName(delta))
+        # One job writes all partitions, a folder each; their rows meet before that, so their files are few.
+        path = f"{self.root}/v{manifest.version + 1}/{name}/{uuid.uuid4().hex[:8]}"
+        both.withColumn("__part", part).hint("rebalance", F.col("__part")).write.partitionBy("__part").parquet(path)
+        parts = manifest.tables.get(name, {"parts": {}})["parts"]
+        manifest.tables[name] = {"schema": both.schema.json(), "parts": parts | {p: f"{path}/__part={p}" for p in touched}}
 
     def append(self, manifest: Manifest, name: str, df: DataFrame) -> None:
         """df beside what the table has; after MANY such parts they become one, so the manifest stays short."""
